@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, packing, sql, token_counts
+from . import jaccard, metric_join, packing, sql, token_counts
 from .common import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -26,12 +26,18 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), BYTE_RANKS)
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_packing": op4_packing,
     "op8_token_counts": op8_token_counts,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_jaccard_join": sql.JACCARD,
+    "op9_embedding_near_dedup": sql.NEAR_VECTORS,
 }

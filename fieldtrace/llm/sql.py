@@ -25,3 +25,21 @@ with recursive words as (
 select s.doc_id, len(s.s)::bigint as n_shingles, c.component_id
 from sets s join (select doc_id, min(seen) as component_id from reach group by 1) c on c.doc_id = s.doc_id
 """
+
+NEAR_VECTORS = """
+with recursive good as (
+  select vec_id, label, list_transform(embedding, lambda v: v::double) as e from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0
+    and len(list_filter(embedding, lambda v: v <> 0)) > 0
+), links as (
+  select x.vec_id as a, y.vec_id as b from good x join good y on x.label = y.label and x.vec_id <> y.vec_id and len(x.e) = len(y.e)
+  where list_cosine_similarity(x.e, y.e) >= 0.93
+), reach(vec_id, seen) as (
+  select vec_id, vec_id from embeddings
+  union
+  select r.vec_id, l.b from reach r join links l on l.a = r.seen
+)
+select v.vec_id, coalesce(n.n, 0)::bigint as n_links, c.component_id, v.vec_id = c.component_id as kept
+from embeddings v join (select vec_id, min(seen) as component_id from reach group by 1) c on c.vec_id = v.vec_id
+left join (select a, count(*) as n from links group by 1) n on n.a = v.vec_id
+"""
