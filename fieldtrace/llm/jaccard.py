@@ -22,15 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix, settle, shingle_sets, signed, text_blocks
+from .common import IdFilter, components, mix, settle, shingle_sets, signed, text_blocks
 
 WIDTH = 5
 PERCENT = 80
 #: Counters of the table that orders shingles by how common they are: a fixed size
 #: whatever the corpus.  Any order gives the same links; a good one gives fewer candidates.
 BUCKETS = 1 << 20
-#: Bits of the filter through which texts of candidate documents are fetched again.
-FILTER_BITS = 1 << 23
 
 
 def _prefix_length(n: int, percent: int) -> int:
@@ -110,29 +108,6 @@ def set_arrays(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, items array<long>")
 
 
-class IdFilter:
-    """A bitmap of fixed size over the hashes of a column; false positives only.
-
-    Spark builds it; it lets scans skip most rows that no join will want.  Beyond
-    its capacity it lets more through and the join behind it does the work.
-    """
-
-    def __init__(self, ids: DataFrame, bits: int = FILTER_BITS) -> None:
-        self.bits = bits
-        at = F.pmod(F.xxhash64(F.col(ids.columns[0]).cast("long")), F.lit(bits))
-        rows = ids.select((at + 1).alias("at"))  # buckets count from 1 and hold 32768 bits
-        rows = rows.groupBy(F.expr("bitmap_bucket_number(at)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("map"))
-        whole = bytearray(bits // 8)
-        for r in rows.toLocalIterator():  # bits / 32768 rows of 4 KB
-            whole[(r["bucket"] - 1) * 4096 : (r["bucket"] - 1) * 4096 + len(r["map"])] = r["map"]
-        self.map = bytes(whole)
-
-    def passes(self, column: Column) -> Column:
-        at = F.pmod(F.xxhash64(column.cast("long")), F.lit(self.bits))
-        byte = F.substring(F.lit(self.map), (F.floor(at / 8) + 1).cast("int"), F.lit(1))
-        return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(at, F.lit(8)).cast("int")) == 1
-
-
 def _fits(small: Column, large: Column, percent: int) -> Column:
     return F.least(small, large) * 100 >= F.greatest(small, large) * percent
 

@@ -43,3 +43,24 @@ select v.vec_id, coalesce(n.n, 0)::bigint as n_links, c.component_id, v.vec_id =
 from embeddings v join (select vec_id, min(seen) as component_id from reach group by 1) c on c.vec_id = v.vec_id
 left join (select a, count(*) as n from links group by 1) n on n.a = v.vec_id
 """
+
+CONTAINED_ITEMS = r"""
+with doc_words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), item_words as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from benchmark
+), item_sets as (
+  select item_id, least(5, len(w)) as width, list_distinct(list_transform(range(1, len(w) - least(5, len(w)) + 2), lambda i: array_to_string(w[i:i + least(5, len(w)) - 1], ' '))) as s
+  from item_words where len(w) > 0
+), item_grams as (
+  select item_id, width, len(s) as n_item, unnest(s) as gram from item_sets
+), doc_grams as (
+  select doc_id, k as width, unnest(list_distinct(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')))) as gram
+  from doc_words, (select distinct width as k from item_sets) where len(w) >= k
+)
+select d.doc_id, i.item_id, any_value(i.n_item)::bigint as n_item, count(*)::bigint as n_common, count(*) / any_value(i.n_item) as containment
+from doc_grams d join item_grams i on i.width = d.width and i.gram = d.gram
+group by 1, 2 having count(*) * 100 >= 80 * any_value(i.n_item)
+"""
