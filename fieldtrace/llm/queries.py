@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard, metric_join, packing, sql, token_counts
+from . import decontamination, jaccard, metric_join, packing, pii, sql, token_counts
 from .common import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -34,12 +34,17 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_spans(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_packing": op4_packing,
     "op8_token_counts": op8_token_counts,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
