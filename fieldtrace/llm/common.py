@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder, and read again."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -156,9 +168,11 @@ class IdFilter:
     its capacity it lets more through and the join behind it does the work.
     """
 
-    def __init__(self, ids: DataFrame, bits: int = FILTER_BITS) -> None:
+    def __init__(self, ids: DataFrame, bits: int = FILTER_BITS, hashed: bool = False) -> None:
+        """``hashed``: the column is a hash already, and its low bits are the position."""
         self.bits = bits
-        at = F.pmod(F.xxhash64(F.col(ids.columns[0]).cast("long")), F.lit(bits))
+        column = F.col(ids.columns[0]).cast("long")
+        at = column.bitwiseAND(bits - 1) if hashed else F.pmod(F.xxhash64(column), F.lit(bits))
         rows = ids.select((at + 1).alias("at"))  # buckets count from 1 and hold 32768 bits
         rows = rows.groupBy(F.expr("bitmap_bucket_number(at)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("map"))
         whole = bytearray(bits // 8)

@@ -207,7 +207,7 @@ def decided(found: DataFrame, weights: list[float]) -> DataFrame:
 
 
 def personal_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with ``found``, the accepted spans; text is never null after it.
+    """``docs``, with its column text, and ``found``, the accepted spans; text is not null after it.
 
     Spans are by kind, then start; positions are code points, the end exclusive.  A null
     or empty text has none.  Other columns stay as they are.
@@ -228,13 +228,15 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     Overlapping spans are replaced once, by the first of them.
     """
-    x = personal_spans(docs)
+    # The document is carried whole, so no column of it can clash with the work columns.
+    x = personal_spans(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "text"))
     step = """aggregate(array_sort(transform(found, s -> struct(s.start as start, s.end as end, s.kind as kind))),
         struct(0 as pos, cast(array() as array<string>) as parts),
         (a, s) -> if(s.start < a.pos, struct(greatest(a.pos, s.end) as pos, a.parts as parts),
           struct(s.end as pos, concat(a.parts, array(substring(text, a.pos + 1, s.start - a.pos), concat('[', upper(s.kind), ']'))) as parts)),
         a -> concat(array_join(a.parts, ''), substring(text, a.pos + 1)))"""
     x = x.withColumn("text", F.when(F.size("found") > 0, F.expr(step)).otherwise(F.col("text")))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        x = x.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return x.select(docs.columns)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return x.select(*(new.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns))
