@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import reports
+
+PLANS = (reports,)
+QUERIES: dict = {name: f for plan in PLANS for name, f in plan.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: q for plan in PLANS for name, q in plan.ORACLE_SQL.items()}
