@@ -57,7 +57,7 @@ def _with(body: str, pitch: int = PITCH) -> str:
 ), s as (
   select *, sum(case when why <> '' then 1 else 0 end) over (partition by id order by t_us, ord rows unbounded preceding)::bigint as run from broken
 ), cut as (select * from s where t_us between {T0} and {T1})
-{body}""".replace(")\n, cells", "), cells")
+{body}""".replace(")\n, ", "),\n")
 
 
 _COVER = f"select id, least(sum(w), {2 * (T1 - T0)})::bigint as half_us, least(sum(w), {2 * (T1 - T0)}) / {2 * (T1 - T0)} as share, count(*) as samples, least(sum(w), {2 * (T1 - T0)}) / {2 * (T1 - T0)} < 0.5 as low from cut group by id"

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import reports
+from .plans import evidence, matches, reports, tracks
 
-PLANS = (reports,)
+PLANS = (reports, tracks, matches, evidence)
 QUERIES: dict = {name: f for plan in PLANS for name, f in plan.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: q for plan in PLANS for name, q in plan.ORACLE_SQL.items()}
