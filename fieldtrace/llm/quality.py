@@ -25,6 +25,8 @@ GROUP = 4  # bytes between the starts of neighbouring windows, which are twice a
 HALF = 128  # bytes between the starts of neighbouring chunks, which are twice as long
 EMBED, FILTERS, HIDDEN = 4, 32, 24
 EPOCHS, BATCH, RATE = 12, 48, 4e-3
+#: Steps that a small sample gets at least, by more epochs.
+LEAST_STEPS = 700
 THRESHOLD = 0.3
 Params = dict[str, np.ndarray]
 
@@ -116,8 +118,9 @@ def fit(texts: list[bytes], target: np.ndarray, seed: int = 7) -> Params:
     weight = np.where(target > 0, 0.5 / share, 0.5 / (1 - share))
     m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
     r, t = np.random.default_rng(seed), 0
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // max(1, -(-len(texts) // BATCH))))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         order = r.permutation(len(texts))
         for lo in range(0, len(order), BATCH):
             rows = order[lo : lo + BATCH]
