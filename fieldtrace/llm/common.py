@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handled in blocks of about this many bytes, so that the numpy work
@@ -17,6 +17,11 @@ BLOCK_BYTES = 1 << 20
 #: Bits of the filter through which texts of candidate documents are fetched again.
 FILTER_BITS = 1 << 23
 
+#: Bytes of an Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 4 << 20
+# Freed batches go back to the system and do not stay with idle Python workers.
+pa.set_memory_pool(pa.system_memory_pool())
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, dtype=bool)
@@ -41,6 +46,11 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let the session hand texts to Python workers in small batches, as texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder, and read again."""
     spark = df.sparkSession
@@ -53,6 +63,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -69,7 +80,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     if len(_POWERS[0]) < n:
-        size = max(n, BLOCK_BYTES * 2)
+        size = max(n, BLOCK_BYTES + (BLOCK_BYTES >> 3))
         for k, base in enumerate((_BASE, _BASE_INV)):
             p = np.full(size, base, np.uint64)
             p[0] = 1
@@ -180,10 +191,16 @@ class IdFilter:
             whole[(r["bucket"] - 1) * 4096 : (r["bucket"] - 1) * 4096 + len(r["map"])] = r["map"]
         self.map = bytes(whole)
 
-    def passes(self, column: Column) -> Column:
-        at = F.pmod(F.xxhash64(column.cast("long")), F.lit(self.bits))
-        byte = F.substring(F.lit(self.map), (F.floor(at / 8) + 1).cast("int"), F.lit(1))
-        return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(at, F.lit(8)).cast("int")) == 1
+    def kept(self, rows: DataFrame, column: str, inside: bool = True) -> DataFrame:
+        """``rows`` that the bitmap lets through (or, not ``inside``, those it does not).
+
+        The bitmap comes as a broadcast table of one row, so that plans stay small.
+        """
+        one = F.broadcast(rows.sparkSession.createDataFrame([(bytearray(self.map),)], "__bitmap binary"))
+        at = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(self.bits))
+        byte = F.substring(F.col("__bitmap"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))
+        hit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(at, F.lit(8)).cast("int")) == 1
+        return rows.join(one, F.coalesce(hit, F.lit(False)) == inside).drop("__bitmap")
 
 
 def components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:

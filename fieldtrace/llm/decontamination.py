@@ -79,7 +79,9 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, perce
     hits = settle(hits.distinct())
 
     of_docs = hits.select("doc_id", "doc_row").distinct()
-    near = d.where(IdFilter(of_docs.select("doc_id")).passes(F.col("doc_id"))).join(of_docs, ["doc_id", "doc_row"], "left_semi").dropDuplicates(["doc_id", "doc_row"])
+    near = IdFilter(of_docs.select("doc_id")).kept(docs.where("doc_id is not null").select("doc_id", "text"), "doc_id")
+    near = near.select("doc_id", F.xxhash64("text").alias("doc_row"), words(F.col("text")).alias("w"))
+    near = near.join(of_docs, ["doc_id", "doc_row"], "left_semi").dropDuplicates(["doc_id", "doc_row"])
     grams = it.select("item_row", "width", F.explode("grams").alias("gram"))
     n_grams = grams.count()
     exact = None

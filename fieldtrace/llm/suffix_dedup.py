@@ -91,10 +91,11 @@ def anchored_ranges(data: np.ndarray, offsets: np.ndarray, span: int = SPAN) ->
 
 def ranges(rows: DataFrame, wanted: bytes | None = None, span: int = SPAN) -> DataFrame:
     """(key, ctx, row, at, lo, hi) of ``rows`` (row, text); with a bitmap only keys in it."""
-    shared = rows.sparkSession.sparkContext.broadcast(None if wanted is None else np.unpackbits(np.frombuffer(wanted, np.uint8), bitorder="little").astype(bool))
+    shared = rows.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
+        packed = shared.value
+        bitmap = None if packed is None else np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little").astype(bool)
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for lo, _, data, offsets in text_blocks(batch.column(1)):
@@ -300,7 +301,7 @@ def repeated_bytes(rows: DataFrame, span: int = SPAN) -> DataFrame:
     to_sort = same.join(mixed, "key")
     place = F.struct("key", "ctx", "at", "lo", "hi", "times", "blocks")
     to_sort = settle(to_sort.groupBy("row").agg(F.collect_list(place).alias("places")))  # a text's own anchors
-    near = rows.where(IdFilter(to_sort.select("row")).passes(F.col("row"))).dropDuplicates(["row"]).join(to_sort, "row")
+    near = IdFilter(to_sort.select("row")).kept(rows, "row").dropDuplicates(["row"]).join(to_sort, "row")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -335,10 +336,10 @@ def removed(docs: DataFrame, span: int = SPAN) -> DataFrame:
     rows = rows.withColumn("row", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"))
     spans = repeated_bytes(rows.select("row", "text"), span).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
     spans = settle(spans)
-    passes = IdFilter(spans.select("row")).passes(F.col("row"))
+    maybe = IdFilter(spans.select("row"))
     nothing = F.array().cast("array<struct<first: long, last: long>>")
-    plain = rows.where(~passes).select("doc_id", "text", nothing.alias("spans"))
-    cut = rows.where(passes).join(spans, "row", "left").select("doc_id", "text", F.coalesce("spans", nothing).alias("spans"))
+    plain = maybe.kept(rows, "row", False).select("doc_id", "text", nothing.alias("spans"))
+    cut = maybe.kept(rows, "row").join(spans, "row", "left").select("doc_id", "text", F.coalesce("spans", nothing).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
