@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,10 @@ PERCENT = 80
 #: Counters of the table that orders shingles by how common they are: a fixed size
 #: whatever the corpus.  Any order gives the same links; a good one gives fewer candidates.
 BUCKETS = 1 << 20
+#: Sets on one side of a tile, and members of keys that one task takes together.
+TILE, SHARD = 256, 4000
+#: Rounds in which the members of a key meet one member of its first component.
+STARS = 3
 
 
 def _prefix_length(n: int, percent: int) -> int:
@@ -37,9 +42,9 @@ def _prefix_length(n: int, percent: int) -> int:
 
 
 def set_keys(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_shingles, h1, h2) of every document, and the level of each bucket.
+    """(doc_id, n_shingles, h1) of every document, and the level of each bucket.
 
-    h1 and h2 identify the set.  Levels come from counters of all shingles of all
+    h1 is the 64-bit hash of the set.  Levels come from counters of all shingles of all
     documents: each task counts its own and hands on those well above its mean.
     """
 
@@ -49,19 +54,18 @@ def set_keys(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, np.ndarray
             for lo, hi, data, offsets in text_blocks(batch.column(1)):
                 sets = shingle_sets(data, offsets, width)
                 n = np.array([len(s) for s in sets], np.int64)
-                h1 = np.array([int(np.bitwise_xor.reduce(mix(s))) if len(s) else 0 for s in sets], np.uint64)
-                h2 = np.array([int(np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)))) if len(s) else 0 for s in sets], np.uint64)
+                h1 = np.array([_set_hash(s) for s in sets], np.uint64)
                 if n.sum():
                     counts += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=BUCKETS)
                 ids = batch.column(0).slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(hi - lo, pa.int64()), ids, pa.array(n), pa.array(signed(h1)), pa.array(signed(h2))], ["bucket", "doc_id", "n_shingles", "h1", "h2"]
+                    [pa.nulls(hi - lo, pa.int64()), ids, pa.array(n), pa.array(signed(h1))], ["bucket", "doc_id", "n_shingles", "h1"]
                 )
         common = np.flatnonzero(counts >= max(16, 8 * counts.mean()))
         none = pa.nulls(len(common), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(common, pa.int64()), none, pa.array(counts[common]), none, none], ["bucket", "doc_id", "n_shingles", "h1", "h2"])
+        yield pa.RecordBatch.from_arrays([pa.array(common, pa.int64()), none, pa.array(counts[common]), none], ["bucket", "doc_id", "n_shingles", "h1"])
 
-    both = settle(docs.select("doc_id", "text").mapInArrow(run, "bucket long, doc_id long, n_shingles long, h1 long, h2 long"))
+    both = settle(docs.select("doc_id", "text").mapInArrow(run, "bucket long, doc_id long, n_shingles long, h1 long"))
     levels = np.zeros(BUCKETS, np.uint8)
     sums = both.where("bucket is not null").groupBy("bucket").agg(F.sum("n_shingles").alias("n"))
     for r in sums.select("bucket", F.floor(F.log2("n")).cast("int").alias("level")).toLocalIterator():  # at most BUCKETS rows
@@ -69,26 +73,47 @@ def set_keys(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, np.ndarray
     return both.where("bucket is null").drop("bucket"), levels
 
 
-def signatures(docs: DataFrame, levels: np.ndarray, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, keys (prefix of the set, rarest first) and bits (bitmap of its size band)."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+def postings(docs: DataFrame, levels: np.ndarray, width: int = WIDTH, percent: int = PERCENT, wanted: bytes | None = None) -> DataFrame:
+    """(key, node): the prefix of each set, rarest first, under the hash of the set.
+
+    A task gives each set once, so copies of a text do not crowd their keys.  With
+    ``wanted``, a bitmap over the low bits of keys, only keys in it are given.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((levels, wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = shared.value
+        level, packed = shared.value
+        bitmap = None if packed is None else np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little").astype(bool)
+        seen: set[int] = set()
         for batch in batches:
-            for lo, hi, data, offsets in text_blocks(batch.column(1)):
-                keys, bits, sizes = [], [], []
+            for _, _, data, offsets in text_blocks(batch.column(0)):
+                keys, nodes = [], []
                 for s in shingle_sets(data, offsets, width):
-                    sizes.append(len(s))
+                    node = _set_hash(s)
+                    if not len(s) or node in seen:
+                        continue
+                    seen.add(node)
                     order = np.argsort(level[s >> np.uint64(44)], kind="stable")
-                    keys.append(signed(s[order[: _prefix_length(len(s), percent)]]) if len(s) else np.zeros(0, np.int64))
-                    flags = np.zeros(64 << max(0, len(s).bit_length() - 5), np.uint8)
-                    flags[(s >> np.uint64(8)) & np.uint64(len(flags) - 1)] = 1
-                    bits.append(np.packbits(flags, bitorder="little").view(np.int64))
-                ids = batch.column(0).slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), _lists(keys), _lists(bits)], ["doc_id", "n", "keys", "bits"])
+                    first = s[order[: _prefix_length(len(s), percent)]]
+                    if bitmap is not None:
+                        first = first[bitmap[(first & np.uint64(len(bitmap) - 1)).astype(np.int64)]]
+                    keys.append(first)
+                    nodes.append(np.full(len(first), node, np.uint64))
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(signed(np.concatenate(nodes)))], ["key", "node"])
+
+    return docs.where("doc_id is not null").select("text").mapInArrow(run, "key long, node long")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, keys array<long>, bits array<long>")
+def _set_hash(s: np.ndarray) -> int:
+    return int(np.bitwise_xor.reduce(mix(s))) if len(s) else 0
+
+
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    """Hashed bitmap of a set; its width is that of the set's size band."""
+    flags = np.zeros(64 << max(0, len(s).bit_length() - 5), np.uint8)
+    flags[((s >> np.uint64(8)) & np.uint64(len(flags) - 1)).astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little").view(np.int64)
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -96,16 +121,25 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64()))
 
 
-def set_arrays(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id and its whole sorted shingle set."""
+def set_arrays(docs: DataFrame, width: int = WIDTH, whole: bool = True) -> DataFrame:
+    """node, size, bitmap and, if ``whole``, the sorted shingle set of each row (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in text_blocks(batch.column(1)):
-                sets = [signed(s) for s in shingle_sets(data, offsets, width)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), _lists(sets)], ["doc_id", "items"])
+            for _, _, data, offsets in text_blocks(batch.column(0)):
+                sets = shingle_sets(data, offsets, width)
+                nodes = signed(np.array([_set_hash(s) for s in sets], np.uint64))
+                sizes = np.array([len(s) for s in sets], np.int64)
+                items = _lists([signed(s) if whole else signed(s[:0]) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(sizes), _lists([_bitmap(s) for s in sets]), items], ["node", "n", "bits", "items"])
+
+    return docs.select("text").mapInArrow(run, "node long, n long, bits array<long>, items array<long>")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, items array<long>")
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """doc_id and text of the representative (rep) of each node; other rows are left at the scan."""
+    near = IdFilter(nodes.select("rep")).kept(docs.select("doc_id", "text"), "doc_id")
+    return near.join(nodes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
 
 
 def _fits(small: Column, large: Column, percent: int) -> Column:
@@ -122,18 +156,93 @@ def _bound(a: str, b: str) -> Column:
     )
 
 
-def verified(pairs: DataFrame, sketch: DataFrame, arrays: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) at the threshold: bitmap bound first, then exact intersection."""
+def bounded(pairs: DataFrame, sketch: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b, na, nb) that sizes and bit counts do not rule out."""
     x = pairs
     for k in "ab":
-        x = x.join(sketch.select(F.col("doc_id").alias(k), F.col("n").alias("n" + k), F.col("bits").alias("bits" + k)), k)
+        x = x.join(sketch.select(F.col("node").alias(k), F.col("n").alias("n" + k), F.col("bits").alias("bits" + k)), k)
     x = x.where(_fits(F.col("na"), F.col("nb"), percent))
     most = F.least(F.col("na") - _bound("bitsa", "bitsb"), F.col("nb") - _bound("bitsb", "bitsa"))
-    at_least = lambda overlap: overlap * 100 >= (F.col("na") + F.col("nb") - overlap) * percent
-    x = x.where(at_least(most)).select("a", "b", "na", "nb")
+    return x.where(_linked(most, percent)).select("a", "b", "na", "nb")
+
+
+def _linked(overlap: Column, percent: int) -> Column:
+    return overlap * 100 >= (F.col("na") + F.col("nb") - overlap) * percent
+
+
+def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The pairs of nodes (a, b) at the threshold, by exact intersection of their sets."""
+    pairs = settle(pairs)
+    asked = nodes.join(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "node", "left_semi")
+    sets = settle(set_arrays(texts_of(docs, settle(asked)), width).select("node", "items").dropDuplicates(["node"]))
+    x = pairs
     for k in "ab":
-        x = x.join(arrays.select(F.col("doc_id").alias(k), F.col("items").alias("items" + k)), k)
-    return x.where(at_least(F.size(F.array_intersect("itemsa", "itemsb")))).select("a", "b")
+        x = x.join(sets.select(F.col("node").alias(k), F.col("items").alias("items" + k)), k)
+    return x.where(_linked(F.size(F.array_intersect("itemsa", "itemsb")), percent)).select("a", "b")
+
+
+def tile_pairs(crowd: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b, na, nb) of different components that share a key and that neither sizes
+    nor bit counts rule out.
+
+    ``crowd`` has key, blocks, id, component, n and bits.  The members of a key meet in
+    tiles of at most TILE by TILE; only pairs that pass the bounds leave a tile.
+    """
+    x = crowd.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    tiles = F.expr(
+        """concat(transform(sequence(block, blocks - 1), t -> named_struct('s', block, 't', t, 'side', 0)),
+                  if(block > 0, transform(sequence(0L, greatest(block, 1L) - 1), s -> named_struct('s', s, 't', block, 'side', 1)), array()))"""
+    )
+    x = x.select("key", "id", "component", "n", "bits", F.explode(tiles).alias("tile")).select("key", "id", "component", "n", "bits", "tile.*")
+    shards = settle(crowd.agg(F.count(F.lit(1)).alias("n"))).first()["n"] // SHARD + 1
+    x = x.withColumn("shard", F.pmod(F.xxhash64("key", "s", "t"), F.lit(shards)))
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        out: list[np.ndarray] = []
+        for (_, s, t), tile in rows.groupby(["key", "s", "t"], sort=False):
+            left = tile[tile["side"] == 0]
+            right = left if s == t else tile[tile["side"] == 1]
+            if len(left) and len(right):
+                out += _tile(left, right, s == t, percent)
+        found = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
+        return pd.DataFrame(found, columns=["a", "b", "na", "nb"]).drop_duplicates()
+
+    return x.groupBy("shard").applyInPandas(meet, "a long, b long, na long, nb long")
+
+
+def _tile(left: pd.DataFrame, right: pd.DataFrame, same: bool, percent: int) -> list[np.ndarray]:
+    """Rows (a, b, na, nb) of the pairs of a tile that pass; band by band, as a band has one width."""
+    out = []
+    bands = [{}, {}]
+    for side, rows in enumerate((left, right)):
+        ids, comp, n = (rows[c].to_numpy() for c in ("id", "component", "n"))
+        widths = np.array([len(v) for v in rows["bits"]])
+        for w in np.unique(widths):
+            at = np.flatnonzero(widths == w)
+            bands[side][int(w)] = (ids[at], comp[at], n[at], np.stack([np.asarray(rows["bits"].iloc[k], np.int64) for k in at]).view(np.uint64))
+    for w, (ia, ca, na, xa) in bands[0].items():
+        for v in (w, 2 * w) if w % 2 else (w, 2 * w, w // 2):
+            if v not in bands[1]:
+                continue
+            ib, cb, nb, xb = bands[1][v]
+            fold = lambda x, to: x if x.shape[1] == to else x[:, :to] | x[:, to:]
+            a, b = fold(xa, min(v, w)), fold(xb, min(v, w))
+            for k in range(len(ia)):
+                fits = (cb != ca[k]) & (np.minimum(nb, na[k]) * 100 >= np.maximum(nb, na[k]) * percent)
+                if same and v == w:
+                    fits &= ib > ia[k]
+                at = np.flatnonzero(fits)
+                if not len(at):
+                    continue
+                y = b[at]
+                most = np.minimum(na[k] - np.bitwise_count(a[k] & ~y).sum(axis=1, dtype=np.int64), nb[at] - np.bitwise_count(y & ~a[k]).sum(axis=1, dtype=np.int64))
+                at = at[most * 100 >= (na[k] + nb[at] - most) * percent]
+                if len(at):
+                    pair = np.column_stack([np.full(len(at), ia[k]), ib[at], np.full(len(at), na[k]), nb[at]])
+                    swap = pair[:, 0] > pair[:, 1]
+                    pair[swap] = pair[swap][:, [1, 0, 3, 2]]
+                    out.append(pair)
+    return out
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -142,46 +251,62 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.  A text of fewer words than
     ``width`` has its word sequence as its one shingle; a null text, or one without
     words, has none and links with nothing.  component_id is the smallest doc_id
-    that links reach.  A row without doc_id gets no component and links with
+    that links reach.  Shingles, and sets, are told apart by 64-bit hashes.  A row without doc_id gets no component and links with
     nothing; rows that repeat a doc_id are one vertex; other columns are ignored.
     """
     keyed, levels = set_keys(docs, width)
-    classes = keyed.where("doc_id is not null and n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    member = settle(
-        keyed.join(classes, ["n_shingles", "h1", "h2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    )
-    reps = member.where("n_shingles > 0 and doc_id = rep").select("doc_id").distinct()
-    sketch = settle(signatures(docs, levels, width, percent).join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-
-    postings = sketch.select(F.explode("keys").alias("key"), "doc_id", "n")
-    shared = postings.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("docs")).where("docs > 1")
-    shared = settle(shared)
-    many = shared.where("docs > 2").select("key", F.col("a").alias("pivot"))
-    wanted = IdFilter(many.select("key"))
-    crowd = settle(postings.where(wanted.passes(F.col("key"))).join(many, "key").select("key", "pivot", "doc_id", "n"))
-
-    stars = crowd.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
-    first = settle(shared.where("docs = 2").select("a", "b").unionByName(stars).distinct())
-    ids = settle(first.select(F.col("a").alias("doc_id")).unionByName(first.select(F.col("b").alias("doc_id"))).distinct())
-    near = docs.select("doc_id", "text").where(IdFilter(ids).passes(F.col("doc_id"))).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    arrays = settle(set_arrays(near, width))
-
-    links = settle(verified(first, sketch, arrays, percent))
-    vertices = ids.select(F.col("doc_id").alias("id"))
+    real = keyed.where("doc_id is not null and n_shingles > 0")
+    classes = real.groupBy(F.col("h1").alias("node")).agg(F.min("doc_id").alias("rep"))
+
+    # A key's sets are told by the least and the greatest; most keys have one set.
+    shared = postings(docs, levels, width, percent).repartition("key").groupBy("key")
+    shared = settle(shared.agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("rows")).where("a <> b"))
+    many = shared.where("rows > 2").select("key", F.col("a").alias("pivot"))
+    bits = IdFilter(many.select("key"), hashed=True)
+    crowd = settle(postings(docs, levels, width, percent, bits.map).join(many, "key").distinct())
+
+    stars = crowd.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    first = settle(shared.where("rows = 2").select("a", "b").unionByName(stars).distinct())
+    nodes = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
+    nodes = settle(nodes.join(classes, "node"))
+    sketch = set_arrays(texts_of(docs, nodes), width, whole=False).drop("items")
+    sketch = settle(sketch.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+
+    links = settle(verified(docs, bounded(first, sketch, percent), nodes, width, percent))
+    vertices = nodes.select(F.col("node").alias("id"))
     label = settle(components(vertices, links))
 
-    # What is still in different components meets within its keys.
-    crowd = crowd.join(label.withColumnRenamed("id", "doc_id"), "doc_id")
-    mixed = crowd.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-    crowd = settle(crowd.join(mixed, "key", "left_semi").select("key", "doc_id", "n", "component"))
-    left = crowd.select("key", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    right = crowd.select("key", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-    second = left.join(right, "key").where(F.col("cx") < F.col("cy")).where(_fits(F.col("nx"), F.col("ny"), percent))
-    second = second.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = settle(verified(second, sketch, arrays, percent))
-    label = components(vertices, links.unionByName(more)).withColumnRenamed("id", "rep")
-
-    return member.join(label, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    # Members that are still in different components meet the largest component of their
+    # key, by one of its members; this joins most of what belongs together at a linear cost.
+    members = crowd.select("key", F.col("node").alias("id"))
+    tried = first
+    for _ in range(STARS):
+        sizes = label.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+        crowd = settle(members.join(label.join(sizes, "component"), "id"))
+        mixed = crowd.groupBy("key").agg(F.max(F.struct("size", "component", "id")).alias("hub"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
+        mixed = settle(mixed.select("key", "hub"))
+        stars = crowd.join(mixed, "key").where("component <> hub.component").select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"))
+        stars = settle(stars.distinct().join(tried, ["a", "b"], "left_anti"))
+        more = settle(verified(docs, bounded(stars, sketch, percent), nodes, width, percent))
+        if more.isEmpty():
+            break
+        tried, links = tried.unionByName(stars), links.unionByName(more)
+        label = settle(components(vertices, links))
+
+    # What is then left in different components meets within its keys, in tiles.
+    crowd = settle(members.join(label, "id"))
+    mixed = crowd.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("members")).where("c0 <> c1")
+    crowd = crowd.join(mixed.select("key", F.ceil(F.col("members") / TILE).alias("blocks")), "key").join(sketch.withColumnRenamed("node", "id"), "id")
+    second = settle(tile_pairs(crowd, percent).distinct().join(tried, ["a", "b"], "left_anti"))
+    more = settle(verified(docs, second, nodes, width, percent))
+
+    # Nodes are told by hashes; the component is named by the smallest doc_id in it.
+    label = components(vertices, links.unionByName(more)).withColumnRenamed("id", "node")
+    named = label.join(nodes, "node")
+    named = named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("node", "component_id")
+    found = keyed.join(classes, keyed["h1"] == classes["node"], "left").join(named, "node", "left")
+    own = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "rep")).otherwise(F.col("doc_id"))
+    return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
