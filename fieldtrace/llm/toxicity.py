@@ -75,16 +75,20 @@ class Chain:
         return out
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 300, decay: float = 1e-4) -> np.ndarray:
-    """L2-regularised logistic regression by accelerated gradient steps; the last column of x is 1."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 300, decay: float = 1e-4) -> np.ndarray:
+    """L2-regularised logistic regression by accelerated gradient steps; the last column of x is 1.
+
+    ``weight`` is how many texts a row stands for.
+    """
     w = np.zeros(x.shape[1])
-    w[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    total, ones = weight.sum(), (weight * y).sum()
+    w[-1] = np.log((ones + 0.5) / (total - ones + 0.5))
     v = w.copy()
     step = 4.0 / max(1e-9, (x * x).sum(axis=1).max())
     step = max(step, 0.05)
     for t in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
-        g = x.T @ (p - y) / len(y)
+        g = x.T @ (weight * (p - y)) / total
         g[:-1] += decay * v[:-1]
         new = v - step * 4 * g
         v = new + t / (t + 3) * (new - w)
@@ -93,7 +97,16 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 300, decay: float =
 
 
 def fit_chain(x: np.ndarray, labels: np.ndarray, features: np.ndarray, folds: np.ndarray) -> Chain:
-    """Fit the models in the order of ``labels``' columns, on out-of-fold earlier predictions."""
+    """Fit the models in the order of ``labels``' columns, on out-of-fold earlier predictions.
+
+    Texts without any feature are alike within a fold and label, and become one weighted row.
+    """
+    plain = ~x.any(axis=1)
+    kind = (labels @ (1 << np.arange(labels.shape[1]))) * FOLDS + folds
+    _, first, count = np.unique(kind[plain], return_index=True, return_counts=True)
+    rows = np.concatenate([np.flatnonzero(~plain), np.flatnonzero(plain)[first]])
+    weight = np.concatenate([np.ones((~plain).sum()), count.astype(float)])
+    x, labels, folds = x[rows].astype(float), labels[rows], folds[rows]
     chain, seen = Chain(features, []), np.zeros((len(x), 0))
     ones = np.ones((len(x), 1))
     for k in range(labels.shape[1]):
@@ -102,8 +115,8 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, features: np.ndarray, folds: np
         for f in range(FOLDS):
             out = folds == f
             if out.any() and not out.all():
-                held[out] = 1 / (1 + np.exp(-np.clip(inputs[out] @ fit_logistic(inputs[~out], y[~out]), -30, 30)))
-        chain.weights.append(fit_logistic(inputs, y))
+                held[out] = 1 / (1 + np.exp(-np.clip(inputs[out] @ fit_logistic(inputs[~out], y[~out], weight[~out]), -30, 30)))
+        chain.weights.append(fit_logistic(inputs, y, weight))
         seen = np.hstack([seen, held[:, None]])
     return chain
 
