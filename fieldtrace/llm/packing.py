@@ -27,7 +27,7 @@ END_ID = 1
 #: whatever the size of the corpus.
 UNIT = 8
 #: Chunks of text whose ids a Python worker remembers; beyond it the memory is emptied.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 #: ASCII marks; the tokenizer keeps a run of them apart from the letters before it.
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
