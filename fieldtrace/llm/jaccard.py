@@ -9,8 +9,8 @@ bitmaps bound the overlap of a candidate pair from above; pairs that pass are
 intersected exactly.
 
 Groups stay linear: equal sets are one class from the start; every key compares its
-members with one pivot first; only members that are then still in different
-components meet each other.
+members with one pivot first; members that are then in different components meet
+their likeliest partners; only members that are then still apart all meet.
 """
 
 from __future__ import annotations
@@ -32,8 +32,10 @@ PERCENT = 80
 BUCKETS = 1 << 20
 #: Sets on one side of a tile, and members of keys that one task takes together.
 TILE, SHARD = 256, 4000
-#: Rounds in which the members of a key meet one member of its first component.
-STARS = 3
+#: Likeliest partners, by the bit counts, that a member of a tile meets first.
+BEST = 3
+#: Words of bitmaps that are compared at a time.
+CELLS = 1 << 20
 
 
 def _prefix_length(n: int, percent: int) -> int:
@@ -68,8 +70,8 @@ def set_keys(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, np.ndarray
     both = settle(docs.select("doc_id", "text").mapInArrow(run, "bucket long, doc_id long, n_shingles long, h1 long"))
     levels = np.zeros(BUCKETS, np.uint8)
     sums = both.where("bucket is not null").groupBy("bucket").agg(F.sum("n_shingles").alias("n"))
-    for r in sums.select("bucket", F.floor(F.log2("n")).cast("int").alias("level")).toLocalIterator():  # at most BUCKETS rows
-        levels[r["bucket"]] = r["level"]
+    known = sums.select("bucket", F.floor(F.log2("n")).cast("int").alias("level")).toArrow()  # at most BUCKETS rows
+    levels[known.column("bucket").to_numpy()] = known.column("level").to_numpy()
     return both.where("bucket is null").drop("bucket"), levels
 
 
@@ -171,8 +173,7 @@ def _linked(overlap: Column, percent: int) -> Column:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The pairs of nodes (a, b) at the threshold, by exact intersection of their sets."""
-    pairs = settle(pairs)
+    """The pairs of nodes (a, b) at the threshold, by exact intersection of their sets; ``pairs`` is read twice."""
     asked = nodes.join(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "node", "left_semi")
     sets = settle(set_arrays(texts_of(docs, settle(asked)), width).select("node", "items").dropDuplicates(["node"]))
     x = pairs
@@ -181,12 +182,13 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int = W
     return x.where(_linked(F.size(F.array_intersect("itemsa", "itemsb")), percent)).select("a", "b")
 
 
-def tile_pairs(crowd: DataFrame, percent: int = PERCENT) -> DataFrame:
+def tile_pairs(crowd: DataFrame, percent: int = PERCENT, best: int | None = None) -> DataFrame:
     """Pairs (a, b, na, nb) of different components that share a key and that neither sizes
     nor bit counts rule out.
 
     ``crowd`` has key, blocks, id, component, n and bits.  The members of a key meet in
-    tiles of at most TILE by TILE; only pairs that pass the bounds leave a tile.
+    tiles of at most TILE by TILE; only pairs that pass the bounds leave a tile.  With
+    ``best``, a pair leaves only if it is among so many likeliest ones of a member.
     """
     x = crowd.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     tiles = F.expr(
@@ -198,51 +200,73 @@ def tile_pairs(crowd: DataFrame, percent: int = PERCENT) -> DataFrame:
     x = x.withColumn("shard", F.pmod(F.xxhash64("key", "s", "t"), F.lit(shards)))
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[np.ndarray] = []
-        for (_, s, t), tile in rows.groupby(["key", "s", "t"], sort=False):
-            left = tile[tile["side"] == 0]
-            right = left if s == t else tile[tile["side"] == 1]
-            if len(left) and len(right):
-                out += _tile(left, right, s == t, percent)
+        out = list(_met(rows.sort_values(["key", "s", "t", "side"], kind="stable"), percent, best))
         found = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
         return pd.DataFrame(found, columns=["a", "b", "na", "nb"]).drop_duplicates()
 
     return x.groupBy("shard").applyInPandas(meet, "a long, b long, na long, nb long")
 
 
-def _tile(left: pd.DataFrame, right: pd.DataFrame, same: bool, percent: int) -> list[np.ndarray]:
-    """Rows (a, b, na, nb) of the pairs of a tile that pass; band by band, as a band has one width."""
-    out = []
-    bands = [{}, {}]
-    for side, rows in enumerate((left, right)):
-        ids, comp, n = (rows[c].to_numpy() for c in ("id", "component", "n"))
-        widths = np.array([len(v) for v in rows["bits"]])
-        for w in np.unique(widths):
-            at = np.flatnonzero(widths == w)
-            bands[side][int(w)] = (ids[at], comp[at], n[at], np.stack([np.asarray(rows["bits"].iloc[k], np.int64) for k in at]).view(np.uint64))
-    for w, (ia, ca, na, xa) in bands[0].items():
-        for v in (w, 2 * w) if w % 2 else (w, 2 * w, w // 2):
-            if v not in bands[1]:
-                continue
-            ib, cb, nb, xb = bands[1][v]
-            fold = lambda x, to: x if x.shape[1] == to else x[:, :to] | x[:, to:]
-            a, b = fold(xa, min(v, w)), fold(xb, min(v, w))
-            for k in range(len(ia)):
-                fits = (cb != ca[k]) & (np.minimum(nb, na[k]) * 100 >= np.maximum(nb, na[k]) * percent)
-                if same and v == w:
-                    fits &= ib > ia[k]
-                at = np.flatnonzero(fits)
-                if not len(at):
-                    continue
-                y = b[at]
-                most = np.minimum(na[k] - np.bitwise_count(a[k] & ~y).sum(axis=1, dtype=np.int64), nb[at] - np.bitwise_count(y & ~a[k]).sum(axis=1, dtype=np.int64))
-                at = at[most * 100 >= (na[k] + nb[at] - most) * percent]
-                if len(at):
-                    pair = np.column_stack([np.full(len(at), ia[k]), ib[at], np.full(len(at), na[k]), nb[at]])
-                    swap = pair[:, 0] > pair[:, 1]
-                    pair[swap] = pair[swap][:, [1, 0, 3, 2]]
-                    out.append(pair)
-    return out
+def _met(rows: pd.DataFrame, percent: int, best: int | None) -> Iterator[np.ndarray]:
+    """Rows (a, b, na, nb) of the pairs that pass, for sorted tiles, some tiles at a time."""
+    key, s, t, side, ids, comp, n = (rows[c].to_numpy() for c in ("key", "s", "t", "side", "id", "component", "n"))
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (s[1:] != s[:-1]) | (t[1:] != t[:-1]), [True]])
+    bits = rows["bits"].to_numpy()
+    widths = np.array([len(v) for v in bits])
+    first, second, owner, waiting = [], [], [], 0
+    ends = np.flatnonzero(new)
+    for tile, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        mid = lo + int((side[lo:hi] == 0).sum())
+        if s[lo] == t[lo]:
+            i, j = np.triu_indices(hi - lo, 1)
+            i, j = i + lo, j + lo
+        else:
+            i, j = np.repeat(np.arange(lo, mid), hi - mid), np.tile(np.arange(mid, hi), mid - lo)
+        fits = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent)
+        first.append(i[fits])
+        second.append(j[fits])
+        owner.append(np.full(len(first[-1]), tile))
+        waiting += len(first[-1])
+        if waiting >= TILE * TILE or hi == len(rows):
+            i, j, own = np.concatenate(first), np.concatenate(second), np.concatenate(owner)
+            first, second, owner, waiting = [], [], [], 0
+            most = _most_common(bits, widths, n, i, j)
+            passed = most * 100 >= (n[i] + n[j] - most) * percent
+            i, j, own, most = i[passed], j[passed], own[passed], most[passed]
+            if best is not None and len(i):
+                top = _top(own, i, j, most / (n[i] + n[j] - most), mix(ids.view(np.uint64)[i] ^ ids.view(np.uint64)[j]), best)
+                i, j = i[top], j[top]
+            swap = ids[i] > ids[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            yield np.column_stack([ids[i], ids[j], n[i], n[j]])
+
+
+def _most_common(bits: np.ndarray, widths: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Upper bound of the overlap of rows i and j; bands of pairs that fit are one fold apart at most."""
+    most = np.zeros(len(i), np.int64)
+    for w in np.unique(widths[i]):
+        for v in np.unique(widths[j]):
+            at = np.flatnonzero((widths[i] == w) & (widths[j] == v))
+            to = min(w, v)
+            for part in np.array_split(at, 1 + len(at) * int(max(w, v)) // CELLS):
+                if len(part):
+                    a, b = (np.stack(bits[k[part]]).view(np.uint64).reshape(len(part), -1, to) for k in (i, j))
+                    a, b = np.bitwise_or.reduce(a, axis=1), np.bitwise_or.reduce(b, axis=1)
+                    lost = np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64)
+                    most[part] = np.minimum(n[i[part]] - lost[0], n[j[part]] - lost[1])
+    return most
+
+
+def _top(own: np.ndarray, i: np.ndarray, j: np.ndarray, likely: np.ndarray, chance: np.ndarray, best: int) -> np.ndarray:
+    """Whether each pair is among the ``best`` likeliest of either member in its tile; ``chance`` breaks ties."""
+    keep = np.zeros(len(i), bool)
+    # Either member counts both as the first and as the second of pairs.
+    pair, who, tile = np.tile(np.arange(len(i)), 2), np.concatenate([i, j]), np.tile(own, 2)
+    order = np.lexsort((np.tile(chance, 2), -np.tile(likely, 2), who, tile))
+    start = np.concatenate([[True], (who[order][1:] != who[order][:-1]) | (tile[order][1:] != tile[order][:-1])])
+    begin = np.maximum.accumulate(np.where(start, np.arange(len(order)), 0))
+    keep[pair[order[np.arange(len(order)) - begin < best]]] = True
+    return keep
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -272,37 +296,26 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     sketch = set_arrays(texts_of(docs, nodes), width, whole=False).drop("items")
     sketch = settle(sketch.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]))
 
-    links = settle(verified(docs, bounded(first, sketch, percent), nodes, width, percent))
+    links = settle(verified(docs, settle(bounded(first, sketch, percent)), nodes, width, percent))
     vertices = nodes.select(F.col("node").alias("id"))
     label = settle(components(vertices, links))
 
-    # Members that are still in different components meet the largest component of their
-    # key, by one of its members; this joins most of what belongs together at a linear cost.
+    # Members that are still in different components meet within their keys, in tiles.  Each
+    # first meets its likeliest partners only, which joins most of what belongs together
+    # by a number of pairs linear in the members; then all pairs that are still apart meet.
     members = crowd.select("key", F.col("node").alias("id"))
-    tried = first
-    for _ in range(STARS):
-        sizes = label.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-        crowd = settle(members.join(label.join(sizes, "component"), "id"))
-        mixed = crowd.groupBy("key").agg(F.max(F.struct("size", "component", "id")).alias("hub"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
-        mixed = settle(mixed.select("key", "hub"))
-        stars = crowd.join(mixed, "key").where("component <> hub.component").select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"))
-        stars = settle(stars.distinct().join(tried, ["a", "b"], "left_anti"))
-        more = settle(verified(docs, bounded(stars, sketch, percent), nodes, width, percent))
-        if more.isEmpty():
-            break
-        tried, links = tried.unionByName(stars), links.unionByName(more)
+    tried = first.select("a", "b")
+    for best in (BEST, None):
+        crowd = settle(members.join(label, "id"))
+        mixed = crowd.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("members")).where("c0 <> c1")
+        crowd = crowd.join(mixed.select("key", F.ceil(F.col("members") / TILE).alias("blocks")), "key").join(sketch.withColumnRenamed("node", "id"), "id")
+        pairs = settle(tile_pairs(crowd, percent, best).distinct().join(tried, ["a", "b"], "left_anti"))
+        links = settle(links.unionByName(verified(docs, pairs, nodes, width, percent)))
         label = settle(components(vertices, links))
-
-    # What is then left in different components meets within its keys, in tiles.
-    crowd = settle(members.join(label, "id"))
-    mixed = crowd.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("members")).where("c0 <> c1")
-    crowd = crowd.join(mixed.select("key", F.ceil(F.col("members") / TILE).alias("blocks")), "key").join(sketch.withColumnRenamed("node", "id"), "id")
-    second = settle(tile_pairs(crowd, percent).distinct().join(tried, ["a", "b"], "left_anti"))
-    more = settle(verified(docs, second, nodes, width, percent))
+        tried = tried.unionByName(pairs.select("a", "b"))
 
     # Nodes are told by hashes; the component is named by the smallest doc_id in it.
-    label = components(vertices, links.unionByName(more)).withColumnRenamed("id", "node")
-    named = label.join(nodes, "node")
+    named = label.withColumnRenamed("id", "node").join(nodes, "node")
     named = named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("node", "component_id")
     found = keyed.join(classes, keyed["h1"] == classes["node"], "left").join(named, "node", "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "rep")).otherwise(F.col("doc_id"))
