@@ -32,8 +32,8 @@ PERCENT = 80
 BUCKETS = 1 << 20
 #: Sets on one side of a tile, and members of keys that one task takes together.
 TILE, SHARD = 256, 4000
-#: Likeliest partners, by the bit counts, that a member of a tile meets first.
-BEST = 3
+#: Likeliest partners in each tile, by the bit counts, that a member of a tile meets first.
+BEST = 1
 #: Words of bitmaps that are compared at a time.
 CELLS = 1 << 20
 
@@ -139,9 +139,12 @@ def set_arrays(docs: DataFrame, width: int = WIDTH, whole: bool = True) -> DataF
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """doc_id and text of the representative (rep) of each node; other rows are left at the scan."""
+    """doc_id and text of the representative (rep) of each node; other rows are left at the scan.
+
+    An inner join: Catalyst would push a semi-join below the filter, and shuffle all texts.
+    """
     near = IdFilter(nodes.select("rep")).kept(docs.select("doc_id", "text"), "doc_id")
-    return near.join(nodes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    return near.join(nodes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
 
 
 def _fits(small: Column, large: Column, percent: int) -> Column:
