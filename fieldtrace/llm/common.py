@@ -203,30 +203,67 @@ class IdFilter:
         return rows.join(one, F.coalesce(hit, F.lit(False)) == inside).drop("__bitmap")
 
 
-def components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Rounds and jumps that no table of 64-bit ids can need: two rounds halve what is left.
+MOST_ROUNDS = 128
+#: Contracted edges, both ways counted, that the driver settles itself: a fixed 1 MB whatever the input.
+FEW_EDGES = 1 << 16
+
+
+def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected components: (id, component) with component = smallest reachable id.
 
-    ``vertices`` has the column ``id``; ``edges`` has ``a`` and ``b``.  Labels move
-    by alternating neighbour minima and pointer jumping, each round a few joins of
-    the edge list; nothing is gathered on the driver but a count.  Vertices that
-    have no edge keep their own id and take no part in the rounds.
+    ``vertices`` has the column ``id``; ``edges`` has ``a`` and ``b``.  In a round every
+    vertex hooks to its smallest neighbour if that is smaller, pointer doubling finds the
+    roots of the trees, and the edges are contracted to edges between roots.  A root that
+    no vertex hooked to has a smaller neighbour in the next round, so two rounds at least
+    halve the vertices that have edges: rounds grow with the logarithm of their number,
+    whatever the diameter.  Rounds end when no edge is left; the last FEW_EDGES are
+    contracted on the driver, in the same way.  Vertices without edge keep their own id.
     """
-    both = edges.select("a", "b").where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct()
-    both = settle(both)
-    if both.isEmpty():
+    spark = edges.sparkSession
+    left = edges.select("a", "b").where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b"))
+    left = settle(left.distinct())
+    trees: list[DataFrame] = []
+    while (n := left.count()) > FEW_EDGES:
+        if len(trees) == MOST_ROUNDS:
+            raise RuntimeError(f"components: {n} edges are left after {MOST_ROUNDS} rounds")
+        trees.append(_roots(settle(left.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("root")))))
+        for k in "ab":
+            left = left.join(trees[-1].withColumnRenamed("id", k), k).drop(k).withColumnRenamed("root", f"root_{k}")
+        left = settle(left.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).where("a <> b").distinct())
+    if n:
+        pairs = left.toArrow()
+        trees.append(spark.createDataFrame(_small_roots(*(pairs.column(k).to_numpy() for k in "ab")), "id long, root long"))
+    if not trees:
         return vertices.select("id", F.col("id").alias("component"))
-    label = both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component"))
-    label = settle(label)
-    for _ in range(max_rounds):
-        near = (
-            both.join(label.select(F.col("id").alias("b"), "component"), "b")
-            .groupBy(F.col("a").alias("id"))
-            .agg(F.min("component").alias("seen"))
-        )
-        step = label.join(near, "id").select("id", "component", F.least("component", "seen").alias("next"))
-        jump = label.select(F.col("id").alias("next"), F.col("component").alias("far"))
-        new = settle(step.join(jump, "next").select("id", F.col("far").alias("component"), (F.col("far") < F.col("component")).alias("moved")))
-        label = new.select("id", "component")
-        if new.where("moved").isEmpty():
-            break
+    # A root of one round is a vertex of the next, unless it has no edge any more.
+    label = trees.pop().withColumnRenamed("root", "component")
+    while trees:
+        above = label.withColumnRenamed("id", "root")
+        label = trees.pop().join(above, "root", "left").select("id", F.coalesce("component", "root").alias("component"))
     return vertices.select("id").join(label, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def _roots(tree: DataFrame) -> DataFrame:
+    """(id, root) of each vertex from (id, root) where ``root`` is any vertex above it, by pointer doubling."""
+    for _ in range(MOST_ROUNDS):
+        above = tree.select(F.col("id").alias("root"), F.col("root").alias("far"))
+        new = settle(tree.join(above, "root").select("id", F.col("far").alias("root"), (F.col("far") < F.col("root")).alias("moved")))
+        tree = new.select("id", "root")
+        if new.where("moved").isEmpty():
+            return tree
+    raise RuntimeError(f"components: trees are not flat after {MOST_ROUNDS} jumps")
+
+
+def _small_roots(a: np.ndarray, b: np.ndarray) -> pa.Table:
+    """(id, root) of the ends of a few edges, root = smallest reachable id."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    return pa.table({"id": ids, "root": ids[root]})

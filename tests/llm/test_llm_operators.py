@@ -11,7 +11,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
-from fieldtrace.llm import decontamination, jaccard, language_model, metric_join, packing, pii, quality, sql, suffix_dedup, token_counts, toxicity
+from fieldtrace.llm import common, decontamination, jaccard, language_model, metric_join, packing, pii, quality, sql, suffix_dedup, token_counts, toxicity
 from pyspark.sql import functions as F
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -93,6 +93,29 @@ def test_jaccard_of_a_chain_and_a_crowd(spark):
     assert got == components({i: shingles(t) for i, t in rows})
 
 
+@pytest.mark.parametrize(("n", "few"), [(1000, 1 << 16), (100, 0)])
+def test_components_of_a_long_path(spark, monkeypatch, n, few):
+    """A path with ids 0, n-1, n-2, ..., 1 is one component, on the driver's few edges or not; a loop and lone vertices stay."""
+    monkeypatch.setattr(common, "FEW_EDGES", few, raising=False)
+    ids = [0, *range(n - 1, 0, -1)]
+    edges = list(zip(ids[:-1], ids[1:], strict=True)) + [(9000, 9001), (9002, 9002)]
+    vertices = spark.createDataFrame([(i,) for i in [*ids, 9000, 9001, 9002, 9003]], "id long")
+    got = {r["id"]: r["component"] for r in common.components(vertices, spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(n), 0) | {9000: 9000, 9001: 9000, 9002: 9002, 9003: 9003}
+
+
+def test_jaccard_of_a_long_chain(spark):
+    """300 successive versions, each near its neighbours only, with shuffled ids: one component."""
+    n, r = 300, random.Random(11)
+    ids = r.sample(range(n), n)
+    rows = [(ids[i], " ".join(f"v{k}" for k in range(3 * i, 3 * i + 60))) for i in range(n)]
+    sets = {i: shingles(t) for i, t in rows}
+    near = [len(sets[ids[0]] & sets[ids[k]]) * 100 >= 80 * len(sets[ids[0]] | sets[ids[k]]) for k in range(1, n)]
+    assert near[0] and not any(near[2:])
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(got) == n and {x["component_id"] for x in got} == {0}
+
+
 def test_contained_items_equal_brute_force(spark, docs):
     items = [(1, " ".join(BASE[10:40])), (2, " ".join(words(30, 77))), (3, "one TWO"), (4, None), (5, " "), (6, " ".join(BASE[10:38] + ["else", "where"])), (None, "one two"), (7, "four")]
     got = {(r["doc_id"], r["item_id"]): (r["n_item"], r["n_common"]) for r in decontamination.contained_items(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
