@@ -1,9 +1,10 @@
 """Operator 3: language-model scores by a Brown class-based bigram model.
 
-Words are counted over all training texts.  Units are the most frequent words and,
-for all other words, their last two bytes, so that every word, seen or not, has one.
+Words are counted over all training texts.  Units are the words that occur often enough
+and, for all other words, their last two bytes, so that every word, seen or not, has one.
 Exchange clustering moves units between classes as long as the class bigrams gain
-likelihood.  A token's probability is the class transition, times the unit's share of
+likelihood: first the most frequent words and the endings on the driver, then all units
+in Spark, over the counts of the pairs that occur.  A token's probability is the class transition, times the unit's share of
 its class, times the word's share of its unit, each smoothed.
 """
 
@@ -20,12 +21,16 @@ from pyspark.sql import functions as F
 
 from .common import block_words, mix, settle, signed, text_blocks, word_hashes
 
-#: Units: frequent words, endings, one for all other endings, and the text end.
+#: Units clustered first: frequent words, endings, one for all other endings, and the text end.
+#: From UNITS on come all other words that occur ATTESTED times or more, however many.
 WORD_UNITS, ENDING_UNITS = 512, 510
 UNITS = WORD_UNITS + ENDING_UNITS + 2
 OTHER, END = UNITS - 2, UNITS - 1
 CLASSES = 48
 PASSES = 8
+ATTESTED = 50
+#: Passes over all units in Spark, and the gain a token (in nats) from which another follows.
+MOVES, LEAST_GAIN = 4, 1e-3
 #: Words whose counts every task holds; counts of rarer words are joined.
 COMMON_WORDS = 1 << 19
 #: Words that a task gathers before it counts them.
@@ -110,6 +115,7 @@ class Units:
     counts: np.ndarray
     word_unit: np.ndarray  # unit of a common word, or -1: by its ending
     ending_unit: np.ndarray  # 65536 endings
+    start: np.ndarray  # of each unit, that among the first UNITS whose class it starts in
 
     def of(self, table: WordTable, h: np.ndarray, endings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index among the common words or -1, unit) of each word."""
@@ -122,7 +128,7 @@ class Units:
 
 
 def make_units(counts: DataFrame) -> tuple[Units, np.ndarray, np.ndarray]:
-    """The units, and per unit its tokens and distinct words; all of bounded size."""
+    """The units, and per unit its tokens and distinct words; they grow with the words that occur ATTESTED times."""
     # The least count that at most COMMON_WORDS words reach; there are few distinct counts.
     steps = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).collect()
     least, room = 1 << 62, COMMON_WORDS
@@ -131,6 +137,7 @@ def make_units(counts: DataFrame) -> tuple[Units, np.ndarray, np.ndarray]:
         if room < 0:
             break
         least = r["n"]
+    least = min(least, ATTESTED)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,15 +148,17 @@ def make_units(counts: DataFrame) -> tuple[Units, np.ndarray, np.ndarray]:
     h, tail, n = (np.concatenate([np.frombuffer(bytes(r[k]), t) for r in rows]) if rows else np.zeros(0, t) for k, t in enumerate((np.uint64, np.int32, np.int64)))
     order = np.lexsort((h, -n))
     h, tail, n = h[order], tail[order].astype(np.int64), n[order]
-    unit = np.full(len(h), -1, np.int16)
-    unit[:WORD_UNITS] = np.arange(min(WORD_UNITS, len(h)))
-    tokens, types = np.zeros(UNITS, np.int64), np.zeros(UNITS, np.int64)
-    tokens[: min(WORD_UNITS, len(h))], types[: min(WORD_UNITS, len(h))] = n[:WORD_UNITS], 1
+    unit = np.full(len(h), -1, np.int32)
+    first = min(WORD_UNITS, len(h))
+    own = max(first, int((n >= ATTESTED).sum()))
+    unit[:own] = np.concatenate([np.arange(first), UNITS + np.arange(own - first)])
+    tokens, types = np.zeros(UNITS + own - first, np.int64), np.zeros(UNITS + own - first, np.int64)
+    tokens[unit[:own]], types[unit[:own]] = n[:own], 1
     mass, kinds = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
     for r in counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).toLocalIterator():  # 65536 at most
         mass[r["ending"]], kinds[r["ending"]] = r["n"], r["k"]
-    ending = tail[:WORD_UNITS]
-    np.subtract.at(mass, ending, n[:WORD_UNITS])
+    ending = tail[:own]
+    np.subtract.at(mass, ending, n[:own])
     np.subtract.at(kinds, ending, 1)
     ending_unit = np.full(1 << 16, OTHER, np.int64)
     best = np.argsort(-mass, kind="stable")[:ENDING_UNITS]
@@ -157,36 +166,52 @@ def make_units(counts: DataFrame) -> tuple[Units, np.ndarray, np.ndarray]:
     ending_unit[best] = WORD_UNITS + np.arange(len(best))
     np.add.at(tokens, ending_unit, mass)
     np.add.at(types, ending_unit, kinds)
+    start = np.concatenate([np.arange(UNITS), ending_unit[tail[first:own]]])
     order = np.argsort(h)
-    return Units(h[order], n[order], unit[order], ending_unit), tokens, types
+    return Units(h[order], n[order], unit[order], ending_unit, start), tokens, types
 
 
-def unit_bigrams(docs: DataFrame, units: Units) -> np.ndarray:
-    """Counts of neighbouring units, the text end before the first and after the last word."""
+def unit_bigrams(docs: DataFrame, units: Units) -> DataFrame:
+    """(u, v, n): neighbouring units, the text end before the first and after the last word."""
     shared = docs.sparkSession.sparkContext.broadcast(units)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = shared.value
-        table, counts = WordTable(u.hashes), np.zeros(UNITS * UNITS, np.int64)
+        table, held = WordTable(u.hashes), []
+
+        def flush() -> pa.RecordBatch:
+            code, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array((code >> 32).astype(np.int32)), pa.array((code & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], ["u", "v", "n"])
+
         for batch in batches:
             for _, _, data, offsets in text_blocks(batch.column(0)):
                 seq, _, _, _ = unit_sequence(u, table, data, offsets)
-                counts += np.bincount(seq[:-1] * UNITS + seq[1:], minlength=UNITS * UNITS)
-        counts = counts.reshape(UNITS, UNITS)
-        used = np.flatnonzero(counts.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([counts[k].tobytes() for k in used], pa.binary())], ["unit", "row"])
+                held.append(seq[:-1] << 32 | seq[1:])
+                if sum(map(len, held)) > GATHERED:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return docs.select("text").mapInArrow(run, "u int, v int, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
+
 
-    def total(rows: pd.DataFrame) -> pd.DataFrame:
-        s = np.sum([np.frombuffer(r, np.int64) for r in rows["row"]], axis=0)
-        return pd.DataFrame({"unit": [rows["unit"].iloc[0]], "row": [s.tobytes()]})
+def grouped(pairs: DataFrame, group: np.ndarray, size: int) -> np.ndarray:
+    """size x size counts of neighbouring groups, from those of units and the group of each unit."""
+    shared = pairs.sparkSession.sparkContext.broadcast(group)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, counts = shared.value, np.zeros(size * size)
+        for batch in batches:
+            u, v, n = (c.to_numpy() for c in batch.columns)
+            counts += np.bincount(g[u] * size + g[v], n, size * size)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used].astype(np.int64))], ["cell", "n"])
 
-    # Each task hands on one row per unit; pairs are summed before a unit's rows meet.
-    rows = docs.select("text").mapInArrow(run, "unit long, row binary").withColumn("half", F.pmod(F.spark_partition_id(), F.lit(16)))
-    rows = rows.groupBy("unit", "half").applyInPandas(total, "unit long, row binary").groupBy("unit").applyInPandas(total, "unit long, row binary")
-    out = np.zeros((UNITS, UNITS), np.int64)
-    for r in rows.toLocalIterator():  # one row per unit
-        out[r["unit"]] = np.frombuffer(r["row"], np.int64)
-    return out
+    cells = pairs.select("u", "v", "n").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # size * size at most
+    out = np.zeros(size * size, np.int64)
+    out[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+    return out.reshape(size, size)
 
 
 def unit_sequence(u: Units, table: WordTable, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -214,7 +239,6 @@ def exchange_clustering(pairs: np.ndarray, classes: int = CLASSES, passes: int =
     onehot[np.arange(len(n)), cls] = 1
     right, left = n @ onehot, (onehot.T @ n).T  # per unit: counts to classes, from classes
     grid = onehot.T @ right
-    f = lambda x: x * np.log(np.maximum(x, 1e-300))
     for _ in range(passes):
         moved = 0
         for w in order:
@@ -227,13 +251,7 @@ def exchange_clustering(pairs: np.ndarray, classes: int = CLASSES, passes: int =
             grid[a] -= r
             grid[:, a] -= l
             grid[a, a] -= own
-            # grid is without w now: the gain of adding it to each class
-            rows, cols = grid.sum(axis=1), grid.sum(axis=0)
-            gain = (f(grid + r) - f(grid)).sum(axis=1) + (f(grid + l[:, None]) - f(grid)).sum(axis=0)
-            d = np.diagonal(grid)
-            gain += f(d + r + l + own) - f(d + r) - f(d + l) + f(d)
-            gain -= f(rows + r.sum() + own) - f(rows) + f(cols + l.sum() + own) - f(cols)
-            # adding w also raises the column (row) totals of the classes it neighbours; the same for all
+            gain = _gains(grid, r, l, own)
             b = int(gain[: classes - 1].argmax())
             if gain[b] <= gain[a] + 1e-9:
                 b = a
@@ -252,6 +270,85 @@ def exchange_clustering(pairs: np.ndarray, classes: int = CLASSES, passes: int =
     return cls
 
 
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def _gains(grid: np.ndarray, r: np.ndarray, l: np.ndarray, own: float) -> np.ndarray:
+    """Gain of adding a unit to each class; ``grid``, ``r`` and ``l`` are without it."""
+    f = _xlogx
+    rows, cols = grid.sum(axis=1), grid.sum(axis=0)
+    gain = (f(grid + r) - f(grid)).sum(axis=1) + (f(grid + l[:, None]) - f(grid)).sum(axis=0)
+    d = np.diagonal(grid)
+    gain += f(d + r + l + own) - f(d + r) - f(d + l) + f(d)
+    # adding w also raises the column (row) totals of the classes it neighbours; the same for all
+    return gain - (f(rows + r.sum() + own) - f(rows) + f(cols + l.sum() + own) - f(cols))
+
+
+def _likelihood(grid: np.ndarray) -> float:
+    return float(_xlogx(grid.astype(float)).sum() - _xlogx(grid.sum(axis=0).astype(float)).sum() - _xlogx(grid.sum(axis=1).astype(float)).sum())
+
+
+def exchange_passes(pairs: DataFrame, cls: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+    """Class of each unit after passes in which every unit asks for its best class.
+
+    A unit's neighbours are in one partition, and each asks against the same class by
+    class table.  Moves of one pass are made together if that gains likelihood, else a
+    half, a quarter or an eighth of them; without a gain the passes end.
+    """
+    sides = pairs.select(F.col("u").alias("w"), F.col("v").alias("other"), F.lit(0).alias("side"), "n")
+    sides = sides.unionByName(pairs.select(F.col("v").alias("w"), F.col("u").alias("other"), F.lit(1).alias("side"), "n"))
+    sides = settle(sides.where(F.col("w") != END).repartition("w"))
+    grid = grouped(pairs, cls, classes)
+    best = _likelihood(grid)
+    for turn in range(MOVES):
+        shared = pairs.sparkSession.sparkContext.broadcast((cls, grid.astype(float)))
+
+        def ask(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            cls, grid = shared.value
+            ids, place, width = np.zeros(0, np.int64), np.full(len(cls), -1), 2 * classes + 1
+            sums = np.zeros((0, width))
+            for batch in batches:
+                w, other, side, n = (c.to_numpy() for c in batch.columns)
+                new = np.unique(w[place[w] < 0])
+                place[new] = len(ids) + np.arange(len(new))
+                ids, sums = np.concatenate([ids, new]), np.concatenate([sums, np.zeros((len(new), width))])
+                sums += np.bincount(place[w] * width + side * classes + cls[other], n, sums.size).reshape(sums.shape)
+                self_n = np.flatnonzero((w == other) & (side == 0))
+                sums[place[w[self_n]], -1] += n[self_n]
+            unit, to = [], []
+            for w, x in zip(ids, sums, strict=True):
+                a, own, r, l = cls[w], x[-1], x[:classes].copy(), x[classes:-1].copy()
+                r[a] -= own
+                l[a] -= own
+                rest = grid.copy()
+                rest[a] -= r
+                rest[:, a] -= l
+                rest[a, a] -= own
+                gain = _gains(rest, r, l, own)
+                b = int(gain[: classes - 1].argmax())
+                if gain[b] > gain[a] + 1e-6:
+                    unit.append(w)
+                    to.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int64()), pa.array(to, pa.int64())], ["w", "to"])
+
+        moves = sides.mapInArrow(ask, "w long, to long").toArrow()  # one row per unit at most
+        w, to = (moves.column(k).to_numpy() for k in ("w", "to"))
+        chance = mix(w.astype(np.uint64) + np.uint64(turn << 40))
+        for part in (1, 2, 4, 8):
+            some = chance % np.uint64(part) == 0
+            trial = cls.copy()
+            trial[w[some]] = to[some]
+            grid_then = grouped(pairs, trial, classes)
+            gained = _likelihood(grid_then) - best
+            if gained > 0:
+                cls, grid, best = trial, grid_then, best + gained
+                break
+        if gained < LEAST_GAIN * grid.sum():
+            break
+    return cls
+
+
 @dataclass
 class Model:
     units: Units
@@ -270,18 +367,17 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     units, tokens, types = make_units(counts)
     texts = own.count()
     tokens[END], types[END] = texts, 1 if texts else 0
-    pairs = unit_bigrams(own, units)
-    cls = exchange_clustering(pairs)
-    onehot = np.zeros((UNITS, CLASSES))
-    onehot[np.arange(UNITS), cls] = 1
-    grid = onehot.T @ pairs @ onehot
+    pairs = settle(unit_bigrams(own, units))
+    cls = exchange_clustering(grouped(pairs, units.start, UNITS))[units.start]
+    if len(cls) > UNITS:
+        cls = exchange_passes(pairs, cls)
+    grid = grouped(pairs, cls, CLASSES)
     single = (grid.sum(axis=0) + SMOOTH) / (grid.sum() + SMOOTH * CLASSES)
     step = np.log10((grid + 2 * single) / (grid.sum(axis=1, keepdims=True) + 2))
-    of_class = onehot.T @ tokens
-    members = onehot.sum(axis=0)
+    of_class = np.bincount(cls, tokens, CLASSES)
+    members = np.bincount(cls, minlength=CLASSES)
     share = np.log10((tokens + SMOOTH) / (of_class + SMOOTH * members)[cls])
-    by_ending = np.arange(UNITS) >= WORD_UNITS
-    by_ending[END] = False
+    by_ending = slice(WORD_UNITS, END)
     share[by_ending] -= np.log10(tokens + SMOOTH * (types + 1))[by_ending]
     n = int(tokens.sum())
     return Model(units, cls, step, share, n, n + SMOOTH * (int(types.sum()) + 1), texts), counts

@@ -147,6 +147,23 @@ def test_language_model(docs):
         assert r["score"] < 0
 
 
+def test_every_attested_word_has_a_class(spark):
+    """700 words of one ending, of which every second follows the others: all are clustered, and told apart by context."""
+    r, n = random.Random(3), 350
+    first, then = ([f"{k}{i}xx" for i in range(n)] for k in "ab")
+    rows = [(i, " ".join(x for _ in range(10) for x in (r.choice(first), r.choice(then)))) for i in range(4000)]
+    model, counts = language_model.train(spark.createDataFrame(rows, DOCS).repartition(3))
+    often = counts.where(F.col("n") >= language_model.ATTESTED).count()
+    assert often > 650 and (model.units.word_unit >= 0).sum() == often == len(model.cls) - language_model.UNITS + language_model.WORD_UNITS
+    data = np.frombuffer(" ".join(first + then).encode(), np.uint8)
+    starts, ends, _ = common.block_words(data, np.array([0, len(data)]))
+    table = language_model.WordTable(model.units.hashes)
+    at = table.find(common.word_hashes(data, starts, ends))
+    unit = np.where(at >= 0, model.units.word_unit[at], -1)
+    late = [set(model.cls[u[u >= language_model.UNITS]]) for u in (unit[:n], unit[n:])]
+    assert all(late) and not late[0] & late[1]
+
+
 def test_class_model_is_a_distribution():
     """Over all units, the chance of the next one sums to 1 after any class."""
     rng = np.random.default_rng(0)
