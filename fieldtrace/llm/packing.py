@@ -11,7 +11,9 @@ stream that is cut at sequence ends, so it costs no padding.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,62 +28,56 @@ END_ID = 1
 #: Width of a length class in tokens.  The linear program has CAPACITY / UNIT rows,
 #: whatever the size of the corpus.
 UNIT = 8
-#: Chunks of text whose ids a Python worker remembers; beyond it the memory is emptied.
-REMEMBERED = 300_000
+#: Chunks of text in each of the two generations that a Python worker remembers; once the young
+#: one is full it becomes the old one, whose chunks come back as they are met.
+REMEMBERED = 150_000
 
 #: ASCII marks; the tokenizer keeps a run of them apart from the letters before it.
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words of plain Latin letters, each one code point: they are one piece for the tokenizer's merges.
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+#: Characters by which the tokenizer's merges know bytes: printable ones themselves, others from 256 on.
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(SHOWN)))}
 
 _WORKERS: dict[str, "WordIds"] = {}
 
 
-class WordIds:
+class WordIds(dict):
     """Ids of a text, through a memory of its white-space separated chunks.
 
     The tokenizer never forms an id across white space, so the ids of a text are
-    those of its chunks in order.
+    those of its chunks in order.  The dictionary itself is the young generation.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, chunks: set[bytes]) -> None:
-        new = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(chunks)
-        odd, split = [], []
-        known, merges = self.known, self.tokenizer.model
-        for c in new:
-            word = c.rstrip(MARKS)
-            if not word.isalpha():
-                odd.append(c)
-            elif word != c:
-                split.append((c, word, c[len(word) :]))
+        self.merges = self.tokenizer.model.tokenize
+        self.old: dict[bytes, bytes] = {}
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            word = chunk.rstrip(MARKS)
+            if word.isalpha():
+                ids = array("I", [t.id for t in self.merges(word.decode())]).tobytes()
+            elif LETTERS(text := word.decode()):
+                ids = array("I", [t.id for t in self.merges(text.lower().encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
             else:
-                known[c] = np.array([t.id for t in merges.tokenize(c.decode())], "<u4").tobytes()
-        odd += [x for x in {tail for _, _, tail in split} if x not in known]
-        for lo in range(0, len(odd), 4096):
-            part = odd[lo : lo + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, "<u4").tobytes()
-        for c, word, tail in split:
-            if word not in known:
-                known[word] = np.array([t.id for t in merges.tokenize(word.decode())], "<u4").tobytes()
-            known[c] = known[word] + known[tail]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, without the end id."""
-        parts = [t.lower().split() for t in texts]
-        wanted: set[bytes] = set()
-        for p in parts:
-            wanted.update(p)
-        self.learn(wanted)
-        known = self.known
-        return [b"".join([known[c] for c in p]) for p in parts]
+                word, ids = b"", b""
+            if len(word) < len(chunk):
+                ids += self[chunk[len(word) :]] if word else array("I", self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
+        self[chunk] = ids
+        return ids
+
+    def encode(self, text: bytes) -> bytes:
+        """Little-endian 32-bit ids of a text, without the end id."""
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        return b"".join([self[c] for c in text.lower().split()])
 
 
 def word_ids(path: str) -> WordIds:
@@ -95,28 +91,33 @@ def word_ids(path: str) -> WordIds:
 
 
 def _encoded(batch: pa.RecordBatch, path: str) -> Iterator[tuple[int, bytes]]:
-    """(row, ids with the end id) for the texts of a batch, a few at a time."""
+    """(row, ids with the end id) for the texts of a batch, one at a time."""
     coder, end = word_ids(path), np.array([END_ID], "<u4").tobytes()
     texts = batch.column(batch.schema.get_field_index("text")).cast(pa.large_binary()).fill_null(b"")
-    for lo in range(0, len(texts), 256):
-        for k, ids in enumerate(coder.encode(texts.slice(lo, 256).to_pylist())):
-            yield lo + k, ids + end
+    for k, text in enumerate(texts):
+        yield k, coder.encode(text.as_py()) + end
 
 
 def measured(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, doc_tokens and the checksum of each piece that needs no further cut."""
+    """doc_id, doc_tokens, mark (64 bits of the ids), and the checksum of each piece that needs no further cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sums = [], []
+            n, marks, sums = [], [], []
             for _, ids in _encoded(batch, path):
                 n.append(len(ids) // 4)
+                marks.append(_mark(ids))
                 sums.append([zlib.crc32(ids[at : at + 4 * capacity]) for at in range(0, len(ids), 4 * capacity)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.list_(pa.int64()))], ["doc_id", "doc_tokens", "sums"]
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(marks, pa.int64()), pa.array(sums, pa.list_(pa.int64()))],
+                ["doc_id", "doc_tokens", "mark", "sums"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, doc_tokens long, sums array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, doc_tokens long, mark long, sums array<long>")
+
+
+def _mark(ids: bytes) -> int:
+    return (zlib.crc32(ids) << 31) ^ zlib.adler32(ids)
 
 
 def column_generation(demand: np.ndarray, capacity: int, max_rounds: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
@@ -255,22 +256,19 @@ def _streamed(docs: DataFrame, base: DataFrame, left: list[tuple[int, int, int]]
     ends = stream_cuts(int(sizes.sum()), capacity)
     starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
     spots = F.broadcast(spark.createDataFrame([(row, int(a)) for (row, _, _), a in zip(left, at, strict=True)], "row long, at long"))
-    wanted = base.select("row", "doc_id", "doc_tokens", "sums").join(spots, "row").select("doc_id", "doc_tokens", F.element_at("sums", -1).alias("sum"), "at")
-    wanted = wanted.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "doc_tokens", "sum").orderBy("at")))
-    wanted = F.broadcast(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("doc_tokens", "sum", "turn", "at")).alias("spots")))
+    wanted = base.select("row", "doc_id", "doc_tokens", "mark").join(spots, "row")
+    wanted = F.broadcast(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("doc_tokens", "mark", "at")).alias("spots")))
     cuttable = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select(docs["doc_id"], "text", "spots")
-    # Rows that repeat a doc_id: each of its texts is met once, equal ones take turns.
-    cuttable = cuttable.groupBy("doc_id", "text").agg(F.first("spots").alias("spots"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             ids_of, spots_of = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for k, ids in _encoded(batch, path):
-                n = len(ids) // 4
+                n, mark = len(ids) // 4, _mark(ids)
                 tail = n - n % capacity
                 for spot in spots_of[k]:
-                    if spot["doc_tokens"] != n or spot["sum"] != zlib.crc32(ids[4 * tail :]):
+                    if spot["doc_tokens"] != n or spot["mark"] != mark:
                         continue
                     a, stop = spot["at"], spot["at"] + n - tail
                     j = int(np.searchsorted(ends, a, "right"))
@@ -282,4 +280,6 @@ def _streamed(docs: DataFrame, base: DataFrame, left: list[tuple[int, int, int]]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(7)], names)
 
-    return cuttable.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    pieces = cuttable.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    # Rows of equal ids under one doc_id each give the pieces of all their spots, which are equal.
+    return pieces.dropDuplicates(["sequence_id", "offset"])
