@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, settle
@@ -28,18 +28,18 @@ def _units(column: pd.Series) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """Rows that can link: an id, a label, and a finite vector that is not zero."""
+def usable() -> Column:
+    """Whether a row can link: it has an id, a label, and a finite vector that is not zero."""
     e = F.col("embedding")
     finite = ~F.exists(e, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return vectors.select("vec_id", "label", "embedding").where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & e.isNotNull()).where(finite & F.exists(e, lambda v: v != 0))
+    return F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists(e, lambda v: v != 0), F.lit(False))
 
 
 def assign_cells(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Cells of each vector: its own (ghost false) and those it may reach (ghost true)."""
     sizes = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.select("label", "dim", F.least(F.lit(MOST_PIVOTS), F.ceil(F.col("n") / PER_CELL)).alias("pivots"), F.ceil(F.col("n") / SHARE).alias("shares"))
-    turn = F.row_number().over(Window.partitionBy("label", "dim").orderBy(F.xxhash64("embedding"), "rep"))
+    turn = F.row_number().over(Window.partitionBy("label", "dim").orderBy("rep"))
     pivots = classes.select("label", "dim", "rep", "embedding", turn.alias("turn")).where(F.col("turn") <= MOST_PIVOTS)
     pivots = pivots.join(sizes, ["label", "dim"]).where("turn <= pivots").select("label", "dim", "turn", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
     spread = classes.join(sizes, ["label", "dim"]).withColumn("share", F.pmod(F.xxhash64("rep"), F.col("shares"))).drop("pivots", "shares")
@@ -130,17 +130,21 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     least ``cosine``.  Vectors that are null, zero or hold null or non-finite
     components, rows without label or id, and vectors of different length link with
     nothing.  Equal vectors are one class with a count from the start, so copies cost
-    nothing; rows that repeat a vec_id with the same vector count as copies.  Other
-    columns are ignored.
+    nothing.  Every row is a vector of its own, whatever its vec_id: rows that repeat one
+    with the same vector are copies, with another vector they have links of their own.
+    Classes are told apart by 64-bit hashes of label and vector.  Other columns are ignored.
     """
-    good = usable(vectors)
-    classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = settle(classes.withColumn("dim", F.size("embedding")))
+    rows = vectors.select("vec_id", "label", "embedding").withColumn("usable", usable())
+    good = rows.where("usable")
+    classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("name"), F.count(F.lit(1)).alias("copies"))
+    classes = settle(classes.withColumns({"dim": F.size("embedding"), "rep": F.xxhash64("label", "embedding")}))
     links = settle(tile_links(settle(assign_cells(classes, cosine)), cosine))
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
     label = components(classes.select(F.col("rep").alias("id")), links.select(F.col("rep").alias("a"), F.col("peer").alias("b")))
-    found = classes.join(counts, "rep", "left").join(label.withColumnRenamed("id", "rep"), "rep")
-    found = found.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("component").alias("component_id"))
+    label = label.withColumnRenamed("id", "rep").join(classes.select("rep", "name"), "rep")
+    label = label.join(label.groupBy("component").agg(F.min("name").alias("component_id")), "component").select("rep", "component_id")
+    found = classes.join(counts, "rep", "left").join(label, "rep")
+    found = found.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     member = good.join(found, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
-    bad = vectors.join(good.select("vec_id").distinct(), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    bad = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return member.unionByName(bad).withColumn("kept", F.col("vec_id") == F.col("component_id"))
