@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 #: Texts are handled in blocks of about this many bytes, so that the numpy work
 #: arrays of a task stay small whatever the size of an Arrow batch.
 BLOCK_BYTES = 1 << 20
-#: Bits of the filter through which texts of candidate documents are fetched again.
-FILTER_BITS = 1 << 23
+#: Bits of the filter through which texts of candidate documents are fetched again, per key and in all:
+#: 16 MB at most, whatever the keys.  With more keys than that all rows pass, and the join behind it does the work.
+KEY_BITS, FILTER_BITS = 8, 1 << 27
 
 #: Bytes of an Arrow batch between Spark and a Python worker.
 BATCH_BYTES = 4 << 20
@@ -173,20 +174,24 @@ def signed(a: np.ndarray) -> np.ndarray:
 
 
 class IdFilter:
-    """A bitmap of fixed size over the hashes of a column; false positives only.
+    """A bitmap over the hashes of a column, sized by the number of its rows; false positives only.
 
-    Spark builds it; it lets scans skip most rows that no join will want.  Beyond
-    its capacity it lets more through and the join behind it does the work.
+    Spark builds it; it lets scans skip most rows that no join will want.  For more rows than
+    FILTER_BITS there is none, and every row passes.
     """
 
-    def __init__(self, ids: DataFrame, bits: int = FILTER_BITS, hashed: bool = False) -> None:
+    def __init__(self, ids: DataFrame, hashed: bool = False) -> None:
         """``hashed``: the column is a hash already, and its low bits are the position."""
-        self.bits = bits
         column = F.col(ids.columns[0]).cast("long")
-        at = column.bitwiseAND(bits - 1) if hashed else F.pmod(F.xxhash64(column), F.lit(bits))
+        rows = ids.count()
+        self.bits = min(FILTER_BITS, 1 << max(16, (KEY_BITS * rows).bit_length()))
+        self.map = b""
+        if rows > FILTER_BITS:
+            return
+        at = column.bitwiseAND(self.bits - 1) if hashed else F.pmod(F.xxhash64(column), F.lit(self.bits))
         rows = ids.select((at + 1).alias("at"))  # buckets count from 1 and hold 32768 bits
         rows = rows.groupBy(F.expr("bitmap_bucket_number(at)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("map"))
-        whole = bytearray(bits // 8)
+        whole = bytearray(self.bits // 8)
         for r in rows.toLocalIterator():  # bits / 32768 rows of 4 KB
             whole[(r["bucket"] - 1) * 4096 : (r["bucket"] - 1) * 4096 + len(r["map"])] = r["map"]
         self.map = bytes(whole)
@@ -196,6 +201,8 @@ class IdFilter:
 
         The bitmap comes as a broadcast table of one row, so that plans stay small.
         """
+        if not self.map:
+            return rows if inside else rows.where(F.lit(False))
         one = F.broadcast(rows.sparkSession.createDataFrame([(bytearray(self.map),)], "__bitmap binary"))
         at = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(self.bits))
         byte = F.substring(F.col("__bitmap"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))

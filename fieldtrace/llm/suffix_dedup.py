@@ -94,13 +94,15 @@ def ranges(rows: DataFrame, wanted: bytes | None = None, span: int = SPAN) -> Da
     shared = rows.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = shared.value
-        bitmap = None if packed is None else np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little").astype(bool)
+        bitmap = np.frombuffer(shared.value or b"", np.uint8)
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for lo, _, data, offsets in text_blocks(batch.column(1)):
                 r = anchored_ranges(data, offsets, span)
-                keep = slice(None) if bitmap is None else bitmap[(r["key"] & np.uint64(len(bitmap) - 1)).astype(np.int64)]
+                keep = slice(None)
+                if len(bitmap):
+                    bit = (r["key"] & np.uint64(8 * len(bitmap) - 1)).astype(np.int64)
+                    keep = bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(r["key"][keep])), pa.array(signed(r["ctx"][keep])), pa.array(ids[lo + r["text"][keep]]), pa.array(r["at"][keep]), pa.array(r["lo"][keep].astype(np.int16)), pa.array(r["hi"][keep].astype(np.int16))],
                     ["key", "ctx", "row", "at", "lo", "hi"],
