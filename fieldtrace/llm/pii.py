@@ -3,11 +3,12 @@
 Patterns propose spans.  Labelers vote on each span, or abstain: the strict pattern
 with its checks, a gazetteer, the words before it, and the characters around it.
 Expectation-maximisation over the counts of vote patterns estimates how reliable each
-labeler is for each kind, and a logistic span classifier is trained on the posteriors.
-Spans of the strict patterns always stay; the classifier adds others.
+labeler is for each kind, and a logistic span classifier is trained on the posteriors: it
+sees the votes and, beside them, the shape of the span, which no labeler judges.  Spans of
+the strict patterns always stay; the classifier adds others and rejects the rest.
 
-DataFrame and SQL functions only: what the driver sees is one row per vote pattern,
-a few thousand at most whatever the corpus.
+DataFrame and SQL functions only: what the driver sees is one row per kind, vote pattern
+and shape, some ten thousand at most whatever the corpus.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
+
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns of the base.  Possessive quantifiers and the look-behinds change no
 #: match; they keep the matcher linear and off the stack on very long runs.
@@ -30,7 +33,8 @@ BASE = {
 LOOSE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++\x20?[(\[](?:at|AT)[)\]]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[(\[](?:dot|DOT)[)\]])\x20?[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "phone": r"(?<![0-9+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
+    "card": r"(?<![0-9])[0-9]{4}(?:[.\x20-]?[0-9]{4}){3}(?![0-9])",
+    "phone": r"(?<![0-9+().-])(?:\+[0-9]{1,3}[\x20.-]?)?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
 }
 #: A text without this cannot hold the kind.
 NEEDS = {"email": r"@|[(\[](?:at|AT)[)\]]", "ip": r"[0-9A-Fa-f]{1,4}[.:][0-9A-Fa-f]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"[0-9]"}
@@ -48,6 +52,12 @@ CUES = {
 }
 AGAINST = r"(?i)(?:version|licen[sc]e|release|chapter|\bno\.|\bid\b|isbn|serial)\W*$"
 LABELERS = ("strict", "check", "gazetteer", "context", "edges")
+#: What a labeler is taken to do before any data: how often it votes for the true class, and how often it abstains.
+RIGHT, ABSTAINS = 0.5, 0.45
+#: A vote against is at least so many times as likely for a false span as for a true one.
+SURE = 20
+#: Shape of a span: digits by fours (up to 20), and runs of marks between them (up to 7).
+DIGIT_STEPS, MARK_RUNS = 6, 8
 
 
 def _luhn(x: str) -> str:
@@ -66,6 +76,8 @@ CHECK = {
     "card": "if(" + _digits("{x}") + " between 16 and 19, " + _luhn("{x}") + ", false)",
     "phone": _digits("{x}") + " between 8 and 15",
 }
+#: Kinds whose looser forms the check can tell apart too; looser phone numbers have enough digits by their form.
+DIGITS = ("card",)
 #: Failed matches of the strict patterns that are still worth a vote.
 WORTH = {"email": "true", "ip": "true", "card": _digits("{x}") + " between 13 and 19", "phone": _digits("{x}") + " between 7 and 16"}
 
@@ -79,7 +91,7 @@ def _matches(kind: str, pattern: str, strict: bool) -> str:
     m, p = f"regexp_extract_all(text, r'{pattern}', 0)", f"split(text, r'{pattern}', -1)"
     vote = {
         "strict": ("if(ok, 2, 0)" if strict else "1"),
-        "check": "if(ok, 2, 0)" if strict else "1",
+        "check": "if(ok, 2, 0)" if strict or kind in DIGITS else "1",
         "gazetteer": f"if(x rlike r'{GAZETTEER[kind]}', 2, 1)",
         "context": f"if(before rlike r'{AGAINST}', 0, if(before rlike r'{CUES[kind]}', 2, 1))",
         "edges": "if(before rlike r'[\\p{L}0-9_]$' or after rlike r'^[\\p{L}0-9_]', 0, 1)",
@@ -87,7 +99,9 @@ def _matches(kind: str, pattern: str, strict: bool) -> str:
     code = "0"
     for name in LABELERS:
         code = f"3 * ({code}) + {vote[name]}"
-    ok = CHECK[kind].format(x="x") if strict else "false"
+    shape = f"{MARK_RUNS} * least({DIGIT_STEPS - 1}, ({_digits('x')}) div 4) + least({MARK_RUNS - 1}, regexp_count(x, '[^0-9A-Za-z]+'))"
+    code = f"cast({DIGIT_STEPS * MARK_RUNS} * ({code}) + {shape} as int)"
+    ok = CHECK[kind].format(x="x") if strict or kind in DIGITS else "false"
     keep = f"where_ok or ({WORTH[kind].format(x='x')})" if strict else "true"
     # let-bindings by one-element transforms: m, pieces, running ends, then each span
     spans = f"""flatten(transform(array(struct({m} as m, {p} as p)), v ->
@@ -99,13 +113,14 @@ def _matches(kind: str, pattern: str, strict: bool) -> str:
 
 
 def _qualify(code: str) -> str:
-    return code.replace("if(ok", "if(t.ok").replace("if(x ", "if(t.x ").replace("before ", "t.before ").replace("after ", "t.after ")
+    return code.replace("if(ok", "if(t.ok").replace("if(x ", "if(t.x ").replace("(x,", "(t.x,").replace("before ", "t.before ").replace("after ", "t.after ")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """``docs`` with ``found``: array<struct<kind, start, end, base, code>> by kind, then start.
 
-    A candidate that overlaps a base span of its kind is left out.
+    A candidate that overlaps a base span of its kind is left out, as is a looser one at the
+    very place of a failed strict one; others that overlap are told apart by the classifier.
     """
     d = docs.withColumn("text", F.coalesce("text", F.lit("")))
     none = "cast(array() as array<struct<kind: string, start: int, end: int, base: boolean, code: int>>)"
@@ -116,19 +131,20 @@ def candidates(docs: DataFrame) -> DataFrame:
         if kind in LOOSE:
             more = f"case when text rlike r'{LOOSE[kind]}' then {_matches(kind, LOOSE[kind], False)} else {none} end"
             d = d.withColumn(f"_more_{kind}", F.expr(more))
-            d = d.withColumn(f"_{kind}", F.expr(f"array_sort(concat(_{kind}, filter(_more_{kind}, y -> not exists(_{kind}, z -> z.start < y.end and y.start < z.end))))")).drop(f"_more_{kind}")
+            d = d.withColumn(f"_{kind}", F.expr(f"array_sort(concat(_{kind}, filter(_more_{kind}, y -> not exists(_{kind}, z -> if(z.base, z.start < y.end and y.start < z.end, z.start = y.start and z.end = y.end)))))")).drop(f"_more_{kind}")
         columns.append(f"_{kind}")
     return d.withColumn("found", F.concat(*columns)).drop(*columns)
 
 
 def vote_counts(found: DataFrame) -> list[tuple[str, int, int]]:
-    """(kind, vote code, number of spans): at most len(KINDS) * 3 ** len(LABELERS) rows."""
+    """(kind, code, number of spans): at most len(KINDS) * 3 ** len(LABELERS) * DIGIT_STEPS * MARK_RUNS rows."""
     rows = found.select(F.explode("found").alias("s")).groupBy("s.kind", "s.code").count()
     return sorted((r["kind"], r["code"], r["count"]) for r in rows.collect())
 
 
 def votes_of(code: int) -> list[int]:
     """Votes in the order of LABELERS: -1 against, 0 abstains, 1 for."""
+    code //= DIGIT_STEPS * MARK_RUNS
     out = []
     for _ in LABELERS:
         code, v = divmod(code, 3)
@@ -136,83 +152,113 @@ def votes_of(code: int) -> list[int]:
     return out[::-1]
 
 
+def shape_of(code: int) -> tuple[int, int]:
+    """Steps of digits, and runs of marks."""
+    return divmod(code % (DIGIT_STEPS * MARK_RUNS), MARK_RUNS)
+
+
 def estimate(counts: list[tuple[str, int, int]], rounds: int = 50) -> dict[tuple[str, int], float]:
     """Posterior of each (kind, code) by expectation-maximisation over labeler reliabilities.
 
-    Each labeler has, per class, a probability of each of its three votes, smoothed and
-    shared by the kinds; each kind has its own prior.  The start is the share of votes
-    for among those given.
+    Each labeler has, per kind and class, a probability of each of its three votes; each
+    kind has its own prior.  The start is the share of votes for among those given.  Half
+    as many spans as there are speak, beside the data, for labelers that are seldom wrong:
+    else the likeliest table is one in which all spans are of one class.
     """
     post = {}
     for kind, code, _ in counts:
         v = [x for x in votes_of(code) if x]
         post[kind, code] = (1 + sum(x > 0 for x in v)) / (2 + len(v))
     for _ in range(rounds):
-        prior = {}
-        for kind in KINDS:
-            own = [(post[k, c], n) for k, c, n in counts if k == kind]
-            total = sum(n for _, n in own)
-            prior[kind] = (1 + sum(p * n for p, n in own)) / (2 + total)
-        table = [[[1.0 + 2 * (v == 0) + (3 if v == (1 if y else -1) else 0) for v in (-1, 0, 1)] for y in (0, 1)] for _ in LABELERS]
-        for kind, code, n in counts:
-            p = post[kind, code]
-            for j, v in enumerate(votes_of(code)):
-                table[j][1][v + 1] += p * n
-                table[j][0][v + 1] += (1 - p) * n
         new = {}
-        for kind, code, _ in counts:
-            z = math.log(prior[kind] / (1 - prior[kind]))
-            for j, v in enumerate(votes_of(code)):
-                z += math.log(table[j][1][v + 1] / sum(table[j][1])) - math.log(table[j][0][v + 1] / sum(table[j][0]))
-            new[kind, code] = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-        post, moved = new, max(abs(new[k] - post[k]) for k in new) if new else 0.0
+        for kind in KINDS:
+            own = [(c, post[k, c], n) for k, c, n in counts if k == kind]
+            total = sum(n for _, _, n in own)
+            prior = (1 + total / 4 + sum(p * n for _, p, n in own)) / (2 + 1.5 * total)
+            table = [[[(5 + total / 2) * (RIGHT if v == (1 if y else -1) else ABSTAINS if v == 0 else 1 - RIGHT - ABSTAINS) for v in (-1, 0, 1)] for y in (0, 1)] for _ in LABELERS]
+            for code, p, n in own:
+                for j, v in enumerate(votes_of(code)):
+                    table[j][1][v + 1] += p * n
+                    table[j][0][v + 1] += (1 - p) * n
+            for code, _, _ in own:
+                z = math.log(prior / (1 - prior))
+                for j, v in enumerate(votes_of(code)):
+                    step = math.log(table[j][1][v + 1] / sum(table[j][1])) - math.log(table[j][0][v + 1] / sum(table[j][0]))
+                    z += min(step, -math.log(SURE)) if v < 0 else step
+                new[kind, code] = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        moved = max(abs(new[k] - post[k]) for k in new) if new else 0.0
+        post = new
         if moved < 1e-6:
             break
     return post
 
 
-def _features(kind: str, code: int) -> list[float]:
-    return [1.0] + [float(kind == k) for k in KINDS] + [float(v == s) for v in votes_of(code) for s in (-1, 1)]
+def _features(code: int) -> list[float]:
+    """Bias, votes, and the shape of the span."""
+    digits, marks = shape_of(code)
+    votes = [float(v == s) for v in votes_of(code) for s in (-1, 1)]
+    return [1.0, *votes, *(float(digits == k) for k in range(DIGIT_STEPS)), *(float(marks == k) for k in range(MARK_RUNS))]
 
 
-def train(counts: list[tuple[str, int, int]], rounds: int = 400, rate: float = 0.5) -> list[float]:
-    """Weights of the span classifier: logistic regression on the posteriors.
+def train(counts: list[tuple[str, int, int]], rounds: int = 400, rate: float = 1.0) -> dict[str, list[float]]:
+    """Weights of the span classifier of each kind: logistic regression on the posteriors.
 
-    Every vote pattern counts by the logarithm of its spans, so that rare patterns are
-    heard beside the usual ones.
+    Every pattern of votes and shape counts by the logarithm of its spans, so that rare
+    ones are heard beside the usual ones.
     """
     post = estimate(counts)
-    rows = [(_features(k, c), post[k, c], 1 + math.log(n)) for k, c, n in counts]
-    w = [0.0] * len(_features(KINDS[0], 0))
-    total = sum(m for _, _, m in rows) or 1.0
-    for _ in range(rounds):
-        g = [0.002 * x for x in w]
-        for f, y, m in rows:
-            z = sum(a * b for a, b in zip(w, f, strict=True))
-            e = m / total * (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - y)
-            for j, v in enumerate(f):
-                g[j] += e * v
-        w = [a - rate * b for a, b in zip(w, g, strict=True)]
-    return w
-
-
-def decided(found: DataFrame, weights: list[float]) -> DataFrame:
-    """``found`` with only base spans and those the classifier accepts."""
-    terms = [str(weights[0])] + [f"if(s.kind = '{k}', {w}D, 0D)" for k, w in zip(KINDS, weights[1:5], strict=True)]
-    for j in range(len(LABELERS)):
-        v = f"(s.code div {3 ** (len(LABELERS) - 1 - j)}) % 3"
-        terms += [f"if({v} = 0, {weights[5 + 2 * j]}D, 0D)", f"if({v} = 2, {weights[6 + 2 * j]}D, 0D)"]
-    terms[0] += "D"
-    return found.withColumn("found", F.expr(f"filter(found, s -> s.base or ({' + '.join(terms)}) >= 0D)"))
-
-
-def personal_spans(docs: DataFrame) -> DataFrame:
+    weights = {}
+    for kind in KINDS:
+        rows = [([j for j, v in enumerate(_features(c)) if v], post[k, c], 1 + math.log(n)) for k, c, n in counts if k == kind]
+        w = [0.0] * len(_features(0))
+        total = sum(m for _, _, m in rows) or 1.0
+        for _ in range(rounds):
+            g = [0.002 * x for x in w]
+            for at, y, m in rows:
+                z = sum(w[j] for j in at)
+                e = m / total * (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - y)
+                for j in at:
+                    g[j] += e
+            w = [a - rate * b for a, b in zip(w, g, strict=True)]
+        weights[kind] = w
+    return weights
+
+
+def decided(found: DataFrame, weights: dict[str, list[float]]) -> DataFrame:
+    """``found`` with only base spans and those the classifier accepts; of accepted ones of a
+    kind that overlap the first stays."""
+    shapes = DIGIT_STEPS * MARK_RUNS
+    cases = []
+    for kind in KINDS:
+        w = weights[kind]
+        terms = [f"{w[0]}D"]
+        for j in range(len(LABELERS)):
+            v = f"(s.code div {shapes * 3 ** (len(LABELERS) - 1 - j)}) % 3"
+            terms += [f"if({v} = 0, {w[1 + 2 * j]}D, if({v} = 2, {w[2 + 2 * j]}D, 0D))"]
+        at = 1 + 2 * len(LABELERS)
+        for steps, value in ((DIGIT_STEPS, f"s.code % {shapes} div {MARK_RUNS}"), (MARK_RUNS, f"s.code % {MARK_RUNS}")):
+            terms.append(f"element_at(array({', '.join(f'{x}D' for x in w[at : at + steps])}), cast({value} + 1 as int))")
+            at += steps
+        cases.append(f"when s.kind = '{kind}' then {' + '.join(terms)}")
+    accepted = f"filter(found, s -> s.base or (case {' '.join(cases)} end) >= 0D)"
+    # Among accepted spans only those that the classifier adds can overlap others of their kind.
+    return found.withColumn("found", F.expr(accepted)).withColumn(
+        "found", F.expr("filter(found, (s, i) -> s.base or not exists(slice(found, 1, i), z -> z.kind = s.kind and z.end > s.start and z.start < s.end))")
+    )
+
+
+def personal_spans(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """``docs``, with its column text, and ``found``, the accepted spans; text is not null after it.
 
     Spans are by kind, then start; positions are code points, the end exclusive.  A null
-    or empty text has none.  Other columns stay as they are.
+    or empty text has none; rows that are equal or repeat an id are rows each; other
+    columns stay as they are.  Without text the candidates are found once and kept in a
+    checkpoint; with it they are found again, as texts would be most of the checkpoint.
     """
     found = candidates(docs)
+    if not with_text:
+        found = settle(found.drop("text"))
+        return decided(found, train(vote_counts(found)))
     return decided(found, train(vote_counts(candidates(docs.select("text")))))
 
 
