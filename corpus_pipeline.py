@@ -15,7 +15,10 @@ from fieldtrace.llm.common import small_batches, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain rejects go; rows of null or empty text stay."""
+    """Documents that the classifier chain rejects go; rows of null or empty text stay.
+
+    Rows that are equal or repeat a doc_id are judged each by its own text; all columns are kept.
+    """
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
@@ -26,7 +29,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Rows of null or empty text and rows without doc_id hold none and stay; rows that repeat
+    a doc_id go together if one of them holds an item; all columns are kept.
+    """
     return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -36,7 +43,11 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens."""
+    """Pieces of documents in sequences of 2048 tokens.
+
+    A null or empty text is its end id alone; rows that are equal or repeat a doc_id are
+    packed each on its own.
+    """
     small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
@@ -49,7 +60,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Classifiers and tokenizers are beyond SQL; tests compare run() with a brute-force version.
+#: Classifiers and tokenizers are beyond SQL; tests/llm/test_pipeline.py compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
