@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .samples import LENGTH, WIDTH, squared_step, track
@@ -79,21 +79,43 @@ def trail_breaks(samples: DataFrame) -> DataFrame:
 
 def trail_summary(samples: DataFrame) -> DataFrame:
     """segments, breaks, unseen time and metres (in tenths of millimetres) walked inside segments."""
+    return trail_steps(samples).groupBy("id").agg(*trail_sums())
+
+
+def trail_steps(samples: DataFrame) -> DataFrame:
+    """Adds step: tenths of millimetres from the sample before in the same segment."""
     prev = {c: F.lag(c).over(Window.partitionBy("id", "run").orderBy("t_us", "ord")) for c in ("x_m", "y_m")}
     step = F.sqrt(squared_step(F.col("x_m"), F.col("y_m"), prev["x_m"], prev["y_m"]).cast("double"))
-    s = samples.withColumn("step", F.coalesce(F.floor(step * 10).cast("long"), F.lit(0).cast("long")))
-    return s.groupBy("id").agg(
-        F.count_distinct("run").alias("segments"),
+    return samples.withColumn("step", F.coalesce(F.floor(step * 10).cast("long"), F.lit(0).cast("long")))
+
+
+def trail_sums() -> list[Column]:
+    """What is summed over a trail; runs count from the first sample on without holes."""
+    return [
+        (F.max("run") - F.min("run") + 1).alias("segments"),
         F.sum(F.when(F.col("why") != "", 1).otherwise(0)).alias("breaks"),
         F.sum(F.when(F.col("why") == "unseen", F.col("dt")).otherwise(0)).alias("unseen_us"),
         F.sum("step").alias("tenth_mm"),
-    )
+    ]
 
 
 def identity_report(samples: DataFrame, t0: int, t1: int) -> DataFrame:
-    """Coverage, average position and trail of every identity."""
-    cut = in_range(samples, t0, t1)
-    return coverage(samples, t0, t1).join(averages(cut), "id").join(trail_summary(samples), "id")
+    """Coverage, average position and trail of every identity seen in the range: one grouping by identity.
+
+    Samples come partitioned by identity from their windows, so the grouping needs no shuffle.
+    """
+    s = trail_steps(samples)
+    inside = F.col("t_us").between(t0, t1)
+    w = F.when(inside, F.col("w"))
+    g = s.groupBy("id").agg(
+        F.sum(w).alias("w"), F.sum(F.col("x_m") * w).alias("wx"), F.sum(F.col("y_m") * w).alias("wy"), F.count(w).alias("samples"), F.first("team").alias("team"), F.first("role").alias("role"), *trail_sums()
+    ).where("samples > 0")
+    half = F.least(F.col("w"), F.lit(2 * (t1 - t0)))
+    share = half / (2 * (t1 - t0))
+    return g.select(
+        "id", half.cast("long").alias("half_us"), share.alias("share"), "samples", (share < 0.5).alias("low"), (F.col("wx") / F.col("w")).alias("x"), (F.col("wy") / F.col("w")).alias("y"), "team", "role",
+        "segments", "breaks", "unseen_us", "tenth_mm",
+    )
 
 
 def current_block(times: DataFrame) -> DataFrame:

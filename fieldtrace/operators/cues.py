@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,25 +75,34 @@ def mean_vectors(vectors: DataFrame) -> DataFrame:
 def velocity(people: DataFrame, gate_us: int = 1_500_000) -> DataFrame:
     """Running velocity 0.6 old + 0.4 new, in order; gaps beyond the gate leave it as it is.
 
-    The recursion of one identity is one fold over its sorted sightings.
+    The sightings of an identity stream by in order with the last one and its velocity
+    carried along; no identity is held whole.
     """
-    rows = F.array_sort(F.collect_list(F.struct("t_us", "ord", "x_m")))
-    zero = F.struct(F.lit(None).cast("long").alias("t"), F.lit(None).cast("long").alias("x"), F.lit(0.0).alias("v"))
-
-    def step(a, r):
-        dt = r["t_us"] - a["t"]
-        new = (r["x_m"] - a["x"]) / dt.cast("double") * 1_000_000
-        v = F.when((dt > 1000) & (dt <= gate_us), F.lit(0.6) * a["v"] + F.lit(0.4) * new).otherwise(a["v"])
-        return F.struct(r["t_us"].alias("t"), r["x_m"].alias("x"), v.alias("v"))
 
-    return people.groupBy("id").agg(F.round(F.aggregate(rows, zero, step)["v"], 6).alias("velocity"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, t0, x0, v = None, 0, 0, 0.0
+        for batch in batches:
+            done = []
+            for k, t, x in zip(batch["id"], batch["t_us"].tolist(), batch["x_m"].tolist(), strict=True):
+                if k != own:
+                    if own is not None:
+                        done.append((own, v))
+                    own, v = k, 0.0
+                elif 1000 < t - t0 <= gate_us:
+                    v = 0.6 * v + 0.4 * ((x - x0) / (t - t0) * 1_000_000)
+                t0, x0 = t, x
+            yield pd.DataFrame(done, columns=["id", "velocity"])
+        yield pd.DataFrame([(own, v)] if own is not None else [], columns=["id", "velocity"])
+
+    rows = people.where("id is not null").select("id", "t_us", "x_m", "ord").repartition("id").sortWithinPartitions("id", "t_us", "ord")
+    return rows.mapInPandas(run, "id string, velocity double").withColumn("velocity", F.round("velocity", 6))
 
 
 def overlapping(points: DataFrame, segments: DataFrame, slack: int, width: int) -> DataFrame:
-    """Segments [from_us, to_us] that each point touches, with slack; buckets make it an equi-join."""
+    """Segments [from_us, to_us] of its video that each point touches, with slack; buckets make it an equi-join."""
     s = segments.withColumn("b", F.explode(F.sequence(F.floor((F.col("from_us") - slack) / width), F.floor((F.col("to_us") + slack) / width))))
     p = points.withColumn("b", F.floor(F.col("t_us") / width))
-    return p.join(s, "b").where((F.col("from_us") <= F.col("t_us") + slack) & (F.col("to_us") >= F.col("t_us") - slack)).drop("b")
+    return p.join(s, ["video", "b"]).where((F.col("from_us") <= F.col("t_us") + slack) & (F.col("to_us") >= F.col("t_us") - slack)).drop("b")
 
 
 def sighting_around(fragments: DataFrame, sightings: DataFrame) -> DataFrame:

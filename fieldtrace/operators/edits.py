@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,20 +45,34 @@ def interval_replaced(old: DataFrame, new: DataFrame, start: int, end: int) -> D
     return stays.unionByName(new.where(F.col("t_us").between(start, end)))
 
 
-def resolved(merges: DataFrame, rounds: int = 40) -> DataFrame:
+def resolved(merges: DataFrame) -> DataFrame:
     """(id, root): where the chain of merges of each id ends; ``merges`` has id and into.
 
-    Pointer doubling: a chain of n merges takes log2(n) joins, whatever their number.
+    Pointer doubling: a chain of n merges takes log2(n) joins, whatever their number.  A
+    chain that leads back to itself has no end and is an error: it is the only one that
+    is longer than 2 ** 63.
     """
     m = merges.select("id", F.col("into").alias("root"))
-    for _ in range(rounds):
+    for _ in range(64):
         hop = m.select(F.col("id").alias("root"), F.col("root").alias("far"))
-        m = m.join(hop, "root", "left").select("id", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved"))
-        m = m.checkpoint() if m.sparkSession.sparkContext.getCheckpointDir() else m.persist()
+        m = settled(m.join(hop, "root", "left").select("id", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved")))
+        if not m.where("id = root").isEmpty():
+            raise ValueError("resolved: a chain of merges leads back to itself")
         if m.where("moved").isEmpty():
-            break
+            return m.select("id", "root")
         m = m.select("id", "root")
-    return m.select("id", "root")
+    raise ValueError("resolved: a chain of merges does not end")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a checkpoint in the folder of ``spark.checkpoint.dir``."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint()
 
 
 def replayed(rows: DataFrame, merges: DataFrame) -> DataFrame:
@@ -78,11 +96,20 @@ def backfilled(rows: DataFrame, within_us: int = 12_000_000) -> DataFrame:
 def throttled(rows: DataFrame, key: str, every: int) -> DataFrame:
     """The rows of a key that are at least ``every`` after the last one let through.
 
-    Which row passes depends on all before it, so the sorted times of a key are folded
-    in one aggregate; keys run in parallel.
+    Which row passes depends on all before it, so the rows of a key stream by in order of
+    time with the one time carried along; no key is held whole, and keys run in parallel.
     """
-    times = F.array_sort(F.collect_list(F.struct("t_us", "ord")))
-    step = lambda a, x: F.when((F.size(a) == 0) | (x["t_us"] - F.element_at(a, -1)["t_us"] >= every), F.concat(a, F.array(x))).otherwise(a)
-    start = F.array().cast("array<struct<t_us: bigint, ord: bigint>>")
-    folded = rows.groupBy(key).agg(F.aggregate(times, start, step).alias("passed"))
-    return folded.select(key, F.explode("passed").alias("p")).select(key, "p.t_us", "p.ord")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, last = object(), 0
+        for batch in batches:
+            passed = []
+            for k, t in zip(batch[key], batch["t_us"].tolist(), strict=True):
+                good = k != own or t - last >= every
+                if good:
+                    own, last = k, t
+                passed.append(good)
+            yield batch[passed]
+
+    r = rows.select(key, "t_us", "ord").repartition(key).sortWithinPartitions(key, "t_us", "ord")
+    return r.mapInPandas(run, r.schema)

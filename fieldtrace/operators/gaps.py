@@ -104,11 +104,14 @@ def jumps(breaks: DataFrame, speed: int = 12) -> DataFrame:
 
 
 def upper_quantiles(values: DataFrame, key: str, value: str) -> DataFrame:
-    """Upper median sorted[n // 2] and sorted[int(.9 n) - 1], by rank and not by interpolation."""
-    w = Window.partitionBy(key).orderBy(value)
-    r = values.withColumns({"rank": F.row_number().over(w), "n": F.count(F.lit(1)).over(Window.partitionBy(key))})
-    at = lambda k: F.max(F.when(F.col("rank") == k, F.col(value)))
-    return r.groupBy(key).agg(F.count(F.lit(1)).alias("n"), at(F.floor(F.col("n") / 2) + 1).alias("median"), at(F.greatest(F.lit(1), F.floor(F.col("n") * 9 / 10))).alias("p90"))
+    """Upper median sorted[n // 2] and sorted[int(.9 n) - 1], by rank and not by interpolation.
+
+    Rows are counted by value first, so the window sorts distinct values only.
+    """
+    c = values.groupBy(key, value).agg(F.count(F.lit(1)).alias("times"))
+    r = c.withColumns({"upto": F.sum("times").over(Window.partitionBy(key).orderBy(value)), "n": F.sum("times").over(Window.partitionBy(key))})
+    at = lambda k: F.min(F.when(F.col("upto") >= k, F.col(value)))
+    return r.groupBy(key).agg(F.max("n").alias("n"), at(F.floor(F.col("n") / 2) + 1).alias("median"), at(F.greatest(F.lit(1), F.floor(F.col("n") * 9 / 10))).alias("p90"))
 
 
 def teleports(track: DataFrame, most_us: int, metres_per_s: int) -> DataFrame:

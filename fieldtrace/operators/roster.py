@@ -26,10 +26,10 @@ def fragments(obs: DataFrame) -> DataFrame:
 
 
 def roster_status(obs: DataFrame, cap: int, last_frame_share: float = 0.9) -> DataFrame:
-    """Per team: identities, those still seen late, and how many are over the cap."""
-    end = obs.agg(F.max("frame_idx").alias("end"))
-    per = obs.where("in_roster").groupBy("team", "id").agg(F.max("frame_idx").alias("last")).crossJoin(F.broadcast(end))
-    late = F.col("last") * 100 >= F.col("end") * int(last_frame_share * 100)
+    """Per team: identities, those still seen late in their video, and how many are over the cap."""
+    end = obs.groupBy("video").agg(F.min("frame_idx").alias("start"), F.max("frame_idx").alias("end"))
+    per = obs.where("in_roster").groupBy("video", "team", "id").agg(F.max("frame_idx").alias("last")).join(end, "video")
+    late = (F.col("last") - F.col("start")) * 100 >= (F.col("end") - F.col("start")) * int(last_frame_share * 100)
     g = per.groupBy("team").agg(F.count(F.lit(1)).alias("identities"), F.count(F.when(late, 1)).alias("active"))
     return g.withColumn("over_cap", F.greatest(F.lit(0).cast("long"), F.col("identities") - cap))
 
@@ -57,10 +57,11 @@ def visibility_shares(obs: DataFrame, frames_of: DataFrame) -> DataFrame:
     """Per identity and class the number of its frames: observed (O), uncertain (S), or
     unseen in a frame in which its team was seen (U)."""
     seen = obs.groupBy("id", "team", "frame_idx").agg(F.max(F.when(F.col("state") == "confirmed", 1).otherwise(0)).alias("sure"))
-    slots = obs.select("id", "team").distinct().join(frames_of, "team")
-    v = slots.join(seen, ["id", "team", "frame_idx"], "left")
-    cls = F.when(F.col("sure") == 1, "O").when(F.col("sure") == 0, "S").otherwise("U")
-    return v.groupBy("id", cls.alias("class")).agg(F.count(F.lit(1)).alias("frames"))
+    of_id = seen.groupBy("id", "team").agg(F.sum("sure").alias("O"), F.sum(1 - F.col("sure")).alias("S"))
+    # Unseen frames are those of the team less the seen ones: no table of identities by frames.
+    of_id = of_id.join(frames_of.groupBy("team").agg(F.count_distinct("frame_idx").alias("all")), "team").withColumn("U", F.col("all") - F.col("O") - F.col("S"))
+    shares = F.explode(F.array(*(F.struct(F.lit(c).alias("class"), F.col(c).alias("frames")) for c in "OSU"))).alias("c")
+    return of_id.select("id", shares).select("id", "c.*").where("frames > 0")
 
 
 def majority(votes: DataFrame, key: str, value: str, least: int = 15, percent: int = 75) -> DataFrame:

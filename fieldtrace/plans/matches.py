@@ -10,7 +10,8 @@ from ..sources.adapter import OBS_SQL, observations, table
 
 
 def _vectors(s, d):
-    v = table(s, d, "embeddings").select("vec_id", F.col("label").alias("id"), (F.col("label") % 2).alias("team"), fv.quantized(F.col("embedding")).alias("q"))
+    # Ten identities are a team, so a team's vectors and galleries do not grow with the table's identities.
+    v = table(s, d, "embeddings").select("vec_id", F.col("label").alias("id"), F.floor(F.col("label") / 10).alias("team"), fv.quantized(F.col("embedding")).alias("q"))
     return v.withColumn("quality", (F.col("vec_id") * 7919) % 1000)
 
 
@@ -63,13 +64,13 @@ def _merges(s, d):
 
 def _galleries(s, d):
     v = table(s, d, "embeddings")
-    return v.select((F.col("label") % 5).alias("target"), F.floor(F.col("label") / 5).cast("int").alias("source"), ((F.col("vec_id") * 104729) % 10007).alias("t_us"), F.col("vec_id").alias("ord"))
+    return v.select(F.floor(F.col("label") / 5).alias("target"), (F.col("label") % 5).alias("source"), ((F.col("vec_id") * 104729) % 10007).alias("t_us"), F.col("vec_id").alias("ord"))
 
 
 def _conflicts(s, d):
     o = observations(s, d).select("user_id", "frame_idx").distinct()
     a = o.select("user_id", "frame_idx")
-    b = o.select((F.col("user_id") - 75).alias("user_id"), "frame_idx")
+    b = o.select((F.col("user_id") - 12).alias("user_id"), "frame_idx")
     return a.intersect(b).groupBy("user_id").agg(F.count(F.lit(1)).alias("frames"))
 
 
@@ -112,7 +113,7 @@ QUERIES = {
     "latest_in_frame": lambda s, d: edits.latest(observations(s, d), ["frame_idx", "kind"], F.desc("t_us"), F.desc("ord")).select("frame_idx", "kind", "ord"),
 }
 
-_V = """v as (select vec_id, label as id, label % 2 as team, (vec_id * 7919) % 1000 as quality,
+_V = """v as (select vec_id, label as id, label // 10 as team, (vec_id * 7919) % 1000 as quality,
   list_transform(embedding, lambda x: round(x::double / list_max(list_transform(embedding, lambda y: abs(y::double))) * 127)::bigint) as q from embeddings
 ), g as (select *, row_number() over (partition by id order by quality desc, vec_id) as turn from v qualify turn <= 6)"""
 _COS = lambda a, b: f"list_dot_product({a}::double[], {b}::double[]) / (sqrt(list_dot_product({a}::double[], {a}::double[])) * sqrt(list_dot_product({b}::double[], {b}::double[])))"
@@ -162,8 +163,8 @@ ORACLE_SQL = {
     "edit_closure": f"with {_ROOTS} select id, root from roots",
     "edit_replay": f"with {_ROOTS} select coalesce(r.root, o.o_custkey) as id, count(*) as orders from orders o left join roots r on r.id = o.o_custkey group by 1",
     "seeds_latest": "select o_custkey, o_orderkey, o_orderstatus from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1",
-    "gallery_merge": "with g as (select label % 5 as target, label // 5 as source, (vec_id * 104729) % 10007 as t_us, vec_id as ord from embeddings), t as (select *, row_number() over (partition by target, source order by t_us desc, ord) as turn from g), p as (select *, row_number() over (partition by target order by turn, source) as place from t) select target, place, source, t_us, ord from p where place <= 6",
-    "conflict_frames": f"with {OBS_SQL} select user_id, count(*) as frames from (select user_id, frame_idx from obs intersect select user_id - 75, frame_idx from obs) group by 1",
+    "gallery_merge": "with g as (select label // 5 as target, label % 5 as source, (vec_id * 104729) % 10007 as t_us, vec_id as ord from embeddings), t as (select *, row_number() over (partition by target, source order by t_us desc, ord) as turn from g), p as (select *, row_number() over (partition by target order by turn, source) as place from t) select target, place, source, t_us, ord from p where place <= 6",
+    "conflict_frames": f"with {OBS_SQL} select user_id, count(*) as frames from (select user_id, frame_idx from obs intersect select user_id - 12, frame_idx from obs) group by 1",
     "backfill_ids": f"with {OBS_SQL}, b as (select track, t_us, ord, case when identity_conf >= 50 then ord % 4 end as bound from obs), f as (select track, coalesce(bound, first_value(bound ignore nulls) over (partition by track order by t_us range between current row and 12000000 following)) as filled from b) select track, filled, count(*) as n from f group by 1, 2",
     "throttle": f"with recursive {OBS_SQL}, r as (select id, t_us, ord, row_number() over (partition by id order by t_us, ord) as k from obs), walk(id, k, t_us, ord, last_us, hit) as (select id, k, t_us, ord, t_us, true from r where k = 1 union all select w.id, r.k, r.t_us, r.ord, case when r.t_us - w.last_us >= 800000 then r.t_us else w.last_us end, r.t_us - w.last_us >= 800000 from walk w join r on r.id = w.id and r.k = w.k + 1) select id, t_us, ord from walk where hit",
     "latest_in_frame": f"with {OBS_SQL} select frame_idx, kind, ord from obs qualify row_number() over (partition by frame_idx, kind order by t_us desc, ord desc) = 1",

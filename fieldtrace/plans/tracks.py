@@ -38,8 +38,9 @@ def _changes(s, d):
 def _cells(s, d):
     k = _samples(s, d).withColumn("step", F.floor(F.col("t_us") / GRID_US))
     k = k.groupBy("id", "team", "step").agg(F.max_by("x_m", F.struct("t_us", "ord")).alias("x_m"), F.max_by("y_m", F.struct("t_us", "ord")).alias("y_m"))
-    grid = s.range(65).select(F.col("id").alias("step")).crossJoin(F.broadcast(s.createDataFrame([("A",), ("B",)], "team string")))
-    return gaps.on_grid(k, F.broadcast(grid))  # 130 rows
+    # Every step between the first and the last that any member of the team has.
+    grid = k.groupBy("team").agg(F.explode(F.sequence(F.min("step"), F.max("step"))).alias("step"))
+    return gaps.on_grid(k, grid)
 
 
 def _aged(s, d):
@@ -71,7 +72,7 @@ QUERIES = {
     "track_summary": lambda s, d: roster.track_summary(_obs(s, d)),
     "roster_obs": lambda s, d: roster.roster_observations(_obs(s, d)),
     "anon_fragments": lambda s, d: roster.fragments(_obs(s, d)),
-    "roster_status": lambda s, d: roster.roster_status(_obs(s, d), 60),
+    "roster_status": lambda s, d: roster.roster_status(_obs(s, d), 11),
     "participation": lambda s, d: roster.participation(_obs(s, d)),
     "labels": lambda s, d: roster.labels(_obs(s, d)),
     "visibility_shares": lambda s, d: roster.visibility_shares(_obs(s, d), _frames_of(s, d)),
@@ -95,7 +96,7 @@ QUERIES = {
 _CELLS = _with(""", cells0 as (
   select id, team, t_us // 1000000 as step, arg_max(x_m, (t_us, ord)) as x_m, arg_max(y_m, (t_us, ord)) as y_m from s group by 1, 2, 3
 ), cells as (
-  select i.id, g.step, c.x_m, c.y_m from (select distinct id, team from s) i cross join (select unnest(range(65)) as step) g left join cells0 c on c.id = i.id and c.step = g.step
+  select i.id, g.step, c.x_m, c.y_m from (select distinct id, team from s) i join (select team, unnest(range(min(step), max(step) + 1)) as step from cells0 group by team) g using (team) left join cells0 c on c.id = i.id and c.step = g.step
 ), carried as (
   select *, last_value(case when x_m is not null then step end ignore nulls) over w as ps, last_value(x_m ignore nulls) over w as px, last_value(y_m ignore nulls) over w as py,
     first_value(case when x_m is not null then step end ignore nulls) over v as ns, first_value(x_m ignore nulls) over v as nx, first_value(y_m ignore nulls) over v as ny
@@ -109,7 +110,7 @@ ORACLE_SQL = {
     "track_summary": f"with {OBS_SQL} select track, min(a) as first_us, max(b) as last_us, sum(n)::bigint as n, string_agg(concat(state, ':', n), ',' order by concat(state, ':', n)) as states from (select track, state, count(*) as n, min(t_us) as a, max(t_us) as b from obs group by 1, 2) group by track",
     "roster_obs": f"with {OBS_SQL} select id, min(t_us) as first_us, max(t_us) as last_us, count(distinct frame_idx) as frames, count(distinct track) as tracks from obs group by id",
     "anon_fragments": f"with {OBS_SQL} select user_id, min(frame_idx) as first_frame, max(frame_idx) as last_frame, count(*) as frames from (select *, frame_idx - row_number() over (partition by user_id order by frame_idx) as island from (select distinct user_id, frame_idx from obs where state = 'uncertain')) group by user_id, island",
-    "roster_status": f"with {OBS_SQL}, per as (select team, id, max(frame_idx) as last from obs where in_roster group by 1, 2) select team, count(*) as identities, count(*) filter (last * 100 >= (select max(frame_idx) from obs) * 90) as active, greatest(0, count(*) - 60) as over_cap from per group by team",
+    "roster_status": f"with {OBS_SQL}, ends as (select video, min(frame_idx) as a, max(frame_idx) as b from obs group by 1), per as (select video, team, id, max(frame_idx) as last from obs where in_roster group by 1, 2, 3) select team, count(*) as identities, count(*) filter ((last - a) * 100 >= (b - a) * 90) as active, greatest(0, count(*) - 11) as over_cap from per join ends using (video) group by team",
     "participation": f"with {OBS_SQL}, per as (select frame_idx, team, id, max(case when x_m < 40 or x_m > 960 or y_m < 40 or y_m > 960 then 1 else 0 end) as edge from obs group by 1, 2, 3), mates as (select frame_idx, team, count(*) as mates from per group by 1, 2) select id, count(*) as frames, sum(edge)::bigint as edge_frames, max(mates) as most_mates, sum(edge)::double / count(*) as edge_share from per join mates using (frame_idx, team) group by id",
     "labels": f"with {OBS_SQL}, per as (select team, id, count(distinct frame_idx) as presence, min(ord) as created from obs where in_roster group by 1, 2), ranked as (select *, row_number() over (partition by team order by presence // 2 desc, created) as r from per) select team, id, presence, case when r <= 10 then concat(team, '-', lpad(r::varchar, 2, '0')) else concat(team, '-?') end as label from ranked",
     "visibility_shares": f"with {OBS_SQL}, o as (select * from obs), seen as (select id, team, frame_idx, max(case when state = 'confirmed' then 1 else 0 end) as sure from o group by 1, 2, 3) select i.id, case when sure = 1 then 'O' when sure = 0 then 'S' else 'U' end as class, count(*) as frames from (select distinct id, team from o) i join (select distinct team, frame_idx from o) f on f.team = i.team left join seen s on s.id = i.id and s.frame_idx = f.frame_idx group by 1, 2",
