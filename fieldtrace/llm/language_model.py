@@ -4,12 +4,14 @@ Words are counted over all training texts.  Units are the words that occur often
 and, for all other words, their last two bytes, so that every word, seen or not, has one.
 Exchange clustering moves units between classes as long as the class bigrams gain
 likelihood: first the most frequent words and the endings on the driver, then all units
-in Spark, over the counts of the pairs that occur.  A token's probability is the class transition, times the unit's share of
-its class, times the word's share of its unit, each smoothed.
+in Spark, over the counts of each unit beside each class.  A token's probability is the
+class transition, times the unit's share of its class, times the word's share of its unit,
+each smoothed.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_words, mix, settle, signed, text_blocks, word_hashes
+from .common import _BYTE_CODE, block_words, mix, powers, settle, signed, stored, text_blocks, word_hashes
 
 #: Units clustered first: frequent words, endings, one for all other endings, and the text end.
 #: From UNITS on come all other words that occur ATTESTED times or more, however many.
@@ -33,6 +35,8 @@ ATTESTED = 50
 MOVES, LEAST_GAIN = 4, 1e-3
 #: Words whose counts every task holds; counts of rarer words are joined.
 COMMON_WORDS = 1 << 19
+#: Units whose neighbours are gathered together, and shards at least.
+UNITS_A_SHARD, LEAST_SHARDS = 1024, 63
 #: Words that a task gathers before it counts them.
 GATHERED = 1 << 22
 SMOOTH = 0.5
@@ -171,49 +175,88 @@ def make_units(counts: DataFrame) -> tuple[Units, np.ndarray, np.ndarray]:
     return Units(h[order], n[order], unit[order], ending_unit, start), tokens, types
 
 
-def unit_bigrams(docs: DataFrame, units: Units) -> DataFrame:
-    """(u, v, n): neighbouring units, the text end before the first and after the last word."""
+def unit_texts(docs: DataFrame, units: Units) -> DataFrame:
+    """seq: the units of some whole texts as 32-bit numbers, the text end before the first and after each."""
     shared = docs.sparkSession.sparkContext.broadcast(units)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = shared.value
-        table, held = WordTable(u.hashes), []
-
-        def flush() -> pa.RecordBatch:
-            code, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array((code >> 32).astype(np.int32)), pa.array((code & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], ["u", "v", "n"])
-
+        table = WordTable(u.hashes)
         for batch in batches:
             for _, _, data, offsets in text_blocks(batch.column(0)):
                 seq, _, _, _ = unit_sequence(u, table, data, offsets)
-                held.append(seq[:-1] << 32 | seq[1:])
-                if sum(map(len, held)) > GATHERED:
-                    yield flush()
-        if held:
-            yield flush()
+                yield pa.RecordBatch.from_arrays([pa.array([seq.astype("<i4").tobytes()], pa.binary())], ["seq"])
+
+    return docs.select("text").mapInArrow(run, "seq binary")
 
-    return docs.select("text").mapInArrow(run, "u int, v int, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
 
+def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        for seq in batch.column(0):
+            yield np.frombuffer(seq.as_buffer(), "<i4").astype(np.int64)
 
-def grouped(pairs: DataFrame, group: np.ndarray, size: int) -> np.ndarray:
-    """size x size counts of neighbouring groups, from those of units and the group of each unit."""
-    shared = pairs.sparkSession.sparkContext.broadcast(group)
+
+def grouped(texts: DataFrame, group: np.ndarray, size: int) -> np.ndarray:
+    """size x size counts of neighbouring groups, from the units of texts and the group of each unit."""
+    shared = texts.sparkSession.sparkContext.broadcast(group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, counts = shared.value, np.zeros(size * size)
-        for batch in batches:
-            u, v, n = (c.to_numpy() for c in batch.columns)
-            counts += np.bincount(g[u] * size + g[v], n, size * size)
+        g, counts = shared.value, np.zeros(size * size, np.int64)
+        for seq in _sequences(batches):
+            at = g[seq]
+            counts += np.bincount(at[:-1] * size + at[1:], minlength=size * size)
         used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used].astype(np.int64))], ["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["cell", "n"])
 
-    cells = pairs.select("u", "v", "n").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # size * size at most
+    cells = texts.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # size * size at most
     out = np.zeros(size * size, np.int64)
     out[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
     return out.reshape(size, size)
 
 
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of 32-bit numbers, compressed byte by byte: sorted or small ones take about a byte a row."""
+    planes = [np.ascontiguousarray(c.astype("<u4")).view(np.uint8).reshape(-1, 4).T.ravel() for c in columns]
+    return zlib.compress(np.concatenate(planes).tobytes(), 1)
+
+
+def unpacked(blob: bytes, columns: int) -> list[np.ndarray]:
+    planes = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(columns, 4, -1)
+    return [np.ascontiguousarray(p.T).view("<u4").ravel().astype(np.int64) for p in planes]
+
+
+def beside_classes(texts: DataFrame, cls: np.ndarray, classes: int = CLASSES) -> DataFrame:
+    """(shard, counts): for the units of a shard, packed (w, cell, n): how often each class follows
+    the unit (cell = class), stands before it (classes + class), and the unit follows itself (2 * classes)."""
+    shared = texts.sparkSession.sparkContext.broadcast(cls)
+    width, shards = 2 * classes + 1, 1 + max(len(cls) // UNITS_A_SHARD, LEAST_SHARDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls, held = shared.value, []
+
+        def flush() -> pa.RecordBatch:
+            code, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            w = code // width
+            cell, shard = code - w * width, w % shards
+            order = np.argsort(shard, kind="stable")
+            w, cell, n = w[order], cell[order], n[order]
+            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+            used = np.flatnonzero(np.diff(cuts))
+            blobs = [packed(np.diff(w[a:b], prepend=0), cell[a:b], n[a:b]) for a, b in zip(cuts[used], cuts[used + 1], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(blobs, pa.binary())], ["shard", "counts"])
+
+        for seq in _sequences(batches):
+            u, v = seq[:-1], seq[1:]
+            held += [(u * width + cls[v])[u != END], (v * width + classes + cls[u])[v != END], u[u == v] * width + 2 * classes]
+            if sum(map(len, held)) > GATHERED:
+                yield flush()
+        if held:
+            yield flush()
+
+    return texts.mapInArrow(run, "shard int, counts binary")
+
+
 def unit_sequence(u: Units, table: WordTable, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Units of a block as END w w END w END ..., and for each word: common index, hash, text.
 
@@ -289,33 +332,29 @@ def _likelihood(grid: np.ndarray) -> float:
     return float(_xlogx(grid.astype(float)).sum() - _xlogx(grid.sum(axis=0).astype(float)).sum() - _xlogx(grid.sum(axis=1).astype(float)).sum())
 
 
-def exchange_passes(pairs: DataFrame, cls: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+def exchange_passes(texts: DataFrame, cls: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     """Class of each unit after passes in which every unit asks for its best class.
 
-    A unit's neighbours are in one partition, and each asks against the same class by
-    class table.  Moves of one pass are made together if that gains likelihood, else a
-    half, a quarter or an eighth of them; without a gain the passes end.
+    What stands beside a unit is counted by class and gathered with its shard, and each unit
+    asks against the same class by class table.  Moves of one pass are made together if that
+    gains likelihood, else a half, a quarter or an eighth of them; without a gain the passes end.
     """
-    sides = pairs.select(F.col("u").alias("w"), F.col("v").alias("other"), F.lit(0).alias("side"), "n")
-    sides = sides.unionByName(pairs.select(F.col("v").alias("w"), F.col("u").alias("other"), F.lit(1).alias("side"), "n"))
-    sides = settle(sides.where(F.col("w") != END).repartition("w"))
-    grid = grouped(pairs, cls, classes)
+    grid = grouped(texts, cls, classes)
     best = _likelihood(grid)
     for turn in range(MOVES):
-        shared = pairs.sparkSession.sparkContext.broadcast((cls, grid.astype(float)))
+        shared = texts.sparkSession.sparkContext.broadcast((cls, grid.astype(float)))
 
         def ask(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             cls, grid = shared.value
-            ids, place, width = np.zeros(0, np.int64), np.full(len(cls), -1), 2 * classes + 1
-            sums = np.zeros((0, width))
-            for batch in batches:
-                w, other, side, n = (c.to_numpy() for c in batch.columns)
+            place, width = np.full(len(cls), -1), 2 * classes + 1
+            ids, sums = np.zeros(0, np.int64), np.zeros((0, width))
+            for blob in (x for batch in batches for x in batch.column(1)):
+                w, cell, n = unpacked(blob.as_buffer(), 3)
+                w = np.cumsum(w)
                 new = np.unique(w[place[w] < 0])
                 place[new] = len(ids) + np.arange(len(new))
                 ids, sums = np.concatenate([ids, new]), np.concatenate([sums, np.zeros((len(new), width))])
-                sums += np.bincount(place[w] * width + side * classes + cls[other], n, sums.size).reshape(sums.shape)
-                self_n = np.flatnonzero((w == other) & (side == 0))
-                sums[place[w[self_n]], -1] += n[self_n]
+                np.add.at(sums, (place[w], cell), n)
             unit, to = [], []
             for w, x in zip(ids, sums, strict=True):
                 a, own, r, l = cls[w], x[-1], x[:classes].copy(), x[classes:-1].copy()
@@ -332,14 +371,14 @@ def exchange_passes(pairs: DataFrame, cls: np.ndarray, classes: int = CLASSES) -
                     to.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int64()), pa.array(to, pa.int64())], ["w", "to"])
 
-        moves = sides.mapInArrow(ask, "w long, to long").toArrow()  # one row per unit at most
+        moves = beside_classes(texts, cls, classes).repartition("shard").mapInArrow(ask, "w long, to long").toArrow()  # one row per unit at most
         w, to = (moves.column(k).to_numpy() for k in ("w", "to"))
         chance = mix(w.astype(np.uint64) + np.uint64(turn << 40))
         for part in (1, 2, 4, 8):
             some = chance % np.uint64(part) == 0
             trial = cls.copy()
             trial[w[some]] = to[some]
-            grid_then = grouped(pairs, trial, classes)
+            grid_then = grouped(texts, trial, classes)
             gained = _likelihood(grid_then) - best
             if gained > 0:
                 cls, grid, best = trial, grid_then, best + gained
@@ -367,11 +406,11 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     units, tokens, types = make_units(counts)
     texts = own.count()
     tokens[END], types[END] = texts, 1 if texts else 0
-    pairs = settle(unit_bigrams(own, units))
-    cls = exchange_clustering(grouped(pairs, units.start, UNITS))[units.start]
+    seqs = stored(unit_texts(own, units), "unit-texts")
+    cls = exchange_clustering(grouped(seqs, units.start, UNITS))[units.start]
     if len(cls) > UNITS:
-        cls = exchange_passes(pairs, cls)
-    grid = grouped(pairs, cls, CLASSES)
+        cls = exchange_passes(seqs, cls)
+    grid = grouped(seqs, cls, CLASSES)
     single = (grid.sum(axis=0) + SMOOTH) / (grid.sum() + SMOOTH * CLASSES)
     step = np.log10((grid + 2 * single) / (grid.sum(axis=1, keepdims=True) + 2))
     of_class = np.bincount(cls, tokens, CLASSES)
@@ -420,9 +459,7 @@ def scores(docs: DataFrame) -> DataFrame:
                 rare = ~common
                 base += np.bincount(where[rare], minlength=size) * nothing
                 score += np.bincount(where[rare], minlength=size) * np.log10(SMOOTH)
-                sums = np.add.reduceat(data.astype(np.uint64) * (np.arange(len(data), dtype=np.uint64) | np.uint64(1)), np.minimum(offsets[:-1], max(len(data) - 1, 0))) if len(data) else np.zeros(size, np.uint64)
-                id_bits = np.array([x if x is not None else -1 for x in ids.slice(lo, size).to_pylist()], np.int64).view(np.uint64)
-                row = mix(mix(id_bits) ^ sums ^ np.diff(offsets).astype(np.uint64))
+                row = mix(_id_hashes(ids.slice(lo, size)) ^ _text_hashes(data, offsets))
                 doc = pa.StructArray.from_arrays(
                     [ids.slice(lo, size), held.slice(lo, size), pa.array(n), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
                 )
@@ -452,6 +489,20 @@ def scores(docs: DataFrame) -> DataFrame:
     )
 
 
+def _id_hashes(ids: pa.Array) -> np.ndarray:
+    """64-bit hashes of ids; a missing one has a hash of its own."""
+    known = mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) + np.uint64(1))
+    return np.where(ids.is_null().to_numpy(zero_copy_only=False), np.uint64(0x5BD1E9955BD1E995), known)
+
+
+def _text_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the texts of a block, each from its own start."""
+    up, down = powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_CODE[data] * up[:-1], out=total[1:])
+    return mix((total[offsets[1:]] - total[offsets[:-1]]) * down[offsets[:-1]] + np.diff(offsets).astype(np.uint64))
+
+
 def _distinct(rows: np.ndarray, where: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, hash) pairs of a block and how often each occurs."""
     order = np.lexsort((h, where))
