@@ -124,3 +124,40 @@ def teleports(track: DataFrame, most_us: int, metres_per_s: int) -> DataFrame:
     t = t.withColumns({"dt": dt, "square": square})
     fast = (F.col("dt") > 0) & (F.col("dt") <= most_us) & (F.col("square") * 1_000_000 > metres_per_s**2 * F.col("dt") * F.col("dt"))
     return t.groupBy("track_key").agg(F.count(F.when(fast, 1)).alias("teleports"), F.count(F.lit(1)).alias("shown"))
+
+
+def sampled(samples: DataFrame, times: DataFrame) -> DataFrame:
+    """The whole answer of the sampler at each asked time (id, t_us) with a position: kind, source, x, y,
+    confidence, sigma, alpha, quality.
+
+    Samples have a kind (O or P) and perhaps a sigma.  Next to a predicted sample the answer
+    is predicted; what is held fades, in confidence to nothing and in alpha to three tenths.
+    """
+    s = samples.select("id", "t_us", F.lit(0).alias("side"), "ord", F.struct("t_us", "x_m", "y_m", (F.col("identity_conf") / 100.0).alias("c"), (F.col("pitch_conf") / 100.0).alias("q"), "kind", "sigma").alias("at"))
+    q = times.select("id", "t_us", F.lit(1).alias("side"), F.lit(0).cast("long").alias("ord"), F.lit(None).cast(s.schema["at"].dataType).alias("at"))
+    w = Window.partitionBy("id").orderBy("t_us", "side", "ord")
+    down = Window.partitionBy("id").orderBy(F.desc("t_us"), F.desc("side"), "ord")
+    both = s.unionByName(q).withColumns({"p": F.last("at", ignorenulls=True).over(w), "n": F.last("at", ignorenulls=True).over(down)})
+    both = both.where("side = 1")
+    t, p, n = F.col("t_us"), F.col("p"), F.col("n")
+    gap, since = n["t_us"] - p["t_us"], t - p["t_us"]
+    how = F.when(since <= SAME_US, 1).when(n["t_us"] - t <= SAME_US, 2).when(gap <= INTERPOLATE_US, 3).when(since <= HOLD_US, 4)
+    x = both.withColumn("how", how).where("how is not null")
+    how, fade = F.col("how"), since / HOLD_US
+    either = (p["kind"] == "P") | (n["kind"] == "P")
+    pick = lambda one, two, three, four: F.when(how == 1, one).when(how == 2, two).when(how == 3, three).otherwise(four)
+    seen = lambda k: F.when(k["kind"] == "P", "PREDICTED").otherwise("OBSERVED")
+    wide = F.greatest(F.coalesce(p["sigma"], F.lit(0.0)), F.coalesce(n["sigma"], F.lit(0.0)))
+    at = lambda c: pick(p[c].cast("double"), n[c].cast("double"), p[c] + (n[c] - p[c]) * (since / gap), p[c].cast("double"))
+    return x.select(
+        "id",
+        "t_us",
+        pick(p["kind"], n["kind"], F.when(either, "P").otherwise("I"), p["kind"]).alias("kind"),
+        pick(seen(p), seen(n), F.when(either, "PREDICTED").otherwise("INTERPOLATED"), F.lit("HELD")).alias("source"),
+        at("x_m").alias("x"),
+        at("y_m").alias("y"),
+        pick(p["c"], n["c"], F.least(p["c"], n["c"]), p["c"] * (1 - fade)).alias("confidence"),
+        pick(p["sigma"], n["sigma"], F.when(wide > 0, wide), p["sigma"]).alias("sigma"),
+        F.when(how == 4, 1 - 0.7 * fade).otherwise(F.lit(1.0)).alias("alpha"),
+        pick(p["q"], n["q"], F.least(p["q"], n["q"]), p["q"]).alias("quality"),
+    )

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import cues, evidence, matches, replay, reports, tracks
+from .plans import cues, evidence, matches, motion, replay, reports, tracks
 
-PLANS = (reports, tracks, matches, evidence, cues, replay)
+PLANS = (reports, tracks, matches, evidence, cues, replay, motion)
 QUERIES: dict = {name: f for plan in PLANS for name, f in plan.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: q for plan in PLANS for name, q in plan.ORACLE_SQL.items()}
