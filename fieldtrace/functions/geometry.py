@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def projected(h: Column, x: Column, y: Column) -> tuple[Column, Column]:
-    """A row-major 3x3 homography (array of 9) applied to a point; null on the horizon."""
-    at = lambda k: F.get(h, k)
+def projected(h: Column | list[Column], x: Column, y: Column) -> tuple[Column, Column]:
+    """A row-major 3x3 homography (an array of 9, or nine columns) applied to a point; null on the horizon."""
+    at = lambda k: h[k] if isinstance(h, list) else F.get(h, k)
     w = at(6) * x + at(7) * y + at(8)
     return F.try_divide(at(0) * x + at(1) * y + at(2), w), F.try_divide(at(3) * x + at(4) * y + at(5), w)
 
