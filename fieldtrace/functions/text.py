@@ -26,8 +26,8 @@ def parsed_id(text: Column) -> tuple[Column, Column]:
     return F.when(prefix != "", prefix), F.when(number != "", number.cast("long"))
 
 
-#: The first pattern that a question matches names its topic.
-ROUTES = (("position", r"where|place|loc"), ("time", r"when|minute|time"), ("person", r"who|name|you"), ("reason", r"why|how"))
+#: Fixed patterns; the first that a question matches names its topic.
+ROUTES = (("distance", r"distance|most.*run"), ("defence", r"defen|issue|mark|lost|train"), ("press", r"press|regain"), ("wide", r"right|wide|overload"), ("goal", r"goal|attack|build"))
 
 
 def topic(text: Column) -> Column:

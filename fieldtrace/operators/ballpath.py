@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 #: Costs of the path, in the units of a candidate's score: no ball, per frame; starting or
 #: ending a run; a skipped frame; metres per second beyond which a step is impossible.
@@ -15,9 +16,9 @@ LOOK_BACK = 6
 def viterbi(frame: np.ndarray, seconds: np.ndarray, x: np.ndarray, y: np.ndarray, score: np.ndarray) -> np.ndarray:
     """Chosen candidates, one per frame at most, that minimise the total cost.
 
-    Node costs are 1 - score; a frame without a choice costs NONE.  A step joins nodes
-    up to LOOK_BACK frames apart at a speed up to MOST_SPEED, and costs the square of its
-    relative speed and SKIP per frame left out; starting a run costs START.
+    Node costs are 1 - score; a frame without a choice costs NONE, whether it has candidates
+    or not.  A step joins nodes up to LOOK_BACK frames apart at a speed up to MOST_SPEED, and
+    costs the square of its relative speed and SKIP per frame left out; starting a run costs START.
     """
     order = np.lexsort((score, frame))
     frames, first = np.unique(frame[order], return_index=True)
@@ -27,6 +28,8 @@ def viterbi(frame: np.ndarray, seconds: np.ndarray, x: np.ndarray, y: np.ndarray
     cost, back = np.full(len(order), np.inf), np.full(len(order), -2)
     for k, (lo, hi) in enumerate(zip(first, ends, strict=True)):
         now = order[lo:hi]
+        if k:
+            idle += NONE * (frames[k] - frames[k - 1] - 1)
         node = 1 - score[now]
         best, who = np.full(len(now), idle + START), np.full(len(now), idle_from)
         for j in range(max(0, k - LOOK_BACK), k):
@@ -35,7 +38,7 @@ def viterbi(frame: np.ndarray, seconds: np.ndarray, x: np.ndarray, y: np.ndarray
             old = order[first[j] : ends[j]]
             dt = np.maximum(seconds[now][:, None] - seconds[old][None, :], 1e-6)
             v = np.hypot(x[now][:, None] - x[old], y[now][:, None] - y[old]) / dt / MOST_SPEED
-            step = np.where(v <= 1, v * v, np.inf) + (k - j - 1) * (SKIP + NONE) + cost[first[j] : ends[j]]
+            step = np.where(v <= 1, v * v, np.inf) + (frames[k] - frames[j] - 1) * (SKIP + NONE) + cost[first[j] : ends[j]]
             at = step.argmin(axis=1)
             better = step[np.arange(len(now)), at] < best
             best[better], who[better] = step[np.arange(len(now)), at][better], first[j] + at[better]
@@ -53,11 +56,18 @@ def viterbi(frame: np.ndarray, seconds: np.ndarray, x: np.ndarray, y: np.ndarray
 
 
 def ball_path(candidates: DataFrame, schema: str) -> DataFrame:
-    """The path of each run (columns run, ord, frame_idx, t_us, x, y, score): rows on it."""
+    """The path of each run (columns run, ord, frame_idx, t_us, x, y, score): rows on it.
+
+    No step crosses more than LOOK_BACK frames, so a run is cut where candidates are farther
+    apart, and each section is a group of its own.
+    """
+    w = Window.partitionBy("run").orderBy("frame_idx", "ord")
+    new = F.when(F.col("frame_idx") - F.lag("frame_idx").over(w) <= LOOK_BACK, 0).otherwise(1)
+    cut = candidates.withColumn("new", new).withColumn("section", F.sum("new").over(w)).drop("new")
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["frame_idx", "ord"]).reset_index(drop=True)
         at = viterbi(rows["frame_idx"].to_numpy(), rows["t_us"].to_numpy() / 1e6, rows["x"].to_numpy(), rows["y"].to_numpy(), rows["score"].to_numpy())
-        return rows.iloc[at]
+        return rows.iloc[at].drop(columns="section")
 
-    return candidates.groupBy("run").applyInPandas(solve, schema)
+    return cut.groupBy("run", "section").applyInPandas(solve, schema)

@@ -49,19 +49,17 @@ def resolved(merges: DataFrame) -> DataFrame:
     """(id, root): where the chain of merges of each id ends; ``merges`` has id and into.
 
     Pointer doubling: a chain of n merges takes log2(n) joins, whatever their number.  A
-    chain that leads back to itself has no end and is an error: it is the only one that
-    is longer than 2 ** 63.
+    chain that leads back to itself has no end and is an error: it is the only one longer
+    than there are merges.
     """
     m = merges.select("id", F.col("into").alias("root"))
-    for _ in range(64):
+    for _ in range(merges.count().bit_length() + 1):
         hop = m.select(F.col("id").alias("root"), F.col("root").alias("far"))
         m = settled(m.join(hop, "root", "left").select("id", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved")))
-        if not m.where("id = root").isEmpty():
-            raise ValueError("resolved: a chain of merges leads back to itself")
         if m.where("moved").isEmpty():
             return m.select("id", "root")
         m = m.select("id", "root")
-    raise ValueError("resolved: a chain of merges does not end")
+    raise ValueError("resolved: a chain of merges leads back to itself")
 
 
 def settled(df: DataFrame) -> DataFrame:

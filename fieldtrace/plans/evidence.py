@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import text as tx
-from ..operators import ballpath, edits, registration
+from ..functions import vectors as fv
+from ..operators import ballpath, edits, matching, registration
 from ..sources.adapter import OBS_SQL, observations, table
+from .matches import _COS, _V, _vectors
 
 #: A view polygon in thousandths of the pitch, and a homography of the adapted frames.
 VIEW = [(100, 50), (900, 150), (850, 950), (450, 700), (150, 900)]
@@ -67,10 +69,16 @@ def _roles(s, d):
 
 
 def _kits(s, d):
-    """Vote by two kit distances: near enough, and clearly nearer than the other."""
-    a, b = F.abs(F.col("x_m") - 300), F.abs(F.col("x_m") - 650)
-    vote = F.when(F.least(a, b) > 220, "NONE").when(F.abs(a - b) < 120, "UNSURE").when(a < b, "A").otherwise("B")
-    return _o(s, d).groupBy("id", vote.alias("vote")).agg(F.count(F.lit(1)).alias("n"))
+    """Votes of the vectors of an identity by their distances to the nearest examples of two kits: near
+    enough, and clearly nearer than the other.  Even and odd identities of a team wear the kits."""
+    v = _vectors(s, d)
+    g = matching.gallery(v).select("team", (F.col("id") % 2).alias("kit"), F.col("q").alias("gq"), F.col("vec_id").alias("g_vec"))
+    j = v.join(g, "team").where("vec_id <> g_vec").withColumn("apart", 1 - fv.cosine(F.col("q"), F.col("gq")))
+    near = lambda k: F.min(F.when(F.col("kit") == k, F.col("apart")))
+    j = j.groupBy("id", "vec_id").agg(near(0).alias("a"), near(1).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    vote = F.when(F.least(a, b) > 0.75, "NONE").when(F.abs(a - b) < 0.02, "UNSURE").when(a < b, "A").otherwise("B")
+    return j.groupBy("id", vote.alias("vote")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _reid(s, d):
@@ -100,8 +108,8 @@ def _identity_metrics(s, d):
 
 
 def _recall(s, d):
-    """People tracked against a hand count per frame: recall and over-count."""
-    per = _o(s, d).groupBy("frame_idx").agg(F.count(F.when(F.col("state") == "confirmed", 1)).alias("tracked"), F.count(F.lit(1)).alias("counted"))
+    """Rows tracked against the people that a frame holds, each counted once: recall and over-count."""
+    per = _o(s, d).groupBy("frame_idx").agg(F.count(F.when(F.col("state") == "confirmed", 1)).alias("tracked"), F.count_distinct("user_id").alias("counted"))
     return per.select("frame_idx", "tracked", "counted", F.least(F.lit(1.0), F.col("tracked") / F.greatest(F.lit(1), F.col("counted"))).alias("recall"), F.greatest(F.lit(0), F.col("tracked") - F.col("counted") - 1).alias("over"))
 
 
@@ -204,12 +212,12 @@ ORACLE_SQL = {
     "ball_shares": f"with {OBS_SQL} select kind, count(*) as n, avg(case when state = 'confirmed' then pitch_conf end) as confidence from obs group by kind",
     "vote_window": f"with {OBS_SQL}, v as (select id, ord, count(*) over w as votes, (sum(case when kind in ('click', 'view') then 1 else 0 end) over w)::bigint as other from obs window w as {_LAST(14)}) select *, votes = 15 and other * 100 >= votes * 80 as release from v",
     "role_rules": f"with {OBS_SQL}, v as (select id, ord, count(*) over w as n, (sum(identity_conf) over w)::bigint as total, (sum(case when kind = 'purchase' then identity_conf else 0 end) over w)::bigint as keeper, (sum(case when kind = 'signup' then identity_conf else 0 end) over w)::bigint as referee from obs window w as {_LAST(49)}) select *, case when n < 15 then 'UNDECIDED' when keeper * 100 >= total * 40 then 'GOALKEEPER' when referee * 100 >= total * 30 then 'REFEREE' else 'PLAYER' end as decided from v",
-    "kit_vote": f"with {OBS_SQL}, k as (select id, abs(x_m - 300) as a, abs(x_m - 650) as b from obs) select id, case when least(a, b) > 220 then 'NONE' when abs(a - b) < 120 then 'UNSURE' when a < b then 'A' else 'B' end as vote, count(*) as n from k group by 1, 2",
+    "kit_vote": f"with {_V}, k as (select v.id, v.vec_id, min(1 - {_COS('v.q', 'g.q')}) filter (g.id % 2 = 0) as a, min(1 - {_COS('v.q', 'g.q')}) filter (g.id % 2 = 1) as b from v join g on g.team = v.team and g.vec_id <> v.vec_id group by 1, 2) select id, case when least(a, b) > 0.75 then 'NONE' when abs(a - b) < 0.02 then 'UNSURE' when a < b then 'A' else 'B' end as vote, count(*) as n from k group by 1, 2",
     "reid_decision": f"with {OBS_SQL}, r as (select id, t_us, ord, identity_conf * 76 + pitch_conf * 24 as score from obs), v as (select id, ord, count(*) over w as n, (sum(score) over w)::bigint as total, sum(case when score >= 7200 then 1 else 0 end) over w as good from r window w as {_LAST(9)}) select id, ord, n, total / n as mean, n >= 5 and good * 5 >= n * 3 as accepted from v",
     "run_metrics": f"with {OBS_SQL} select case when y_m < 300 then '0-30' when y_m < 400 then '30-40' when y_m < 600 then '40-60' when y_m < 900 then '60-90' else '>90' end as height, count(*) as people, count(*) filter (state = 'confirmed') as confirmed, count(distinct frame_idx) as frames from obs group by 1",
     "event_kinds": f"with {OBS_SQL} select kind, count(*) as n, count(distinct user_id) as people, count(*) filter (json_extract_string(props, '$.k')::int >= 50) as high from obs group by kind",
     "identity_metrics": f"with {OBS_SQL}, o as (select *, lag(state) over (partition by id order by t_us, ord) as before from obs) select id, count(distinct track) - 1 as switches, count(*) filter (before = 'confirmed' and state = 'uncertain') as lost, count(*) as n from o group by id",
-    "count_recall": f"with {OBS_SQL}, p as (select frame_idx, count(*) filter (state = 'confirmed') as tracked, count(*) as counted from obs group by 1) select *, least(1e0, tracked / greatest(1, counted)) as recall, greatest(0, tracked - counted - 1) as over from p",
+    "count_recall": f"with {OBS_SQL}, p as (select frame_idx, count(*) filter (state = 'confirmed') as tracked, count(distinct user_id) as counted from obs group by 1) select *, least(1e0, tracked / greatest(1, counted)) as recall, greatest(0, tracked - counted - 1) as over from p",
     "session_expiry": f"with {OBS_SQL}, o as (select *, case when t_us - lag(t_us) over w < 500000 then 0 else 1 end as new_ from obs window w as (partition by id order by t_us, ord)), g as (select *, (sum(new_) over (partition by id order by t_us, ord rows unbounded preceding))::bigint as session from o) select id, session, min(t_us) as start_us, max(t_us) + 500000 as end_us, count(*) as n from g group by 1, 2",
     "far_confirm": f"with {OBS_SQL} select a.ord, count(distinct b.ord) as earlier, count(distinct b.ord) >= 2 as confirmed from obs a join obs b on a.user_id = b.user_id and b.t_us < a.t_us and a.t_us - b.t_us <= 500000 and abs(a.x_m - b.x_m) <= 60 group by 1",
     "tick_filter": f"with recursive {OBS_SQL}, r as (select track, t_us, ord, row_number() over (partition by track order by t_us, ord) as k from obs), walk(track, k, t_us, ord, last_us, hit) as (select track, k, t_us, ord, t_us, true from r where k = 1 union all select w.track, r.k, r.t_us, r.ord, case when r.t_us - w.last_us >= 200000 then r.t_us else w.last_us end, r.t_us - w.last_us >= 200000 from walk w join r on r.track = w.track and r.k = w.k + 1) select track, t_us, ord from walk where hit",

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 PERSON = "track long, box array<double>, cls string, zone string, evidence string, id string, display string, team string, role string, label string, state string, identityConfidence double, roleConfidence double, pitch array<double>, pitchConfidence double, pitchSource string, pitchClipped boolean"
 ENTRY = "id string, display string, team string, role string, status string, confirmed boolean, retiredInto string"
@@ -60,15 +61,19 @@ def observations(results: DataFrame) -> DataFrame:
     return o.join(known, ["run", "id"], "left").withColumn("in_roster", F.coalesce("in_roster", F.lit(False)))
 
 
+#: Seconds between two frames of a wide tracking file; a fixed value.
+STEP_S = 0.04
+
+
 def wide_tracking(spark: SparkSession, path: str, players: list[str]) -> DataFrame:
     """A wide tracking CSV (three header rows; period, frame, time, then x and y per player) as
-    long rows; '' and NaN are null, and time is made to go on where a period starts anew."""
+    long rows; '' and NaN are null, and where a period starts its clock anew, time goes on by one step."""
     names = ["period", "frame", "time"] + [f"{a}_{i}" for i in range(len(players)) for a in "xy"]
     raw = spark.read.schema(", ".join(f"{n} string" for n in names)).option("mode", "PERMISSIVE").csv(path)
     num = lambda c: F.nanvl(F.col(c).try_cast("double"), F.lit(None).cast("double"))
     rows = raw.where(F.col("frame").rlike(r"^\d+$")).select(F.col("period").cast("int"), F.col("frame").cast("long"), num("time").alias("time"), *(num(c).alias(c) for c in names[3:]))
     w = Window.orderBy("period", "frame").partitionBy(F.input_file_name())
-    back = F.when(F.col("time") < F.lag("time").over(w), F.lag("time").over(w) - F.col("time")).otherwise(0.0)
+    back = F.when(F.col("time") <= F.lag("time").over(w), F.lag("time").over(w) - F.col("time") + STEP_S).otherwise(0.0)
     rows = rows.withColumn("back", back).withColumn("time", F.col("time") + F.sum("back").over(w)).drop("back")
     cells = F.array(*(F.struct(F.lit(p).alias("player"), F.col(f"x_{i}").alias("x"), F.col(f"y_{i}").alias("y")) for i, p in enumerate(players)))
     return rows.select("period", "frame", "time", F.explode(cells).alias("c")).select("period", "frame", "time", "c.*")
@@ -88,6 +93,43 @@ def kv_rows(records: DataFrame, owner: str) -> DataFrame:
     return r.select("id", "kind", "data", "created").orderBy(F.desc("created"), "id")
 
 
+def kv_get(records: DataFrame, key: str, owner: str, kind: str) -> DataFrame:
+    """The latest record of an id, owner and kind."""
+    return records.where((F.col("id") == key) & (F.col("owner") == owner) & (F.col("kind") == kind)).orderBy(F.desc("created")).limit(1)
+
+
+def inserted_or_ignored(records: DataFrame, new: DataFrame) -> DataFrame:
+    """Adds the new records whose id is not there yet."""
+    return records.unionByName(new.join(records.select("id"), "id", "left_anti").select(records.columns))
+
+
+def replaced_at(records: DataFrame, new: DataFrame) -> DataFrame:
+    """Compare and set: a new record (with ``expected``, a revision) replaces that of its id and owner
+    only if the document there has the expected revision."""
+    now = records.select("id", "owner", F.get_json_object("data", "$.revision").cast("long").alias("now"))
+    ok = new.join(now, ["id", "owner"]).where(F.col("now") == F.col("expected")).select(*records.columns)
+    return records.join(ok.select("id", "owner"), ["id", "owner"], "left_anti").select(records.columns).unionByName(ok)
+
+
+def deleted(records: DataFrame, owner: str, keys: DataFrame) -> DataFrame:
+    """Records without those of the owner whose id is in ``keys``."""
+    return records.join(keys.select("id").distinct().withColumn("owner", F.lit(owner)), ["id", "owner"], "left_anti").select(records.columns)
+
+
+def run_documents(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+    """The JSON documents ``name`` of all run folders below ``folder``, with the run; none is no error."""
+    wanted = StructType.fromDDL(schema)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", name).option("recursiveFileLookup", "true").load(folder)
+    body = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("run"), F.from_json(F.decode("content", "UTF-8"), wanted).alias("d"))
+    return body.select("run", *(F.col(f"d.{f.name}") for f in wanted.fields))
+
+
+def uploads(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(name, bytes, modified) of the files of a folder, newest first; contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified")).orderBy(F.desc("modified"), "name")
+
+
 def at_revision(records: DataFrame, revision: int) -> DataFrame:
     """Records whose JSON document has the revision."""
     return records.where(F.get_json_object("data", "$.revision").cast("long") == revision)
@@ -123,7 +165,7 @@ def exported(chunks: list[DataFrame]) -> DataFrame:
     return both.withColumn("turn", turn).where("turn = 1").drop("turn", "chunk")
 
 
-def write_result(df: DataFrame, path: str, partition: list[str] | None = None) -> None:
-    """Parquet sink; Spark's commit makes the folder appear whole or not at all."""
-    w = df.write.mode("overwrite")
-    (w.partitionBy(*partition) if partition else w).parquet(path)
+def write_result(df: DataFrame, path: str, partition: list[str] | None = None, kind: str = "parquet", append: bool = False) -> None:
+    """Parquet or JSON sink; Spark's commit makes the files appear whole or not at all."""
+    w = df.write.mode("append" if append else "overwrite").format(kind)
+    (w.partitionBy(*partition) if partition else w).save(path)
