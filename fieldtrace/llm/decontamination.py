@@ -20,7 +20,7 @@ from .common import IdFilter, settle
 WIDTH = 5
 PERCENT = 80
 #: Sketches of up to so many rows are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANKS = " \t\n\x0b\x0c\r"
 
@@ -42,8 +42,8 @@ def shingle_texts(w: str, width: str) -> str:
     return f"array_distinct(if(size({w}) >= {width}, transform(sequence(1, greatest(size({w}) - {width} + 1, 1)), i -> array_join(slice({w}, i, {width}), ' ')), array()))"
 
 
-def _joined(rows: DataFrame, small: DataFrame, n: int, on: list[str]) -> DataFrame:
-    return rows.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, on)
+def _joined(rows: DataFrame, small: DataFrame, fits: bool, on: list[str]) -> DataFrame:
+    return rows.join(F.broadcast(small) if fits else small, on)
 
 
 def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -72,7 +72,7 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, perce
     probes = [F.explode(F.expr(shingle_hashes("w", k))).alias("h") for k in widths]
     hits = None
     for k, probe in zip(widths, probes, strict=True):
-        found = _joined(d.select("doc_id", "doc_row", probe), sketch.where(F.col("width") == k).select("h", "item_row"), n_sketch, ["h"]).select("doc_id", "doc_row", "item_row")
+        found = _joined(d.select("doc_id", "doc_row", probe), sketch.where(F.col("width") == k).select("h", "item_row"), n_sketch <= BROADCAST_ROWS, ["h"]).select("doc_id", "doc_row", "item_row")
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         return _empty(docs, items)
@@ -83,11 +83,12 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, perce
     near = near.select("doc_id", F.xxhash64("text").alias("doc_row"), words(F.col("text")).alias("w"))
     near = near.join(of_docs, ["doc_id", "doc_row"], "left_semi").dropDuplicates(["doc_id", "doc_row"])
     grams = it.select("item_row", "width", F.explode("grams").alias("gram"))
-    n_grams = grams.count()
+    size = grams.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("gram")).alias("bytes")).first()
+    fits = size["rows"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES
     exact = None
     for k in widths:
         own = near.select("doc_id", "doc_row", F.explode(F.expr(shingle_texts("w", str(k)))).alias("gram"))
-        found = _joined(own, grams.where(F.col("width") == k).drop("width"), n_grams, ["gram"])
+        found = _joined(own, grams.where(F.col("width") == k).drop("width"), fits, ["gram"])
         exact = found if exact is None else exact.unionByName(found)
     common = exact.groupBy("doc_id", "doc_row", "item_row").agg(F.count(F.lit(1)).alias("n_common"))
     pairs = common.join(it.select("item_row", "item_id", F.col("n_item").cast("long").alias("n_item")), "item_row").where(F.col("n_common") * 100 >= F.col("n_item") * percent)

@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from .common import text_blocks
 
 #: The network is fitted on about so many labelled rows, chosen by a hash of their id,
-#: each read whole.
-SAMPLE_ROWS = 6_000
+#: each read whole, and on about so many bytes of text at most; a text that is a
+#: sixteenth of these bytes or more is scored, but not learnt from.
+SAMPLE_ROWS, SAMPLE_BYTES = 6_000, 64 << 20
 GROUP = 4  # bytes between the starts of neighbouring windows, which are twice as long
 HALF = 128  # bytes between the starts of neighbouring chunks, which are twice as long
 EMBED, FILTERS, HIDDEN = 4, 32, 24
@@ -142,12 +143,20 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Params:
-    """Fit the network on ``labels`` (doc_id, quality) of ``docs`` that are not held out."""
+    """Fit the network on ``labels`` (doc_id, quality) of ``docs`` that are not held out.
+
+    Rows without doc_id or label are left out; texts that repeat a doc_id are learnt from each.
+    """
     known = labels.where("doc_id is not null and quality is not null").where(~held_out()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     n = known.count()
     share = min(1.0, SAMPLE_ROWS / max(n, 1))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000))
+    turn = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000))
+    chosen = known.where(turn < int(share * 1_000_000))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.where(F.octet_length("text") * 16 < SAMPLE_BYTES)
+    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    if size > SAMPLE_BYTES:
+        rows = rows.where(turn < int(share * 1_000_000 * SAMPLE_BYTES / size))
     rows = sorted(((r["doc_id"], bytes(r["text"]), r["quality"]) for r in rows.toLocalIterator()), key=lambda r: r[0])
     return fit([r[1] for r in rows], np.array([r[2] for r in rows], float))
 
