@@ -80,11 +80,11 @@ def voted_centres(offsets: DataFrame, least: int = MIN_VOTERS) -> DataFrame:
     return g.select("team", "step", (F.col("sx") / F.col("weight")).alias("cx"), (F.col("sy") / F.col("weight")).alias("cy"), F.greatest(F.lit(CENTRE_FLOOR**2), 1 / F.col("weight")).alias("var"))
 
 
-def learned_centres(cells: DataFrame, passes: int = PASSES, first: int = FIRST_VOTERS) -> DataFrame:
+def learned_centres(cells: DataFrame, passes: int = PASSES, first: int = FIRST_VOTERS, least: int = MIN_VOTERS) -> DataFrame:
     """Centres after so many passes from offsets to centres and back, so that the bias of the view cancels."""
     centres = first_centres(cells, first)
     for _ in range(passes):
-        centres = settled(voted_centres(role_offsets(cells, centres)))
+        centres = settled(voted_centres(role_offsets(cells, centres), least))
     return centres
 
 
