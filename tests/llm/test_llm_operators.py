@@ -374,7 +374,7 @@ def test_em_finds_the_liar():
         value = 0
         for v in code:
             value = 3 * value + v
-        counts.append(("phone", value, n))
+        counts.append(("phone", value * pii.DIGIT_STEPS * pii.MARK_RUNS, n))  # of one shape
     post = list(pii.estimate(counts).values())
     assert post[0] > 0.9 and post[1] < 0.1 and post[2] > 0.9 and post[3] < 0.1
 
