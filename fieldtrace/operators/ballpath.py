@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: ending a run; a skipped frame; metres per second beyond which a step is impossible.
 NONE, START, SKIP, MOST_SPEED = 0.45, 0.8, 0.12, 40.0
 LOOK_BACK = 6
+#: Sections of a run that one task solves together, as most are short.
+SECTIONS = 512
 
 
 def viterbi(frame: np.ndarray, seconds: np.ndarray, x: np.ndarray, y: np.ndarray, score: np.ndarray) -> np.ndarray:
@@ -59,11 +61,11 @@ def ball_path(candidates: DataFrame, schema: str) -> DataFrame:
     """The path of each run (columns run, ord, frame_idx, t_us, x, y, score): rows on it.
 
     No step crosses more than LOOK_BACK frames, so a run is cut where candidates are farther
-    apart, and each section is a group of its own.
+    apart; SECTIONS neighbouring sections are a group, and do not touch each other.
     """
     w = Window.partitionBy("run").orderBy("frame_idx", "ord")
     new = F.when(F.col("frame_idx") - F.lag("frame_idx").over(w) <= LOOK_BACK, 0).otherwise(1)
-    cut = candidates.withColumn("new", new).withColumn("section", F.sum("new").over(w)).drop("new")
+    cut = candidates.withColumn("new", new).withColumn("section", F.floor(F.sum("new").over(w) / SECTIONS)).drop("new")
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["frame_idx", "ord"]).reset_index(drop=True)
