@@ -115,9 +115,9 @@ def text_blocks(column: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES) ->
         lo = hi
 
 
-def block_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and text index of the words ``[^\\x20\\x09-\\x0D]+`` of a block."""
-    solid = ~_IS_SPACE[data]
+def block_words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and text index of the words of a block, ``[^\\x20\\x09-\\x0D]+`` if ``gaps`` doesn't say otherwise."""
+    solid = ~gaps[data]
     n = len(data)
     first, last = solid.copy(), solid.copy()
     if n:
@@ -185,11 +185,11 @@ class IdFilter:
     FILTER_BITS there is none, and every row passes.
     """
 
-    def __init__(self, ids: DataFrame, hashed: bool = False) -> None:
+    def __init__(self, ids: DataFrame, hashed: bool = False, key_bits: int = KEY_BITS) -> None:
         """``hashed``: the column is a hash already, and its low bits are the position."""
         column = F.col(ids.columns[0]).cast("long")
         rows = ids.count()
-        self.bits = min(FILTER_BITS, 1 << max(16, (KEY_BITS * rows).bit_length()))
+        self.bits = min(FILTER_BITS, 1 << max(16, (key_bits * rows).bit_length()))
         self.map = b""
         if rows > FILTER_BITS:
             return

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, language_model, metric_join, packing, pii, quality, sql, suffix_dedup, token_counts, toxicity
+from . import collocations, decontamination, hard_negatives, jaccard, language_model, metric_join, packing, pii, quality, sentence_pieces, sql, suffix_dedup, token_counts, toxicity
 from .common import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +58,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.personal_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digest(sentence_pieces.encoded(table(spark, sf_dir, "documents"), PIECE_MODEL))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -67,10 +83,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_pii": op10_pii,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_collocations": op12_collocations,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": sql.CONTAINED_ITEMS,
     "op2_ngram_jaccard_join": sql.JACCARD,
     "op9_embedding_near_dedup": sql.NEAR_VECTORS,
+    "op11_hard_negatives": sql.HARD_NEGATIVES,
+    "op12_collocations": sql.COLLOCATIONS,
 }
