@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import compare, cues, evidence, matches, motion, replay, reports, rules, tracks
+from .plans import balls, compare, cues, evidence, matches, motion, replay, reports, rules, tracks
 
-PLANS = (reports, tracks, matches, evidence, cues, replay, motion, rules, compare)
+PLANS = (reports, tracks, matches, evidence, cues, replay, motion, rules, compare, balls)
 QUERIES: dict = {name: f for plan in PLANS for name, f in plan.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: q for plan in PLANS for name, q in plan.ORACLE_SQL.items()}
