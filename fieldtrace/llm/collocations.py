@@ -21,7 +21,9 @@ from .common import _LOWER, BLOCK_BYTES, IdFilter, block_words, mix, settle, tex
 
 LONGEST, LEAST, PERCENT, TOP = 3, 10, 50, 2000
 #: Mass a hash partition should have, and partitions there are at least.
-MASS, LEAST_PARTS = 1 << 24, 64
+MASS, LEAST_PARTS = 1 << 23, 64
+#: Counters of a summary, times mass over threshold: one would do; with more, less is taken off and fewer rare n-grams survive.
+ROOM = 4
 #: N-grams a task gathers before it adds them up, and different phrases before it hands them on.
 GATHER, PHRASES = 1 << 22, 1 << 19
 #: Bits of the survivors' filter for each of them; the filter as a whole is bounded by IdFilter.
@@ -153,14 +155,14 @@ def gram_sums(docs: DataFrame, longest: int, parts: int) -> DataFrame:
 
 
 class Summary:
-    """A Misra-Gries summary of fingerprints with room for ``mass // least`` counters.
+    """A Misra-Gries summary of fingerprints with room for ``ROOM * mass // least`` counters.
 
     Each time ``lost`` rises by one, more than that many counters fall by one, and their sum
-    is ``mass`` at most; so ``lost`` stays below ``least``.
+    is ``mass`` at most; so ``lost`` stays below ``least / ROOM``.
     """
 
     def __init__(self, mass: int, least: int) -> None:
-        self.room, self.least, self.lost = mass // least, least, 0
+        self.room, self.least, self.lost = ROOM * mass // least, least, 0
         self.new: list[np.ndarray] = []
         self.prints, self.counts, self.waiting = np.zeros(0, np.uint32), np.zeros(0, np.int64), 0
 
