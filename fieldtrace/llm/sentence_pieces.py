@@ -10,6 +10,7 @@ those of its words, joined by position.  Texts are handled a segment at a time.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -50,66 +51,67 @@ class Coder:
         self.before_part = len(self.model.encode(GUARD))
         #: Whether decoding drops the marker that ids begin with.
         self.drops_mark = self.model.decode(self.model.encode("a")) == "a" and self.model.normalize("a") == MARK + "a"
-        self.new: dict[str, tuple[int, ...] | None] = {}
-        self.old: dict[str, tuple[int, ...] | None] = {}
+        #: Ids (int32 as bytes) and decoded text of each word.
+        self.new: dict[str, tuple[bytes, str]] = {}
+        self.old: dict[str, tuple[bytes, str]] = {}
 
     def encode(self, text: str) -> np.ndarray:
-        parts = [ids for _, ids in self.encoded(text)]
-        return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        return self.encoded(text)[0]
 
-    def encoded(self, text: str) -> Iterator[tuple[str, np.ndarray]]:
-        """(first character, ids) of each segment of ``text``."""
+    def encoded(self, text: str) -> tuple[np.ndarray, str]:
+        """The ids of ``text``, and what decode() makes of them."""
         marked = self.model.normalize(text) if text else ""
-        found = []
-        if self.by_words:
-            for segment in _segments(marked):
-                ids = self._joined(segment)
-                if ids is None:  # a word that normalisation alters when it stands alone
-                    break
-                found.append((segment[0], ids))
-            else:
-                yield from found
-                return
-        if marked:
-            yield MARK, np.array(self.model.encode(text), np.int32)
-
-    def _joined(self, segment: str) -> np.ndarray | None:
+        ids, texts = [], []
+        for segment in _segments(marked) if self.by_words else [None]:
+            found = self._joined(segment) if segment else None
+            if found is None:  # pieces cross words, or normalisation alters a word that stands alone
+                whole = self.model.encode(text)
+                return np.array(whole, np.int32), self.model.decode(whole)
+            ids.append(found[0])
+            texts.append(found[1])
+        plain = "".join(texts)
+        return np.frombuffer(b"".join(ids), np.int32), plain[1:] if marked[:1] == MARK and self.drops_mark else plain
+
+    def _joined(self, segment: str) -> tuple[bytes, str] | None:
         words = _WORDS(segment)
         got = list(map(self.new.get, words))
         if None in got and self.old:
             got = [self._known(w) if g is None else g for w, g in zip(words, got, strict=True)]
         if None in got:
             missing = list({w for w, g in zip(words, got, strict=True) if g is None})
-            fresh = dict(zip(missing, self._segmented(missing), strict=True))
-            if None in fresh.values():
+            ids = self._segmented(missing)
+            if None in ids:
                 return None
-            for w, ids in fresh.items():
+            # A word that decodes alone loses its first marker as if it began a text.
+            texts = [" " + t if w[0] == MARK and self.drops_mark else t for w, t in zip(missing, self.model.decode(ids, num_threads=1), strict=True)]
+            fresh = {w: (array("i", i).tobytes(), t) for w, i, t in zip(missing, ids, texts, strict=True)}
+            for w, found in fresh.items():
                 if len(w) <= WORD:
-                    self._keep(w, ids)
+                    self._keep(w, found)
             got = [fresh[w] if g is None else g for w, g in zip(words, got, strict=True)]
-        return np.fromiter(chain.from_iterable(got), np.int32)
+        return b"".join([g[0] for g in got]), "".join([g[1] for g in got])
 
-    def _known(self, word: str) -> tuple[int, ...] | None:
-        ids = self.old.get(word)
-        if ids is not None:
-            self._keep(word, ids)
-        return ids
+    def _known(self, word: str) -> tuple[bytes, str] | None:
+        found = self.old.get(word)
+        if found is not None:
+            self._keep(word, found)
+        return found
 
-    def _keep(self, word: str, ids: tuple[int, ...]) -> None:
+    def _keep(self, word: str, found: tuple[bytes, str]) -> None:
         if len(self.new) >= TABLE:
             self.new, self.old = {}, self.new
-        self.new[word] = ids
+        self.new[word] = found
 
-    def _segmented(self, words: list[str]) -> list[tuple[int, ...] | None]:
+    def _segmented(self, words: list[str]) -> list[list[int] | None]:
         """Ids of each word; None where its plain form is not normalised to the word again."""
         plain = [w[1:].replace(MARK, " ") if w[0] == MARK and self.drops_mark else w.replace(MARK, " ") for w in words]
         again = self.model.normalize(plain)
         short = [k for k, w in enumerate(words) if len(w) <= PART or not self.guarded]
-        found: list[tuple[int, ...] | None] = [None] * len(words)
+        found: list[list[int] | None] = [None] * len(words)
         for k, ids in zip(short, self.model.encode([plain[k] for k in short], num_threads=1), strict=True):
-            found[k] = tuple(ids)
+            found[k] = ids
         for k in set(range(len(words))).difference(short):
-            found[k] = tuple(chain.from_iterable(self._parts(words[k], plain[k])))
+            found[k] = list(chain.from_iterable(self._parts(words[k], plain[k])))
         return [ids if w == a else None for w, a, ids in zip(words, again, found, strict=True)]
 
     def _parts(self, word: str, plain: str) -> Iterator[list[int]]:
@@ -129,11 +131,6 @@ class Coder:
             yield self.model.encode(GUARD + part)[self.before_part :] if lo else self.model.encode(part)
             lo = hi
 
-    def decoded(self, parts: list[tuple[str, np.ndarray]]) -> str:
-        """What decode() gives for the ids of all ``parts`` together."""
-        texts = [self.model.decode(ids.tolist()) for _, ids in parts]
-        return "".join(" " + t if k and first == MARK and self.drops_mark else t for k, ((first, _), t) in enumerate(zip(parts, texts, strict=True)))
-
 
 def _segments(marked: str) -> Iterator[str]:
     """Parts of ``marked`` of about SEGMENT characters that end where a marked word does."""
@@ -170,9 +167,9 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             done, ids, texts, size = 0, [], [], 0
             for row, text in enumerate(batch.column(1)):
-                parts = list(own.encoded(text.as_py() or ""))
-                ids.append(np.concatenate([x for _, x in parts]) if parts else np.zeros(0, np.int32))
-                texts.append(own.decoded(parts))
+                found = own.encoded(text.as_py() or "")
+                ids.append(found[0])
+                texts.append(found[1])
                 size += len(ids[-1]) + 1
                 if size >= BATCH:
                     yield _rows(batch.column(0).slice(done, row + 1 - done), ids, texts)
