@@ -41,6 +41,9 @@ def signed_distance(points: list[tuple[int, int]], x: Column, y: Column) -> Colu
 
 
 def view_class(distance: Column, sigma: Column) -> Column:
-    """C certainly in view, U certainly not, S in between, by the larger of sigma and 1."""
+    """Where someone unobserved is: C certainly in view, so concealed, S certainly off the screen, U unknown, by the larger of sigma and 1.
+
+    Unknown too without a distance, as without a view or an estimate.
+    """
     s = F.greatest(F.lit(1.0), sigma)
-    return F.when(distance <= -s, "C").when(distance >= s, "U").otherwise("S")
+    return F.when(distance <= -s, "C").when(distance >= s, "S").otherwise("U")

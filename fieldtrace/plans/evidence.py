@@ -204,7 +204,7 @@ ORACLE_SQL = {
     "pitch_position_sigma": f"with {OBS_SQL}, p as (select ord, {_X('x_m', 'y_m')} as x, {_Y('x_m', 'y_m')} as y, {_X('(x_m + 1)', 'y_m')} as xr, {_Y('(x_m + 1)', 'y_m')} as yr, {_X('x_m', '(y_m + 1)')} as xd, {_Y('x_m', '(y_m + 1)')} as yd from obs) select ord, round(sqrt((xr - x) * (xr - x) + (xd - x) * (xd - x)), 9) as sigma_x, round(sqrt((yr - y) * (yr - y) + (yd - y) * (yd - y)), 9) as sigma_y from p",
     "point_in_polygon": f"with {OBS_SQL} select ord, {_INSIDE} as inside from obs",
     "signed_distance": f"with {OBS_SQL} select ord, round({_DISTANCE}, 6) as distance from obs",
-    "view_classes": f"with {OBS_SQL}, p as (select id, {_DISTANCE} as d, greatest(1e0, identity_conf) as s from obs) select id, case when d <= -s then 'C' when d >= s then 'U' else 'S' end as class, count(*) as n from p group by 1, 2",
+    "view_classes": f"with {OBS_SQL}, p as (select id, {_DISTANCE} as d, greatest(1e0, identity_conf) as s from obs) select id, case when d <= -s then 'C' when d >= s then 'S' else 'U' end as class, count(*) as n from p group by 1, 2",
     "mapping_loss": f"with {_MAPPED}, b as (select *, frame_idx - row_number() over (partition by run order by frame_idx) as island from mapped where mapped * 2 < tracks) select run, min(frame_idx) as first, max(frame_idx) + 1 as end, min(mapped / tracks) as share, arg_min(frame_idx, (mapped / tracks, frame_idx)) as worst_frame from b group by run, island having max(frame_idx) + 1 - min(frame_idx) >= 2",
     "theil_sen": f"with {OBS_SQL}, m as (select a.frame_idx, greatest(0e0, median((b.y_m - a.y_m) / (b.x_m - a.x_m))) as slope from obs a join obs b on a.frame_idx = b.frame_idx and a.ord < b.ord and abs(b.x_m - a.x_m) >= 30 group by 1) select frame_idx, any_value(slope) as slope, median(y_m - slope * x_m) as intercept from obs join m using (frame_idx) group by 1",
     "motion_chain": f"with {OBS_SQL}, o as (select *, row_number() over w as idx, sum(case when kind = 'error' then 1 else 0 end) over w as seg from obs window w as (partition by user_id order by t_us, ord)) select user_id as run, idx, (sum(x_m) over v)::bigint as x, (sum(y_m) over v)::bigint as y from o window v as (partition by user_id, seg order by idx)",
