@@ -9,8 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .matching import assignment
-
 
 def by_count(values: DataFrame, keys: list[str], value: str, at: dict[str, Column]) -> DataFrame:
     """Values at given ranks (columns of n) of each key, by counts of distinct values; with n and total."""
@@ -30,35 +28,6 @@ def clear_best(pairs: DataFrame, keys: list[str], cost: str, slack: int) -> Data
     return g.where(F.col("second").isNull() | (F.col("second") >= 2 * F.col("first") + slack))
 
 
-def assigned_with_lead(scores: DataFrame, accept: float, lead: float, rounds: int = 5) -> DataFrame:
-    """One-to-one pairs (frag, id, score) of each team, in rounds: the best assignment of what is open, of
-    which a pair is accepted if it is good enough and clearly ahead of every other pair of its
-    fragment, and of its identity among the open fragments."""
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        frags, ids = np.unique(rows["frag"]), np.unique(rows["id"])
-        s = np.zeros((len(frags), len(ids)))
-        s[np.searchsorted(frags, rows["frag"]), np.searchsorted(ids, rows["id"])] = rows["score"]
-        left, out = np.arange(len(frags)), []
-        for _ in range(rounds):
-            if not len(left) or not s[left].any():
-                break
-            part, taken = s[left], []
-            for i, j in enumerate(assignment(1 - part)):
-                if j < 0 or part[i, j] < accept:
-                    continue
-                rivals = max(np.delete(part[i], j).max(initial=0), np.delete(part[:, j], i).max(initial=0))
-                if part[i, j] - rivals >= lead:
-                    taken.append(i)
-                    out.append((frags[left[i]], ids[j], part[i, j]))
-            if not taken:
-                break
-            left = np.delete(left, taken)
-        return pd.DataFrame(out, columns=["frag", "id", "score"])
-
-    return scores.groupBy("team").applyInPandas(solve, "frag string, id string, score double")
-
-
 def kept_galleries(rows: DataFrame, apart: int, alike: float, size: int = 5) -> DataFrame:
     """Samples (id, t, vec_id, unit vector v) that enter the gallery of their identity as they stream by:
     ``apart`` after the last that entered, unlike all in it; the first stays and the second goes when it is full."""

@@ -103,7 +103,8 @@ def throttled(rows: DataFrame, key: str, every: int) -> DataFrame:
         for batch in batches:
             passed = []
             for k, t in zip(batch[key], batch["t_us"].tolist(), strict=True):
-                good = k != own or t - last >= every
+                same = k == own or (k != k and own != own)  # a null number comes as NaN; null keys are one key
+                good = not same or t - last >= every
                 if good:
                     own, last = k, t
                 passed.append(good)

@@ -9,10 +9,10 @@ from ..functions import pitch
 from ..functions import vectors as fv
 from ..functions.geometry import projected
 from ..operators import comparing as cp
-from ..operators import pairing
+from ..operators import tracklets
 from ..sources.adapter import OBS_SQL, observations
 from .matches import _BOXES, _GREEDY, _IOU, _boxes, _greedy, _vectors
-from .rules import _MARKS, _team_frags
+from .rules import _MARKS
 
 
 def _o(s, d):
@@ -94,7 +94,7 @@ def _hints(s, d):
     o = _o(s, d).where("kind in ('purchase', 'click', 'error')")
     w = Window.partitionBy("video").orderBy("t_us", "ord")
     o = o.withColumns({"line": F.last(at("purchase"), ignorenulls=True).over(w), "box": F.last(at("click"), ignorenulls=True).over(w)})
-    fresh = F.col("t_us") - F.col("line.t_us") <= 3_000
+    fresh = F.col("t_us") - F.col("line.t_us") <= 30_000_000
     return o.where("kind = 'error'").select("ord", F.when(fresh, "line").when(F.col("box").isNotNull(), "box").alias("hint"), F.when(fresh, F.col("line.ord")).otherwise(F.col("box.ord")).alias("source"))
 
 
@@ -119,10 +119,20 @@ def _corners(s, d):
 
 
 def _lead(s, d):
-    """Fragments of a team and identities not seen meanwhile, scored by a hash, assigned with a lead."""
-    f = _team_frags(s, d)
-    c = pairing.fragment_candidates(f, _o(s, d).select("team", "id").distinct(), _o(s, d).where("state = 'confirmed'")).join(f.select("frag", "team"), "frag")
-    return cp.assigned_with_lead(c.withColumn("score", F.pmod(F.xxhash64("frag", "id"), F.lit(1000)) / 1000.0), 0.6, 0.02)
+    """Unsure fragments of a team and the identities not seen meanwhile, by where these were before and after; a video is its own
+    camera, and looks are those of the crops with the numbers of the track and the identity."""
+    o = _o(s, d).select("video", "team", "id", "user_id", "track", "t_us", "ord", (F.col("x_m") * 0.105).alias("x"), (F.col("y_m") * 0.068).alias("y"), "state")
+    w = Window.partitionBy("track").orderBy("t_us", "ord")
+    new = F.when(F.col("state") == F.lag("state").over(w), 0).otherwise(1)
+    rows = o.withColumn("new", new).withColumn("part", F.sum("new").over(w)).where("state = 'uncertain'")
+    rows = rows.select(F.concat_ws(":", F.col("track").cast("string"), F.col("part").cast("string")).alias("frag"), "video", "team", "user_id", "t_us", "ord", "x", "y", F.col("video").alias("camera"))
+    end = F.struct("t_us", "ord", "x", "y")
+    f = rows.groupBy("frag", "video", "team").agg(F.min(end).alias("a"), F.max(end).alias("b"), F.min("user_id").alias("user_id"))
+    f = f.select("frag", "video", "team", "user_id", F.col("a.t_us").alias("t0"), F.col("b.t_us").alias("t1"), F.col("a.x").alias("x0"), F.col("a.y").alias("y0"), F.col("b.x").alias("x1"), F.col("b.y").alias("y1"), F.col("video").alias("camera0"), F.col("video").alias("camera1"))
+    seen = o.where("state = 'confirmed'").select("id", "t_us", "x", "y", F.col("video").alias("camera"))
+    members = o.select("video", "team", "id").distinct()
+    looks = f.join(o.select("video", "team", "id", F.col("user_id").alias("who")).distinct(), ["video", "team"]).select("frag", "id", (1 - F.least(F.abs(F.col("user_id") - F.col("who")), F.lit(10)) / 12).alias("appearance"))
+    return tracklets.assigned_fragments(f, rows, members, seen, looks)
 
 
 def _gallery_stream(s, d):
@@ -159,7 +169,7 @@ ORACLE_SQL = {
     "look_back_jumps": f"with {OBS_SQL}, o as (select video, kind, t_us, x_m, y_m, min({{'t': t_us, 'o': ord, 'x': x_m, 'y': y_m}}) over (partition by id order by t_us range between 1000000 preceding and current row) as p from obs), e as (select video, kind, t_us - p.t as dt, (x_m - p.x) * 105 * ((x_m - p.x) * 105) + (y_m - p.y) * 68 * ((y_m - p.y) * 68) as square from o) select video, kind, count(*) filter (dt > 0) as steps, count(*) filter (dt > 0 and square * 1000000 > 144 * dt * dt) as jumps from e group by 1, 2",
     "evaluation": f"with {OBS_SQL}, o as (select *, lag(track) over (partition by user_id order by t_us, ord) as before, row_number() over (partition by user_id, frame_idx order by ord) as twice from obs) select user_id, count(*) filter (before <> track) as switches, count(distinct track) as tracks, count(*) filter (state = 'confirmed') / count(*) as coverage, count(*) filter (twice > 1) as doubled from o group by 1",
     "marking_matches": f"with {OBS_SQL}, {_MARKS}, j as (select ord, name, floor(sqrt((lx * 1000 - x_m * 105) * (lx * 1000 - x_m * 105) + (ly * 1000 - y_m * 68) * (ly * 1000 - y_m * 68)))::bigint as cost from obs, marks where kind = 'click'), r as (select *, row_number() over (partition by ord order by cost, name) as turn from j), g as (select ord, max(name) filter (turn = 1) as name, max(cost) filter (turn = 1) as first, max(cost) filter (turn = 2) as second from r where turn <= 2 group by 1) select * from g where second is null or second >= 2 * first + 2000",
-    "goal_hints": f"with {OBS_SQL}, o as (select *, last_value(case when kind = 'purchase' then {{'t': t_us, 'o': ord}} end ignore nulls) over w as line, last_value(case when kind = 'click' then {{'t': t_us, 'o': ord}} end ignore nulls) over w as box from obs where kind in ('purchase', 'click', 'error') window w as (partition by video order by t_us, ord rows unbounded preceding)) select ord, case when t_us - line.t <= 3000 then 'line' when box is not null then 'box' end as hint, case when t_us - line.t <= 3000 then line.o else box.o end as source from o where kind = 'error'",
+    "goal_hints": f"with {OBS_SQL}, o as (select *, last_value(case when kind = 'purchase' then {{'t': t_us, 'o': ord}} end ignore nulls) over w as line, last_value(case when kind = 'click' then {{'t': t_us, 'o': ord}} end ignore nulls) over w as box from obs where kind in ('purchase', 'click', 'error') window w as (partition by video order by t_us, ord rows unbounded preceding)) select ord, case when t_us - line.t <= 30000000 then 'line' when box is not null then 'box' end as hint, case when t_us - line.t <= 30000000 then line.o else box.o end as source from o where kind = 'error'",
     "occluded": f"with {_BOXES}, j as (select a.frame_idx, a.ord, {_IOU('a', 'b')} as iou, (power(abs(2 * a.bx + a.bw - 2 * b.bx - b.bw), 2) + power(abs(2 * a.by_ + a.bh - 2 * b.by_ - b.bh), 2)) * 100 < 36 * (a.bw + b.bw) * (a.bw + b.bw) as close from boxes a join boxes b on a.frame_idx = b.frame_idx and a.ord <> b.ord), g as (select frame_idx, ord, max(iou) as covered, bool_or(close) as close from j group by 1, 2) select * from g where covered > 0.02 or close",
     "corner_homography": f"""with {OBS_SQL}, c as (select ord, {', '.join(f'({e})::double as x{k}' for k, e in enumerate(_X))}, {', '.join(f'({e})::double as y{k}' for k, e in enumerate(_Y))} from obs
 ), d as (select *, x1 - x2 as dx1, x3 - x2 as dx2, x0 - x1 + x2 - x3 as sx, y1 - y2 as dy1, y3 - y2 as dy2, y0 - y1 + y2 - y3 as sy from c

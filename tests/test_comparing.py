@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
-from fieldtrace.operators import comparing
+from fieldtrace.operators import comparing, tracklets
 
 
 def test_galleries_equal_the_loop(spark):
@@ -29,8 +29,8 @@ def test_galleries_equal_the_loop(spark):
 
 
 def test_assignment_needs_a_lead_both_ways(spark):
-    s = [("T", "f1", "a", 0.9), ("T", "f1", "b", 0.3), ("T", "f2", "a", 0.4), ("T", "f2", "b", 0.8), ("T", "f3", "c", 0.85), ("T", "f4", "c", 0.84), ("T", "f5", "d", 0.5)]
-    got = comparing.assigned_with_lead(spark.createDataFrame(s, "team string, frag string, id string, score double"), 0.6, 0.1).collect()
+    s = [("f1", "a", 0.9), ("f1", "b", 0.3), ("f2", "a", 0.4), ("f2", "b", 0.8), ("f3", "c", 0.85), ("f4", "c", 0.84), ("f5", "d", 0.5)]
+    got = tracklets.best_pairs(spark.createDataFrame([(0, "T", *r) for r in s], "video long, team string, frag string, id string, score double"), 0.6, 0.1).collect()
     assert {(r["frag"], r["id"]) for r in got} == {("f1", "a"), ("f2", "b")}
 
 
