@@ -25,7 +25,7 @@ MASS, LEAST_PARTS = 1 << 23, 64
 #: Counters of a summary, times mass over threshold: one would do; with more, less is taken off and fewer rare n-grams survive.
 ROOM = 4
 #: N-grams a task gathers before it adds them up, and different phrases before it hands them on.
-GATHER, PHRASES = 1 << 22, 1 << 21
+GATHER, PHRASES = 1 << 21, 1 << 21
 #: Bits of the survivors' filter for each of them; the filter as a whole is bounded by IdFilter.
 SURVIVOR_BITS = 32
 #: Parts a language is ranked in before the best of the parts are.
