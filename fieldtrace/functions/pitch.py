@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .geometry import projected
-
 #: Fixed values, metres: penalty area, goal area, spot and circle.
 PENALTY, PENALTY_HALF, GOAL_AREA, GOAL_HALF, SPOT, RADIUS = 16.5, 20.16, 5.5, 9.16, 11.0, 9.15
 #: Zones by strictness.
@@ -89,27 +87,6 @@ def layout_distance(a: Column, b: Column) -> Column:
     return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda s, x: s + x) / F.size(known))
 
 
-def disagreement(a: list[Column], b: list[Column], width: float, height: float, length: float = 105.0, breadth: float = 68.0, margin: float = 5.0) -> Column:
-    """Median metres between what two homographies (nine columns each) make of a grid of picture points that lie
-    on the pitch by the first; all grid points where fewer than four do."""
-    grid = F.array(*(F.struct(F.lit(width * (0.08 + 0.84 * i / 5)).alias("x"), F.lit(height * (0.12 + 0.85 * j / 4)).alias("y")) for j in range(5) for i in range(6)))
-
-    def one(p: Column) -> Column:
-        (ax, ay), (bx, by) = projected(a, p["x"], p["y"]), projected(b, p["x"], p["y"])
-        on = ax.between(-margin, length + margin) & ay.between(-margin, breadth + margin)
-        return F.struct(F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by)).alias("d"), on.alias("on"))
-
-    def middle(d: Column) -> Column:
-        n = F.size(d)
-        return F.when(n > 0, (F.get(d, F.floor((n - 1) / 2).cast("int")) + F.get(d, F.floor(n / 2).cast("int"))) / 2)
-
-    def seen(points: Column) -> Column:
-        on = F.filter(points, lambda p: p["on"])
-        return F.array_sort(F.transform(F.when(F.size(on) >= 4, on).otherwise(points), lambda p: p["d"]))
-
-    return bound(bound(F.filter(F.transform(grid, one), lambda p: p["d"].isNotNull()), seen), middle)
-
-
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is evaluated once, however often it is used."""
     return F.get(F.transform(F.array(value), use), 0)

@@ -34,16 +34,16 @@ def viterbi(frame: np.ndarray, seconds: np.ndarray, x: np.ndarray, y: np.ndarray
             idle += NONE * (frames[k] - frames[k - 1] - 1)
         node = 1 - score[now]
         best, who = np.full(len(now), idle + START), np.full(len(now), idle_from)
-        for j in range(max(0, k - LOOK_BACK), k):
-            if frames[k] - frames[j] > LOOK_BACK:
-                continue
-            old = order[first[j] : ends[j]]
+        # All candidates within reach at once; of equal costs the earliest counts.
+        at = np.arange(first[np.searchsorted(frames, frames[k] - LOOK_BACK)], lo)
+        if len(at):
+            old = order[at]
             dt = np.maximum(seconds[now][:, None] - seconds[old][None, :], 1e-6)
             v = np.hypot(x[now][:, None] - x[old], y[now][:, None] - y[old]) / dt / MOST_SPEED
-            step = np.where(v <= 1, v * v, np.inf) + (frames[k] - frames[j] - 1) * (SKIP + NONE) + cost[first[j] : ends[j]]
-            at = step.argmin(axis=1)
-            better = step[np.arange(len(now)), at] < best
-            best[better], who[better] = step[np.arange(len(now)), at][better], first[j] + at[better]
+            step = np.where(v <= 1, v * v, np.inf) + (frames[k] - frame[old] - 1) * (SKIP + NONE) + cost[at]
+            pick = step.argmin(axis=1)
+            better = step[np.arange(len(now)), pick] < best
+            best[better], who[better] = step[np.arange(len(now)), pick][better], at[pick[better]]
         cost[lo:hi], back[lo:hi] = best + node, who
         # Leaving the frame empty, or ending a run at the last frame's best node.
         last = int(cost[lo:hi].argmin()) + lo

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import pitch
+from ..functions import pitch, planes
 from ..functions import vectors as fv
 from ..operators import cues, edits, matching, pairing, trails
 from ..sources.adapter import OBS_SQL, observations, table
@@ -128,10 +130,17 @@ def _registration(s, d):
 
 
 def _disagreement(s, d):
-    o = _o(s, d)
-    a = [F.lit(v) for v in H1]
-    b = [F.lit(v) if k not in (2, 5) else F.lit(v) + (F.col("x_m") if k == 2 else F.col("y_m")) / 200 for k, v in enumerate(H1)]
-    return o.select("ord", _round(pitch.disagreement(a, b, 1920.0, 1080.0), 6).alias("metres"))
+    """What a homography and one that is shifted by the place of a sighting make of the picture: all grid points of a batch at once."""
+
+    def run(batches):
+        for t in batches:
+            shifted = np.tile(np.array(H1, float), (len(t), 1))
+            shifted[:, 2] += t["x_m"].to_numpy() / 200
+            shifted[:, 5] += t["y_m"].to_numpy() / 200
+            same = np.broadcast_to(np.array(H1, float).reshape(1, 3, 3), (len(t), 3, 3))
+            yield pd.DataFrame({"ord": t["ord"], "metres": planes.grid_distance(same, shifted.reshape(-1, 3, 3), 1920.0, 1080.0)})
+
+    return _o(s, d).select("ord", "x_m", "y_m").mapInPandas(run, "ord long, metres double").select("ord", _round(F.nanvl("metres", F.lit(None)), 6).alias("metres"))
 
 
 def _area(s, d):
