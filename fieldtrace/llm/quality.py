@@ -29,6 +29,8 @@ EPOCHS, BATCH, RATE = 12, 48, 4e-3
 #: Steps that a small sample gets at least, by more epochs.
 LEAST_STEPS = 700
 THRESHOLD = 0.3
+#: Chunks of a long text that are looked at together; texts of more are scored in such parts.
+PART = 1 << 12
 Params = dict[str, np.ndarray]
 
 
@@ -58,6 +60,23 @@ def laid_out(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, first
 
 
+def probability(p: Params, top: np.ndarray) -> np.ndarray:
+    """Of label 1, from the pooled hidden units of each text."""
+    return 1 / (1 + np.exp(-np.clip((top @ p["out"] + p["out_bias"]).astype(float), -30, 30)))
+
+
+def long_forward(p: Params, data: np.ndarray, part: int = PART) -> np.ndarray:
+    """``forward`` of one text of any length: chunks in parts of bounded size, and the running maximum of their units."""
+    halves = max(2, -(-len(data) // HALF))
+    top = np.full((1, HIDDEN), -np.inf, np.float32)
+    for a in range(0, halves - 1, part):
+        b = min(a + part + 2, halves)  # a half more than the chunks have: the last window of the last chunk reaches into it
+        own = np.zeros((b - a) * HALF, np.uint8)
+        own[: len(data[a * HALF : b * HALF])] = data[a * HALF : b * HALF]
+        top = np.maximum(top, forward(p, own, np.array([0, b - a]), keep=True)[1]["h"][:part].max(axis=0, keepdims=True))
+    return probability(p, top)
+
+
 def forward(p: Params, padded: np.ndarray, first: np.ndarray, keep: bool = False) -> tuple[np.ndarray, dict]:
     """Probabilities of label 1 and, if asked, what the backward pass needs."""
     x = p["embed"][padded].reshape(-1, GROUP * EMBED)
@@ -76,9 +95,7 @@ def forward(p: Params, padded: np.ndarray, first: np.ndarray, keep: bool = False
     at = first - np.arange(len(first))
     h = np.maximum(chunk @ p["hidden"] + p["hidden_bias"], 0)
     top = np.maximum.reduceat(h, at[:-1], axis=0)
-    z = top @ p["out"] + p["out_bias"]
-    prob = 1 / (1 + np.exp(-np.clip(z.astype(float), -30, 30)))
-    return prob, {"x": x, "y": y, "inside": inside, "chunk": chunk, "h": h, "top": top, "at": at} if keep else {}
+    return probability(p, top), {"x": x, "y": y, "inside": inside, "chunk": chunk, "h": h, "top": top, "at": at} if keep else {}
 
 
 def gradients(p: Params, padded: np.ndarray, first: np.ndarray, target: np.ndarray, weight: np.ndarray) -> Params:
@@ -171,7 +188,7 @@ def quality_scores(docs: DataFrame, params: Params) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in text_blocks(batch.column(1), 1 << 19):
-                prob, _ = forward(params, *laid_out(data, offsets))
+                prob = long_forward(params, data) if hi - lo == 1 and len(data) > PART * HALF else forward(params, *laid_out(data, offsets))[0]
                 ids = batch.column(0).slice(lo, hi - lo)
                 held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 0 for i in ids.to_pylist()]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(held), pa.array(prob), pa.array((prob >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])

@@ -70,3 +70,14 @@ def test_language_model_score_equals_its_loops(spark):
             units[c] += 10 ** model.share[u]
     assert all(v <= 1 + 1e-9 for v in units.values())
     assert np.allclose((10**model.step).sum(axis=1), 1)
+
+
+def test_long_texts_are_scored_in_parts():
+    """Any number of chunks at a time gives the score of the whole text; ends that fill no chunk included."""
+    p = {k: v + np.float32(0.1) for k, v in quality.start_params(5).items()}
+    r = np.random.default_rng(1)
+    for size in (0, 1, 127, 128, 129, 256, 257, 5_000, 5_120, 20_001):
+        data = r.integers(0, 256, size, dtype=np.uint8)
+        whole = quality.forward(p, *quality.laid_out(data, np.array([0, size])))[0]
+        for part in (1, 2, 7, 40, 1000):
+            assert np.allclose(quality.long_forward(p, data, part), whole, atol=1e-6)
