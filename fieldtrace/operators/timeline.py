@@ -29,8 +29,9 @@ def certainty(temporal: float | np.ndarray, observability: float | np.ndarray) -
     return np.maximum(0.0, temporal) * (0.25 + 0.75 * np.clip(observability, 0, 1))
 
 
-def _stream(rows: DataFrame, forward: bool, width: float, height: float) -> DataFrame:
-    """Anchors carried one way; rows are frames with their anchor, if any, in anchor_h."""
+def _stream(rows: DataFrame, forward: bool, width: float, height: float, held: bool = False) -> DataFrame:
+    """Anchors carried one way; rows are frames with their anchor, if any, in anchor_h.  ``held`` gives, for the
+    frames that have one, what would be known there without it."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run, h, temporal, still, anchor, step = None, None, 0.0, 0, None, None
@@ -52,12 +53,16 @@ def _stream(rows: DataFrame, forward: bool, width: float, height: float) -> Data
                         h = planes.oriented((m @ h)[None], width, height)[0]
                         still, temporal = 0, temporal - (FADE_COARSE if own.quality == "coarse" else FADE) * own.dt
                         h = None if np.isnan(h).any() else h
+                told = r.frame_idx, h, temporal, anchor
                 if r.anchor_h is not None and (h is None or certainty(1.0, r.observability) >= certainty(temporal, anchor.observability)):
                     h, temporal, still, anchor = np.asarray(r.anchor_h, float).reshape(3, 3), 1.0, 0, r
                 if h is not None and certainty(temporal, anchor.observability) < LEAST:
                     h = None
-                if h is not None:
-                    out.append((r.run, r.frame_idx, h.ravel().tolist(), temporal, anchor.frame_idx, anchor.t_us, anchor.observability, anchor.source))
+                if not held:
+                    told = r.frame_idx, h, temporal, anchor
+                if told[1] is not None and (r.anchor_h is not None or not held) and certainty(told[2], told[3].observability) >= LEAST:
+                    a = told[3]
+                    out.append((r.run, r.frame_idx, told[1].ravel().tolist(), told[2], a.frame_idx, a.t_us, a.observability, a.source))
                 step = r
             yield pd.DataFrame(out, columns=[c.split()[0] for c in CARRIED.split(", ")])
 
@@ -85,8 +90,33 @@ def timeline(log: DataFrame, anchors: DataFrame, width: float, height: float) ->
     STILL_FRAMES frames without motion, or too little certainty; a surer anchor takes over.  Frames that none reaches
     have source 'none' and confidence 0.
     """
+    return _blended(log, _with_anchors(log, anchors), width, height, False)
+
+
+def held_out(log: DataFrame, anchors: DataFrame, width: float, height: float) -> DataFrame:
+    """(run, frame_idx, metres, confidence, direction): how far each anchor is from what the others make of its frame.
+
+    Leaving an anchor out changes nothing before it in either direction, so both streams tell, in one pass, what they carry into the
+    frame.  metres is the median over the pitch in view, null where no other anchor reaches the frame.
+    """
     rows = _with_anchors(log, anchors)
-    ways = [_stream(rows, way, width, height).select("run", "frame_idx", F.struct("h", "temporal", "anchor", "anchor_us", "observability", "source").alias(name)) for way, name in ((True, "f"), (False, "b"))]
+    own = rows.where("anchor_h is not null").select("run", "frame_idx", "anchor_h")
+    j = own.join(_blended(log, rows, width, height, True), ["run", "frame_idx"])
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            known = x["h"].notna().to_numpy()
+            metres = np.full(len(x), np.nan)
+            if known.any():
+                metres[known] = planes.disagreement(planes.matrices(x["anchor_h"][known]), planes.matrices(x["h"][known]), width, height)
+            yield x[["run", "frame_idx", "confidence", "direction"]].assign(metres=[float(m) if np.isfinite(m) else None for m in metres])
+
+    return j.mapInPandas(compare, "run long, frame_idx long, confidence double, direction string, metres double")
+
+
+def _blended(log: DataFrame, rows: DataFrame, width: float, height: float, held: bool) -> DataFrame:
+    """Both directions brought together (columns of TIMELINE)."""
+    ways = [_stream(rows, way, width, height, held).select("run", "frame_idx", F.struct("h", "temporal", "anchor", "anchor_us", "observability", "source").alias(name)) for way, name in ((True, "f"), (False, "b"))]
     both = log.select("run", "frame_idx", "t_us").join(ways[0], ["run", "frame_idx"], "left").join(ways[1], ["run", "frame_idx"], "left")
     # An anchor that reaches a frame from both sides is its own frame's: one estimate.
     both = both.withColumn("b", F.when(F.col("f.anchor").isNull() | (F.col("f.anchor") != F.col("b.anchor")), F.col("b")))

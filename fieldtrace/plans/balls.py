@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import balltrack
+from ..operators import ballfilter, balltrack
 from ..sources.adapter import OBS_SQL, VIDEO_FRAMES, observations
 
 #: The adapted videos: picture, frames a second (an hour of events is 90 ms of video), pixels a metre.
@@ -73,6 +73,13 @@ def _reviews(s, d):
     return _path(s, d)[1].select("run", "round", "kind", "first", "last", "sightings", "strong", "against", "marking", F.round("det", 4).alias("det"), F.round("q", 4).alias("q"))
 
 
+def _followed(s, d):
+    """The ball frame by frame, as it could have been followed while the video ran."""
+    n = balltrack.likeness(candidates(s, d), people(s, d), HEIGHT)
+    f = ballfilter.followed(n.select("run", "frame_idx", "ord", "x", "y", "d", "q", "pxm"), frames(s, d))
+    return f.withColumns({c: F.round(c, 4) for c in ("x", "y", "speed", "distance")})
+
+
 def _first_pass(s, d):
     """The best candidate of each frame that was taken for the ball, as it was shown."""
     best = candidates(s, d).where("status = 'ball'").groupBy("run", "frame_idx").agg(F.max(F.struct("det", "ord", "x", "y")).alias("c"))
@@ -84,7 +91,7 @@ def _jumps(s, d):
     return balltrack.shown_jumps(_first_pass(s, d), people(s, d), WIDTH, HEIGHT)
 
 
-QUERIES = {"ball_likeness": _likeness, "ball_trajectory": _told, "ball_reviews": _reviews, "ball_jumps": _jumps}
+QUERIES = {"ball_likeness": _likeness, "ball_trajectory": _told, "ball_reviews": _reviews, "ball_followed": _followed, "ball_jumps": _jumps}
 
 _THINGS = f"""{OBS_SQL}, people as (
   select video as run, frame_idx - video * {VIDEO_FRAMES} as frame_idx, user_id as track, x_m * 1.28 - 13.5 as bx, y_m * 0.72 - 72.0 as by_, 27.0 as bw, 72.0 as bh

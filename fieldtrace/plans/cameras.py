@@ -45,6 +45,14 @@ def _timeline(s, d):
     return timeline.timeline(log(s, d), anchors(s, d), WIDTH, HEIGHT)
 
 
+def _holdout(s, d):
+    """Each video's anchors, left out one at a time: how many others reach, and how far off they are."""
+    h = timeline.held_out(log(s, d), anchors(s, d), WIDTH, HEIGHT)
+    upper = lambda share: F.get(F.sort_array(F.collect_list("metres")), F.least(F.floor(F.count("metres") * share), F.count("metres") - 1).cast("int"))
+    g = h.groupBy("run").agg(F.count(F.lit(1)).alias("anchors"), F.count("metres").alias("reached"), F.avg("metres").alias("mean"), upper(0.5).alias("median"), upper(0.95).alias("p95"), F.max("metres").alias("most"))
+    return g.withColumns({c: F.round(c, 4) for c in ("mean", "median", "p95", "most")})
+
+
 def _rounded(h):
     """Nine numbers scaled to the last, so that they can be compared."""
     return F.transform(h, lambda v: F.round(v / F.get(h, F.lit(8)), 6))
@@ -133,7 +141,7 @@ def _bridged(s, d):
 
 
 QUERIES = {
-    "homography_timeline": _timeline_rows, "homography_propagated": _propagated, "view_polygons": _views, "view_classes_by_frame": _visibility, "frame_hulls": _hulls, "landmark_calibration": _calibrated, "landmark_scores": _points_scores, "ball_bridged": _bridged,
+    "homography_timeline": _timeline_rows, "homography_propagated": _propagated, "homography_holdout": _holdout, "view_polygons": _views, "view_classes_by_frame": _visibility, "frame_hulls": _hulls, "landmark_calibration": _calibrated, "landmark_scores": _points_scores, "ball_bridged": _bridged,
 }
 
 ORACLE_SQL = {

@@ -125,6 +125,25 @@ def test_timeline_known_cases(lines):
     assert np.allclose(centre, planes.moved((np.linalg.matrix_power(shift(5.0), 31) @ CAMERA)[None], np.array([(52.5, 34.0)]))[0, 0])
 
 
+def test_anchors_left_out_equal_timelines_without_them(spark):
+    logs, anchors = (spark.createDataFrame([r for run in RUNS for r in run[k]], x) for k, x in ((0, LOG), (1, ANCHOR)))
+    got = {(r["run"], r["frame_idx"]): r for r in timeline.held_out(logs.repartition(3), anchors, W, H).collect()}
+    want = {}
+    for log_, own in RUNS:
+        for frame in {a[1] for a in own}:
+            best = max((a for a in own if a[1] == frame), key=lambda a: (a[4], -a[2]))
+            (f, b), sure = walked(log_, [a for a in own if a[1] != frame])
+            ways = [w[frame] for w in (f, b) if w[frame]]
+            if len(ways) == 2:
+                w = sure(ways[0][1], ways[0][3]) / (sure(ways[0][1], ways[0][3]) + sure(ways[1][1], ways[1][3]))
+                h = w * ways[0][0] / np.linalg.norm(ways[0][0]) + (1 - w) * ways[1][0] / np.linalg.norm(ways[1][0])
+            want[log_[0][0], frame] = apart(np.array(best[3]).reshape(3, 3), h if len(ways) == 2 else ways[0][0]) if ways else None
+    assert got.keys() == want.keys()
+    for key, metres in want.items():
+        assert got[key]["metres"] == (None if metres is None else pytest.approx(metres, abs=1e-6))
+    assert want[3, 5] < 0.01 and want[4, 5] > 2 and want[2, 10] is None
+
+
 def test_gaps_are_filled_backwards_while_that_is_sure(spark):
     rows = []
     for run, (conf, cut) in enumerate(((0.9, None), (0.352, None), (0.9, 5), (0.9, None))):
