@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as fv
@@ -97,3 +97,28 @@ def reid_candidates(pairs: DataFrame) -> DataFrame:
     )
     sure = clamp(0.76 * c("appearance") + 0.1 * c("jersey") + 0.06 * spatial + 0.03 * path + 0.05 * F.when(c("same_team"), 1.0).otherwise(0.5))
     return pairs.select("vec_id", "candidate", sure.alias("confidence"), reason.alias("reason"))
+
+
+def unlike(a: Column, b: Column) -> Column:
+    """How unlike two appearance histograms are; a quarter where one is empty."""
+    shared = F.aggregate(F.zip_with(a, b, lambda x, y: F.sqrt(x * F.coalesce(y, F.lit(0.0)))), F.lit(0.0), lambda s, v: s + v)
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), 1 - shared).otherwise(0.25)
+
+
+def remaining_player(unlabelled: DataFrame, labelled: DataFrame, candidates: DataFrame, own: int = 10, others: int = 3, most: float = 0.2, gap: float = 0.12) -> DataFrame:
+    """(video, team, id, ord): the one player of a team without a label, and the one detection that can only be them.
+
+    ``unlabelled`` has (video, team, id), ``labelled`` (video, team, ord, appearance), ``candidates`` (video, ord, score, appearance).  A team asks if
+    exactly one is left, ``own`` of it and at least ``others`` of the rest are known.  A detection of 0.5 or more fits if the mean of its
+    three smallest distances to the team is under ``most`` and by more than ``gap`` under that to the rest; two that fit are none.
+    """
+    left = unlabelled.groupBy("video", "team").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1").drop("n")
+    known = labelled.where("size(appearance) > 0")
+    sizes = known.groupBy("video").agg(F.count(F.lit(1)).alias("all")).join(known.groupBy("video", "team").agg(F.count(F.lit(1)).alias("own")), "video")
+    asks = left.join(sizes, ["video", "team"]).where((F.col("own") == own) & (F.col("all") - F.col("own") >= others)).select("video", "team", "id")
+    c = candidates.where("score >= 0.5 and size(appearance) > 0").select("video", "ord", F.col("appearance").alias("seen"))
+    j = asks.join(c, "video").join(known.select("video", F.col("team").alias("of"), "appearance"), "video").withColumn("side", F.when(F.col("of") == F.col("team"), 0).otherwise(1))
+    j = knn_mean(j.withColumn("d", unlike(F.col("seen"), F.col("appearance"))), ["video", "team", "id", "ord", "side"], "d")
+    at = lambda k: F.max(F.when(F.col("side") == k, F.col("mean")))
+    fits = j.groupBy("video", "team", "id", "ord").agg(at(0).alias("near"), at(1).alias("far")).where((F.col("near") < most) & (F.col("far") - F.col("near") > gap))
+    return fits.groupBy("video", "team", "id").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("ord")).where("n = 1").drop("n")

@@ -39,8 +39,8 @@ def participation(obs: DataFrame) -> DataFrame:
     x, y = F.col("x_m"), F.col("y_m")
     edge = (x < 40) | (x > 960) | (y < 40) | (y > 960)
     per = obs.groupBy("frame_idx", "team", "id").agg(F.max(F.when(edge, 1).otherwise(0)).alias("edge"))
-    mates = per.groupBy("frame_idx", "team").agg(F.count(F.lit(1)).alias("mates"))
-    j = per.join(mates, ["frame_idx", "team"]).groupBy("id").agg(F.count(F.lit(1)).alias("frames"), F.sum("edge").alias("edge_frames"), F.max("mates").alias("most_mates"))
+    per = per.withColumn("mates", F.count(F.lit(1)).over(Window.partitionBy("frame_idx", "team")))
+    j = per.groupBy("id").agg(F.count(F.lit(1)).alias("frames"), F.sum("edge").alias("edge_frames"), F.max("mates").alias("most_mates"))
     return j.withColumn("edge_share", F.col("edge_frames") / F.col("frames"))
 
 
@@ -53,6 +53,18 @@ def labels(obs: DataFrame, slots: int = 10) -> DataFrame:
     return per.select("team", "id", "presence", text.alias("label"))
 
 
+def relabelled(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(id, old_label, new_label) of the identities whose label changes, comes or goes, from two results of ``labels``."""
+    o, n = old.select("id", F.col("label").alias("old_label")), new.select("id", F.col("label").alias("new_label"))
+    return o.join(n, "id", "full").where(~F.col("old_label").eqNullSafe(F.col("new_label")))
+
+
+def shown_labels(rows: DataFrame, labels_of: DataFrame) -> DataFrame:
+    """``rows`` (id, role, display, ...) with the label of each player; others, and players without one, keep their display."""
+    r = rows.join(labels_of.select("id", "label"), "id", "left")
+    return r.withColumn("display", F.when(F.col("role") == "PLAYER", F.coalesce("label", "display")).otherwise(F.col("display"))).drop("label").select(rows.columns)
+
+
 def visibility_shares(obs: DataFrame, frames_of: DataFrame) -> DataFrame:
     """Per identity and class the number of its frames: observed (O), uncertain (S), or
     unseen in a frame in which its team was seen (U)."""

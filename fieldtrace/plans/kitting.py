@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import kits, tracklets, trails
+from ..operators import kits, pairing, tracklets, trails
 from ..sources.adapter import OBS_SQL, observations, table
 
 
@@ -65,6 +65,18 @@ def _classified(s, d):
     return kits.classified(f, centres).groupBy("video", "team").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
 
 
+def _remaining(s, d):
+    """In each video ten of a side are labelled, and some of the other; the last one of the side, and who it may be among the crops of the first frames."""
+    o = observations(s, d)
+    ids = o.groupBy("video", "team", "id", "user_id").agg(F.min("ord").alias("ord"))
+    place = F.row_number().over(Window.partitionBy("video", "team").orderBy("user_id"))
+    ids = ids.withColumn("place", place)
+    look = samples(s, d).select("ord", "jersey")
+    labelled = ids.where("place <= 10").join(look, "ord").select("video", "team", "ord", F.col("jersey").alias("appearance"))
+    first = o.withColumn("turn", F.row_number().over(Window.partitionBy("video").orderBy("t_us", "ord"))).where("turn <= 3").join(look, "ord")
+    return pairing.remaining_player(ids.where("place = 11").select("video", "team", "id"), labelled, first.select("video", "ord", (F.col("identity_conf") / 100).alias("score"), F.col("jersey").alias("appearance")))
+
+
 def crops(s, d) -> DataFrame:
     """Vectors as crops: 200 are a track, which shows one label after the other, ten seconds each; a label draws its crops its own way."""
     e = table(s, d, "embeddings").where("embedding is not null and label is not null")
@@ -88,7 +100,7 @@ def _fragments(s, d):
     return trails.label_segments(points, "is_cut")
 
 
-QUERIES = {"kit_models": _models, "kit_rule_votes": _votes, "team_discovery": _discovered, "team_classes": _classified, "appearance_changes": _changes, "appearance_cuts": _cuts, "crop_fragments": _fragments}
+QUERIES = {"kit_models": _models, "kit_rule_votes": _votes, "team_discovery": _discovered, "team_classes": _classified, "remaining_player": _remaining, "appearance_changes": _changes, "appearance_cuts": _cuts, "crop_fragments": _fragments}
 
 _CROPS = """crops as (
   select vec_id // 200 as track, label * 10000000::bigint + vec_id % 200 * 40000 as t_us, vec_id as ord, label,
@@ -123,6 +135,25 @@ ORACLE_SQL = {
   select *, sum(new) over (partition by track order by t_us, ord) as frag from marks
 )
 select track, frag::bigint as frag, any_value(state) as label, any_value(segment) as segment, min(t_us) as t0, max(t_us) as t1, count(*) as n from parts group by 1, 2""",
+    "remaining_player": f"""with {OBS_SQL}, looks as (
+  select *, case when role = 'GOALKEEPER' then 20 when user_id % 10 = 3 then 8 when user_id % 2 = 0 then 4 else 16 end as bin, 0.55 + ord % 10 / 50 as light from obs
+), ids as (
+  select video, team, id, user_id, min(ord) as ord, row_number() over (partition by video, team order by user_id) as place from obs group by 1, 2, 3, 4
+), known as (
+  select i.video, i.team, l.bin, l.light from ids i join looks l on l.ord = i.ord where place <= 10
+), asks as (
+  select i.video, i.team, any_value(i.id) as id from ids i where place = 11 and (select count(*) from known k where k.video = i.video and k.team = i.team) = 10 and (select count(*) from known k where k.video = i.video and k.team <> i.team) >= 3 group by 1, 2 having count(*) = 1
+), seen as (
+  select * from (select *, row_number() over (partition by video order by t_us, ord) as turn from looks) where turn <= 3 and identity_conf >= 50
+), pairs as (
+  select a.video, a.team, a.id, c.ord, k.team = a.team as own, 1 - case when c.bin = k.bin then sqrt(c.light * k.light) + sqrt((1 - c.light) * (1 - k.light)) else 0 end as d
+  from asks a join seen c on c.video = a.video join known k on k.video = a.video
+), nearest as (
+  select video, team, id, ord, own, avg(d) as mean from (select *, row_number() over (partition by video, team, id, ord, own order by d) as turn from pairs) where turn <= 3 group by all
+), fits as (
+  select video, team, id, ord from nearest group by all having max(mean) filter (own) < 0.2 and max(mean) filter (not own) - max(mean) filter (own) > 0.12
+)
+select video, team, id, min(ord) as ord from fits group by 1, 2, 3 having count(*) = 1""",
     "team_discovery": f"""with {OBS_SQL}, f as (
   select video, frame_idx // 10 as frame_idx, ord, case when role = 'GOALKEEPER' then 20 when user_id % 10 = 3 then 8 when user_id % 2 = 0 then 4 else 16 end as bin, 0.55 + ord % 10 / 50 as light
   from obs where not clipped and identity_conf / 100 + 0.3 > 0.5

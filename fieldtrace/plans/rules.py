@@ -81,17 +81,15 @@ def _sanity(s, d):
 
 
 def _invariants(s, d):
-    """How many rows break each rule of a recorded document."""
-    o = _o(s, d)
+    """How many rows break each rule of a recorded document: one pass, and one shuffle by identity."""
     w = Window.partitionBy("id").orderBy("ord")
-    one = lambda name, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("rule"), "n")
-    doubled = o.groupBy("id", "t_us").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    back = o.withColumn("before", F.lag("t_us").over(w)).where("t_us < before")
-    rules = [("duplicate time", doubled), ("time goes back", back), ("outside the picture", o.where("x_m < -50 or x_m > 1050 or y_m < -50 or y_m > 1050")), ("confidence without state", o.where("identity_conf >= 90 and state <> 'confirmed'")), ("no team", o.where("team is null"))]
-    out = None
-    for name, df in rules:
-        out = one(name, df) if out is None else out.unionByName(one(name, df))
-    return out
+    o = _o(s, d).withColumns({"before": F.lag("t_us").over(w), "again": F.row_number().over(Window.partitionBy("id", "t_us").orderBy("ord"))})
+    rules = {
+        "duplicate time": F.col("again") == 2, "time goes back": F.col("t_us") < F.col("before"), "outside the picture": F.expr("x_m < -50 or x_m > 1050 or y_m < -50 or y_m > 1050"),
+        "confidence without state": F.expr("identity_conf >= 90 and state <> 'confirmed'"), "no team": F.col("team").isNull(),
+    }
+    n = o.agg(*(F.count(F.when(c, 1)).alias(name) for name, c in rules.items()))
+    return n.select(F.explode(F.array(*(F.struct(F.lit(name).alias("rule"), F.col(f"`{name}`").alias("n")) for name in rules))).alias("r")).select("r.*")
 
 
 def _height_scale(s, d):

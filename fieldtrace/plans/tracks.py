@@ -75,6 +75,7 @@ QUERIES = {
     "roster_status": lambda s, d: roster.roster_status(_obs(s, d), 11),
     "participation": lambda s, d: roster.participation(_obs(s, d)),
     "labels": lambda s, d: roster.labels(_obs(s, d)),
+    "label_changes": lambda s, d: roster.relabelled(roster.labels(_obs(s, d).where("ord % 3 > 0")), roster.labels(_obs(s, d))),
     "visibility_shares": lambda s, d: roster.visibility_shares(_obs(s, d), _frames_of(s, d)),
     "goal_majority": lambda s, d: roster.majority(_obs(s, d).withColumn("side", F.when(F.col("x_m") < 400, "left").otherwise("right")), "id", "side", 15, 75),
     "active_at": lambda s, d: roster.substitution_state(_obs(s, d), _changes(s, d)),
@@ -112,6 +113,7 @@ ORACLE_SQL = {
     "anon_fragments": f"with {OBS_SQL} select user_id, min(frame_idx) as first_frame, max(frame_idx) as last_frame, count(*) as frames from (select *, frame_idx - row_number() over (partition by user_id order by frame_idx) as island from (select distinct user_id, frame_idx from obs where state = 'uncertain')) group by user_id, island",
     "roster_status": f"with {OBS_SQL}, ends as (select video, min(frame_idx) as a, max(frame_idx) as b from obs group by 1), per as (select video, team, id, max(frame_idx) as last from obs where in_roster group by 1, 2, 3) select team, count(*) as identities, count(*) filter ((last - a) * 100 >= (b - a) * 90) as active, greatest(0, count(*) - 11) as over_cap from per join ends using (video) group by team",
     "participation": f"with {OBS_SQL}, per as (select frame_idx, team, id, max(case when x_m < 40 or x_m > 960 or y_m < 40 or y_m > 960 then 1 else 0 end) as edge from obs group by 1, 2, 3), mates as (select frame_idx, team, count(*) as mates from per group by 1, 2) select id, count(*) as frames, sum(edge)::bigint as edge_frames, max(mates) as most_mates, sum(edge)::double / count(*) as edge_share from per join mates using (frame_idx, team) group by id",
+    "label_changes": f"with {OBS_SQL}, per as (select k, team, id, count(distinct frame_idx) as presence, min(ord) as created from obs, (values (0), (1)) v(k) where in_roster and (k = 1 or ord % 3 > 0) group by 1, 2, 3), ranked as (select *, row_number() over (partition by k, team order by presence // 2 desc, created) as r from per), named as (select k, id, case when r <= 10 then concat(team, '-', lpad(r::varchar, 2, '0')) else concat(team, '-?') end as label from ranked) select coalesce(o.id, n.id) as id, o.label as old_label, n.label as new_label from (select * from named where k = 0) o full join (select * from named where k = 1) n on n.id = o.id where o.label is distinct from n.label",
     "labels": f"with {OBS_SQL}, per as (select team, id, count(distinct frame_idx) as presence, min(ord) as created from obs where in_roster group by 1, 2), ranked as (select *, row_number() over (partition by team order by presence // 2 desc, created) as r from per) select team, id, presence, case when r <= 10 then concat(team, '-', lpad(r::varchar, 2, '0')) else concat(team, '-?') end as label from ranked",
     "visibility_shares": f"with {OBS_SQL}, o as (select * from obs), seen as (select id, team, frame_idx, max(case when state = 'confirmed' then 1 else 0 end) as sure from o group by 1, 2, 3) select i.id, case when sure = 1 then 'O' when sure = 0 then 'S' else 'U' end as class, count(*) as frames from (select distinct id, team from o) i join (select distinct team, frame_idx from o) f on f.team = i.team left join seen s on s.id = i.id and s.frame_idx = f.frame_idx group by 1, 2",
     "goal_majority": f"with {OBS_SQL}, per as (select id, case when x_m < 400 then 'left' else 'right' end as side, count(*) as n from obs group by 1, 2), top as (select id, sum(n)::bigint as total, max(n) as best, arg_max(side, (n, side)) as side from per group by id) select id, total, case when total >= 15 and best * 100 >= total * 75 then side end as winner from top",

@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 import pytest
-from fieldtrace.operators import edits, kits, tracklets
+from fieldtrace.operators import edits, kits, pairing, roster, tracklets
 from pyspark.sql import functions as F
 
 SAMPLE = "video long, ord long, jersey array<double>, shorts array<double>, weight double, born double"
@@ -142,6 +142,24 @@ def test_uniforms_are_discovered_in_the_first_clear_frame(spark):
     assert [r["team"] for r in kits.classified(ask, centres).orderBy("ord").collect()] == ["A", "B", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN"]
 
 
+def test_one_player_is_left_and_one_crop_can_only_be_theirs(spark):
+    a, b = hist(0, 1, 0.9, 6), hist(3, 4, 0.9, 6)
+    left = [(v, "A", f"a{v}") for v in range(6)] + [(1, "A", "another"), (5, "B", "b5")]
+    known = [(v, "A", k, a) for v in range(6) for k in range(9 if v == 2 else 10)] + [(v, "B", 100 + k, b) for v in range(6) for k in range(2 if v == 3 else 4)] + [(0, "A", 50, [])]
+    seen = [(v, 1, 0.9, a) for v in range(6)] + [(v, 2, 0.9, b) for v in range(6)] + [(0, 3, 0.4, a), (0, 4, 0.9, []), (0, 6, 0.9, [x / 2 + y / 2 for x, y in zip(a, b, strict=True)]), (4, 5, 0.9, a)]
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = pairing.remaining_player(df(left, "video long, team string, id string"), df(known, "video long, team string, ord long, appearance array<double>"), df(seen, "video long, ord long, score double, appearance array<double>")).collect()
+    # Not where two are left (1), nine are known (2), too few others are (3) or two crops fit (4); the other team of 5 has only four.
+    assert sorted((r["video"], r["team"], r["id"], r["ord"]) for r in got) == [(0, "A", "a0", 1), (5, "A", "a5", 1)]
+
+
+def test_labels_that_change_and_frames_that_show_them(spark):
+    old, new = (spark.createDataFrame(rows, "id string, label string") for rows in ([("x", "A-01"), ("y", "A-02"), ("z", "A-?")], [("x", "A-01"), ("y", "A-03"), ("w", "A-02")]))
+    assert sorted(map(tuple, roster.relabelled(old, new).collect()), key=str) == [("w", None, "A-02"), ("y", "A-02", "A-03"), ("z", "A-?", None)]
+    rows = spark.createDataFrame([("x", "PLAYER", "old"), ("q", "PLAYER", "old"), ("y", "REFEREE", "old")], "id string, role string, display string")
+    assert {r["id"]: r["display"] for r in roster.shown_labels(rows, new).collect()} == {"x": "A-01", "q": "old", "y": "old"}
+
+
 # Cuts
 
 
