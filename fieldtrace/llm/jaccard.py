@@ -182,21 +182,24 @@ def key_tiles(crowd: DataFrame, classes: DataFrame, percent: int = PERCENT) -> D
 
     Up to TILE members meet in one tile.  A key with more is cut by size band, with bands as
     wide as sizes that can link are apart, and each band into blocks; a set meets its own
-    band, and the bands next to it.
+    band, and those of the bands next to it that the key has.
     """
+    step = float(np.log(101 / percent))  # a little wider than sizes that link are apart
+    band = F.floor(F.log("n") / step)
     sizes = crowd.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
     many = settle(sizes.where(F.col("members") > TILE).select("key", "members", F.ceil(F.col("members") / TILE).alias("blocks")))
+    bands = crowd.join(many.select("key"), "key").join(classes.select("node", "n"), "node").groupBy("key").agg(F.collect_set(band).alias("bands"))
+    many = settle(many.join(bands, "key"))
     shards = (crowd.count() + (many.agg(F.sum(4 * F.col("members") * F.col("blocks")).alias("n")).first()["n"] or 0)) // SHARD + 1
-    x = crowd.join(many.select("key", "blocks"), "key", "left").join(classes.select("node", "n", "bits"), "node")
+    x = crowd.join(many.select("key", "blocks", "bands"), "key", "left").join(classes.select("node", "n", "bits"), "node")
     few = x.where("blocks is null").select(F.xxhash64("key").alias("tile"), F.lit(0).alias("side"), "node", "n", "bits")
-    step = float(np.log(101 / percent))  # a little wider than sizes that link are apart
-    x = x.where("blocks is not null").withColumn("band", F.floor(F.log("n") / step)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    x = x.where("blocks is not null").withColumn("band", band).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     meets = F.expr(
         """concat(
             transform(sequence(block, blocks - 1), t -> struct(band as a, block as i, band as b, t as j, 0 as side)),
             transform(sequence(0L, block), t -> struct(band as a, t as i, band as b, block as j, 1 as side)),
-            transform(sequence(0L, blocks - 1), t -> struct(band as a, block as i, band + 1 as b, t as j, 0 as side)),
-            transform(sequence(0L, blocks - 1), t -> struct(band - 1 as a, t as i, band as b, block as j, 1 as side)))"""
+            if(array_contains(bands, band + 1), transform(sequence(0L, blocks - 1), t -> struct(band as a, block as i, band + 1 as b, t as j, 0 as side)), array()),
+            if(array_contains(bands, band - 1), transform(sequence(0L, blocks - 1), t -> struct(band - 1 as a, t as i, band as b, block as j, 1 as side)), array()))"""
     )
     # A block that meets itself does so once, as side 0.
     x = x.select("key", "node", "n", "bits", F.explode(meets).alias("m")).where("not (m.a = m.b and m.i = m.j and m.side = 1)")
