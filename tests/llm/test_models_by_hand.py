@@ -8,7 +8,7 @@ import random
 
 import numpy as np
 import pytest
-from fieldtrace.llm import language_model, quality
+from fieldtrace.llm import common, language_model, quality, toxicity
 
 DOCS = "doc_id long, text string"
 
@@ -81,3 +81,70 @@ def test_long_texts_are_scored_in_parts():
         whole = quality.forward(p, *quality.laid_out(data, np.array([0, size])))[0]
         for part in (1, 2, 7, 40, 1000):
             assert np.allclose(quality.long_forward(p, data, part), whole, atol=1e-6)
+
+
+def hashed(word, extra=0):
+    """A word's hash with whole numbers of Python."""
+    h = extra
+    for i, b in enumerate(word):
+        h += int(common._BYTE_CODE_LOWER[b]) * pow(int(common._BASE), i, 1 << 64)
+    return int(common.mix(np.array([h & 0xFFFFFFFFFFFFFFFF], np.uint64))[0])
+
+
+def terms(text):
+    """Counts of the hashes of a text's words and of their beginnings."""
+    out = collections.Counter()
+    for w in (text or "").encode().split():
+        out[hashed(w)] += 1
+        for k in toxicity.PREFIXES:
+            if len(w) >= k:
+                out[hashed(w[:k], k)] += 1
+    return out
+
+
+def test_toxicity_chain_equals_loops(spark):
+    """Features by counting texts, and probabilities of every category by plain sums over the chain's weights."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 8)))
+    usual = [word() for _ in range(150)]
+    rows, labels = [], []
+    for i in range(260):
+        toxic, poor = i % 5 == 0, i % 4 == 0
+        text = [r.choice(usual) for _ in range(r.randint(5, 30))] + (["Vileness", "vilest"] * r.randint(1, 2) if toxic else []) + (["lorem", "ipsumly"] if poor and r.random() < 0.9 else [])
+        r.shuffle(text)
+        rows.append((i, " ".join(text)))
+        if i % 3:
+            labels.append((i, int(not poor), int(toxic)))
+    docs = spark.createDataFrame([*rows, (900, None), (901, "")], DOCS)
+    chain = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    text_of = dict(rows)
+    for k, marked in enumerate(({i for i, q, _ in labels if not q}, {i for i, _, t in labels if t})):
+        inside, outside = collections.Counter(), collections.Counter()
+        for i, _, _ in labels:
+            (inside if i in marked else outside).update(set(terms(text_of[i])))
+        n, m = len(marked), len(labels) - len(marked)
+        want = {h for h, c in inside.items() if c >= toxicity.LEAST_TEXTS and (c + 0.5) * (m + 1) >= toxicity.LEAST_RATIO * (outside[h] + 0.5) * (n + 1)}
+        assert {int(h) for h, w in zip(chain.features, chain.weights[k], strict=False) if w} == want and want
+    got = {x["doc_id"]: x for x in toxicity.score(docs, chain).collect()}
+    for i, text in [*rows, (900, None), (901, "")]:
+        count, seen = terms(text), []
+        for w in chain.weights:
+            z = w[-1] + sum(a * b for a, b in zip(w[len(chain.features) :], seen, strict=False))
+            z += sum(math.log1p(count[int(h)]) * w[c] for c, h in enumerate(chain.features) if int(h) in count)
+            seen.append(1 / (1 + math.exp(-z)))
+        assert (got[i]["p_poor"], got[i]["p_toxic"]) == pytest.approx(tuple(seen), abs=1e-9) and got[i]["is_toxic"] == (seen[-1] >= toxicity.THRESHOLD)
+    assert sum(got[i]["is_toxic"] for i, _ in rows) == 52
+
+
+def test_logistic_fit_is_the_optimum():
+    """No step from the weights found lowers the loss by more than a trace, against Newton steps on dense matrices."""
+    r = np.random.default_rng(2)
+    dense = (r.random((80, 6)) < 0.3) * r.random((80, 6))
+    y = (dense @ np.array([4, -3, 2, 0, 1, -2.0]) + r.normal(0, 1, 80) > 0.3).astype(float)
+    row, column = np.nonzero(dense)
+    w = toxicity.fit_logistic(toxicity.Sparse(row, column, dense[row, column], 80, 6), np.ones((80, 1)), y, rounds=4000)
+    x, v, ridge = np.hstack([dense, np.ones((80, 1))]), np.zeros(7), np.diag([1e-4] * 6 + [0.0])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ v))
+        v -= np.linalg.solve(x.T * (p * (1 - p)) @ x / 80 + ridge, x.T @ (p - y) / 80 + ridge @ v)
+    assert np.allclose(w, v, atol=0.02)
