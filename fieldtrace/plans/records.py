@@ -62,9 +62,9 @@ def _tracks(s, d):
 
 
 def _markings(s, d):
-    """Points of four lines across the picture, 60 frames at a time, bent by a lens of the video's own."""
+    """Points of four lines across the picture, 120 frames at a time, bent by a lens of the video's own."""
     o = observations(s, d).where("not clipped")
-    f = F.floor((F.col("frame_idx") - F.col("video") * VIDEO_FRAMES) / 60)
+    f = F.floor((F.col("frame_idx") - F.col("video") * VIDEO_FRAMES) / 120)
     line = F.col("ord") % 4
     x, y = (F.col("ord") * 7919 % 1200 + 40).cast("double"), (60 + line * 190 + (F.col("ord") * 7919 % 1200) / 24).cast("double")
     o = o.select(F.col("video").alias("video"), f.alias("frame_idx"), line.alias("line"), (x - WIDTH / 2).alias("dx"), (y - HEIGHT / 2).alias("dy"))
