@@ -1,11 +1,13 @@
 """Operator 10: personal data by weak supervision.
 
-Patterns propose spans.  Labelers vote on each span, or abstain: the strict pattern
-with its checks, a gazetteer, the words before it, and the characters around it.
-Expectation-maximisation over the counts of vote patterns estimates how reliable each
-labeler is for each kind, and a logistic span classifier is trained on the posteriors: it
-sees the votes and, beside them, the shape of the span, which no labeler judges.  Spans of
-the strict patterns always stay; the classifier adds others and rejects the rest.
+Patterns propose spans.  Labelers vote on each span, or abstain: the strict pattern with
+its rule, the form within (which the rule does not look at), a gazetteer, the words before
+it, and the characters around it.  Expectation-maximisation over the counts of vote
+patterns estimates how reliable each labeler is for each kind; spans of the strict
+patterns are known to be personal, all others start from the share of their votes.  A
+logistic span classifier is trained on the posteriors: it sees the votes and, beside them,
+the shape of the span, which no labeler judges.  Spans of the strict patterns always stay;
+the classifier adds others and rejects the rest.
 
 DataFrame and SQL functions only: what the driver sees is one row per kind, vote pattern
 and shape, some ten thousand at most whatever the corpus.
@@ -51,11 +53,9 @@ CUES = {
     "phone": r"(?i)(?:phone|tel\b|tel\.|call|mobile|fax|telefon|tel[eé]fono|t[eé]l)",
 }
 AGAINST = r"(?i)(?:version|licen[sc]e|release|chapter|\bno\.|\bid\b|isbn|serial)\W*$"
-LABELERS = ("strict", "check", "gazetteer", "context", "edges")
-#: What a labeler is taken to do before any data: how often it votes for the true class, and how often it abstains.
-RIGHT, ABSTAINS = 0.5, 0.45
-#: A vote against is at least so many times as likely for a false span as for a true one.
-SURE = 20
+LABELERS = ("strict", "form", "gazetteer", "context", "edges")
+#: Before any data a labeler counts as right in RIGHT of so many votes on either class.
+RIGHT, BEFORE = 0.7, 4.0
 #: Shape of a span: digits by fours (up to 20), and runs of marks between them (up to 7).
 DIGIT_STEPS, MARK_RUNS = 6, 8
 
@@ -76,8 +76,21 @@ CHECK = {
     "card": "if(" + _digits("{x}") + " between 16 and 19, " + _luhn("{x}") + ", false)",
     "phone": _digits("{x}") + " between 8 and 15",
 }
-#: Kinds whose looser forms the check can tell apart too; looser phone numbers have enough digits by their form.
+#: Kinds whose looser forms are judged by the rule of the strict ones.
 DIGITS = ("card",)
+#: Digits of a number with its country code, for the countries of the gazetteer, and those codes.
+DIALLED = r"^(?:1[2-9][0-9]{2}[2-9][0-9]{6}|(?:33|34|31|41)[1-9][0-9]{8}|44[1-9][0-9]{8,9}|(?:49|39|43)[0-9]{7,11})$"
+DIALLED_CODES = r"^(?:1|33|34|31|41|44|49|39|43)"
+_NUMBER = "regexp_replace(x, '[^0-9]', '')"
+_DIALLED = f"if({_NUMBER} rlike r'{DIALLED}', 2, if({_NUMBER} rlike r'{DIALLED_CODES}', 0, 1))"
+#: Votes on the form within, of strict and of looser spans: names that end and begin well, octets
+#: without leading zeros, digits in the groups that cards are printed in, numbers as long as their country's.
+FORM = {
+    "email": (r"if(x rlike r'^[^.@](?:[^@]*[^.@])?@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,24}$', 2, 0)", r"if(x rlike r'[A-Za-z]{2,24}$', 2, 0)"),
+    "ip": (r"if(x rlike r'^(?:0|[1-9][0-9]*)(?:\.(?:0|[1-9][0-9]*)){3}$', 2, 0)", "1"),
+    "card": (r"if(x rlike r'^(?:[0-9]+|(?:[0-9]{4}[\x20-]){3,4}[0-9]{1,4}|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5,6})$', 2, 0)", "1"),
+    "phone": (_DIALLED, rf"if(x rlike r'^\+', {_DIALLED}, if({_NUMBER} rlike r'^[2-9][0-9]{{2}}[2-9]', 2, 0))"),
+}
 #: Failed matches of the strict patterns that are still worth a vote.
 WORTH = {"email": "true", "ip": "true", "card": _digits("{x}") + " between 13 and 19", "phone": _digits("{x}") + " between 7 and 16"}
 
@@ -90,13 +103,13 @@ def _matches(kind: str, pattern: str, strict: bool) -> str:
     """
     m, p = f"regexp_extract_all(text, r'{pattern}', 0)", f"split(text, r'{pattern}', -1)"
     vote = {
-        "strict": ("if(ok, 2, 0)" if strict else "1"),
-        "check": "if(ok, 2, 0)" if strict or kind in DIGITS else "1",
-        "gazetteer": f"if(x rlike r'{GAZETTEER[kind]}', 2, 1)",
+        "strict": "if(ok, 2, 0)" if strict or kind in DIGITS else "1",
+        "form": FORM[kind][0 if strict else 1],
+        "gazetteer": f"if(x rlike r'{GAZETTEER[kind]}', 2, 0)",
         "context": f"if(before rlike r'{AGAINST}', 0, if(before rlike r'{CUES[kind]}', 2, 1))",
-        "edges": "if(before rlike r'[\\p{L}0-9_]$' or after rlike r'^[\\p{L}0-9_]', 0, 1)",
+        "edges": "if(before rlike r'[\\p{L}0-9_]$' or after rlike r'^[\\p{L}0-9_]', 0, 2)",
     }
-    code = "0"
+    code = "if(ok, 1, 0)" if strict else "0"  # above the votes: a base span
     for name in LABELERS:
         code = f"3 * ({code}) + {vote[name]}"
     shape = f"{MARK_RUNS} * least({DIGIT_STEPS - 1}, ({_digits('x')}) div 4) + least({MARK_RUNS - 1}, regexp_count(x, '[^0-9A-Za-z]+'))"
@@ -137,7 +150,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def vote_counts(found: DataFrame) -> list[tuple[str, int, int]]:
-    """(kind, code, number of spans): at most len(KINDS) * 3 ** len(LABELERS) * DIGIT_STEPS * MARK_RUNS rows."""
+    """(kind, code, number of spans): at most len(KINDS) * 2 * 3 ** len(LABELERS) * DIGIT_STEPS * MARK_RUNS rows."""
     rows = found.select(F.explode("found").alias("s")).groupBy("s.kind", "s.code").count()
     return sorted((r["kind"], r["code"], r["count"]) for r in rows.collect())
 
@@ -152,45 +165,57 @@ def votes_of(code: int) -> list[int]:
     return out[::-1]
 
 
+def is_base(code: int) -> bool:
+    return code >= 3 ** len(LABELERS) * DIGIT_STEPS * MARK_RUNS
+
+
 def shape_of(code: int) -> tuple[int, int]:
     """Steps of digits, and runs of marks."""
     return divmod(code % (DIGIT_STEPS * MARK_RUNS), MARK_RUNS)
 
 
-def estimate(counts: list[tuple[str, int, int]], rounds: int = 50) -> dict[tuple[str, int], float]:
-    """Posterior of each (kind, code) by expectation-maximisation over labeler reliabilities.
+def reliabilities(counts: list[tuple[str, int, int]], rounds: int = 100) -> tuple[dict[tuple[str, int], float], dict[tuple[str, str, int], float]]:
+    """Expectation-maximisation over what labelers do on true and on false spans of a kind.
 
-    Each labeler has, per kind and class, a probability of each of its three votes; each
-    kind has its own prior.  The start is the share of votes for among those given.  Half
-    as many spans as there are speak, beside the data, for labelers that are seldom wrong:
-    else the likeliest table is one in which all spans are of one class.
+    Returns the posterior of each (kind, code), and for each (kind, labeler, class) the
+    share of its votes that are right.  An abstention says nothing.  Base spans are
+    true; the others of a kind share a prior and start from the share of votes for among
+    those given.  BEFORE votes of each labeler speak beside the data.
     """
-    post = {}
-    for kind, code, _ in counts:
-        v = [x for x in votes_of(code) if x]
-        post[kind, code] = (1 + sum(x > 0 for x in v)) / (2 + len(v))
-    for _ in range(rounds):
-        new = {}
-        for kind in KINDS:
-            own = [(c, post[k, c], n) for k, c, n in counts if k == kind]
-            total = sum(n for _, _, n in own)
-            prior = (1 + total / 4 + sum(p * n for _, p, n in own)) / (2 + 1.5 * total)
-            table = [[[(5 + total / 2) * (RIGHT if v == (1 if y else -1) else ABSTAINS if v == 0 else 1 - RIGHT - ABSTAINS) for v in (-1, 0, 1)] for y in (0, 1)] for _ in LABELERS]
-            for code, p, n in own:
-                for j, v in enumerate(votes_of(code)):
-                    table[j][1][v + 1] += p * n
-                    table[j][0][v + 1] += (1 - p) * n
-            for code, _, _ in own:
+    post, right = {}, {}
+    for kind in KINDS:
+        own = [(code, votes_of(code), n) for k, code, n in counts if k == kind]
+        p = [1.0 if is_base(c) else (1 + sum(x > 0 for x in v)) / (2 + sum(x != 0 for x in v)) for c, v, _ in own]
+        for _ in range(rounds):
+            unknown = [(q, n) for q, (c, _, n) in zip(p, own, strict=True) if not is_base(c)]
+            prior = (1 + sum(q * n for q, n in unknown)) / (2 + sum(n for _, n in unknown))
+            share = []
+            for j in range(len(LABELERS)):
+                known = [(q, v[j], n) for q, (_, v, n) in zip(p, own, strict=True) if v[j]]
+                true = (BEFORE * RIGHT + sum(q * n for q, x, n in known if x > 0)) / (BEFORE + sum(q * n for q, _, n in known))
+                false = (BEFORE * RIGHT + sum((1 - q) * n for q, x, n in known if x < 0)) / (BEFORE + sum((1 - q) * n for q, _, n in known))
+                share.append((false, true))
+            new = []
+            for c, v, _ in own:
                 z = math.log(prior / (1 - prior))
-                for j, v in enumerate(votes_of(code)):
-                    step = math.log(table[j][1][v + 1] / sum(table[j][1])) - math.log(table[j][0][v + 1] / sum(table[j][0]))
-                    z += min(step, -math.log(SURE)) if v < 0 else step
-                new[kind, code] = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-        moved = max(abs(new[k] - post[k]) for k in new) if new else 0.0
-        post = new
-        if moved < 1e-6:
-            break
-    return post
+                for x, (false, true) in zip(v, share, strict=True):
+                    if x:
+                        z += math.log(true / (1 - false)) if x > 0 else math.log((1 - true) / false)
+                new.append(1.0 if is_base(c) else 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+            moved = max((abs(a - b) for a, b in zip(new, p, strict=True)), default=0.0)
+            p = new
+            if moved < 1e-6:
+                break
+        if own:
+            right |= {(kind, name, y): share[j][y] for j, name in enumerate(LABELERS) for y in (0, 1)}
+        post |= {(kind, code): q for q, (code, _, _) in zip(p, own, strict=True)}
+    return post, right
+
+
+def estimate(counts: list[tuple[str, int, int]], rounds: int = 100) -> dict[tuple[str, int], float]:
+    """Posterior of each (kind, code), in the order of ``counts``."""
+    post = reliabilities(counts, rounds)[0]
+    return {(k, c): post[k, c] for k, c, _ in counts}
 
 
 def _features(code: int) -> list[float]:
