@@ -1,4 +1,4 @@
-"""Decisions that ticks in a row bring about and undo: windows over sorted keys, no state machine.
+"""Decisions that ticks in a row bring about and undo, mostly as windows over sorted keys.
 
 A tick is a row with its key, ``t_us`` and ``ord``.  What a state machine would carry is a
 run of good ticks (`with_streak`) or the last event that changed the state, so each rule is
@@ -7,6 +7,9 @@ one shuffle by the key; a null condition counts as false, a null key is a key.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -225,3 +228,87 @@ def sampling_grid(spans: DataFrame, keyframes: DataFrame, step_us: int = 100_000
     grid = spans.select("key", F.explode(F.sequence("start_us", "end_us", F.lit(step_us))).alias("t_us"))
     marks = keyframes.join(spans, "key").where("t_us between start_us and end_us").select("key", "t_us")
     return grid.unionByName(marks).distinct()
+
+
+#: Fixed values of crossings: overlaps that begin, harden and end one, ticks apart that end it seen well or not, longest time.
+TOUCH, HARD, APART, TICKS_CLEAN, TICKS_ANY, LONGEST_US = 0.15, 0.4, 0.05, 2, 6, 6_000_000
+CROSSING = "pair string, start_us long, end_us long, hard boolean, clean boolean, outcome string"
+
+
+def crossings(pairs: DataFrame) -> DataFrame:
+    """Times at which two tracks met: pair, start_us, end_us, hard (one hid the other), clean, outcome.
+
+    ``pairs``: pair, t_us, ord, overlap, close (centres), seen (both), clean (both), valid (both
+    still hold the identities that they had).  A meeting begins with a touch and ends separated,
+    two ticks apart if both are seen clean, six otherwise; after six seconds it ends unjudged, and
+    one that is no longer valid or still open leaves no row.  When one begins depends on when the
+    last ended, so the rows of a pair stream by in order of time with one state carried along.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, start, hard, apart = object(), None, False, 0
+        for batch in batches:
+            out = []
+            for pair, t, overlap, close, seen, clean, valid in zip(*(batch[c].tolist() for c in ("pair", "t_us", "overlap", "close", "seen", "clean", "valid")), strict=True):
+                if pair != own:
+                    own, start = pair, None
+                if start is not None:
+                    if t - start > LONGEST_US:
+                        out.append((pair, start, t, hard, bool(clean), "unjudged"))
+                        start = None
+                    elif not valid:
+                        start = None
+                    elif not seen:
+                        hard, apart = True, 0
+                    else:
+                        hard = hard or overlap > HARD
+                        apart = apart + 1 if overlap < APART and not close else 0
+                        if apart >= TICKS_ANY or (apart >= TICKS_CLEAN and clean):
+                            out.append((pair, start, t, hard, bool(clean), "separated"))
+                            start = None
+                if start is None and seen and valid and (overlap > TOUCH or close):
+                    start, hard, apart = t, overlap > HARD, 0
+            yield pd.DataFrame(out, columns=["pair", "start_us", "end_us", "hard", "clean", "outcome"])
+
+    known = [F.coalesce("overlap", F.lit(0.0)).alias("overlap"), *(F.coalesce(c, F.lit(False)).alias(c) for c in ("close", "seen", "clean", "valid"))]
+    r = pairs.select(F.coalesce("pair", F.lit("")).alias("pair"), "t_us", "ord", *known)
+    return r.repartition("pair").sortWithinPartitions("pair", "t_us", "ord").mapInPandas(run, CROSSING)
+
+
+def crossing_verdict(look: Column, path: Column, hard: Column) -> Column:
+    """swap, doubt or keep: appearance must favour a swap, paths alone never swap.
+
+    ``look`` (null: not seen clean) and ``path`` in metres are positive where they favour keeping.
+    """
+    against = F.coalesce(look <= -0.2, F.lit(False))
+    similar = F.coalesce(F.abs(look) < 0.2, F.lit(True))
+    swap = F.coalesce(look <= -0.5, F.lit(False)) | (against & (path < 4))
+    return F.when(swap, "swap").when((similar & (hard | (path < 2))) | against, "doubt").otherwise("keep")
+
+
+def look_alikes(scores: DataFrame, together: DataFrame, scope: str, least: float = 0.93, most: int = 3) -> DataFrame:
+    """Pairs of one team that look alike and were never in one frame: the ``most`` likeliest of each scope.
+
+    ``scores``: scope, a, b (a < b), cos; ``together``: a, b.
+    """
+    apart = scores.where(F.col("cos") >= least).join(together.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    turn = F.row_number().over(Window.partitionBy(scope).orderBy(F.desc("cos"), F.desc("a"), F.desc("b")))
+    return apart.withColumn("turn", turn).where(F.col("turn") <= most).select(scope, "a", "b", "cos")
+
+
+def special_role(people: DataFrame, examples: DataFrame) -> DataFrame:
+    """Role of each person by the kits of confirmed officials and keepers: video, key, role, cost.
+
+    ``people``: video, key, kit; ``examples``: video, role, kit, the few of a match confirmed by hand.
+    A kit is three histograms of 50 numbers, compared by one less their overlap and weighed .55,
+    .3 and .15.  The nearest counts below .15, if no other role is within .08; else the role is
+    null, as it is without examples or with a kit of another length.
+    """
+    part = lambda k: F.lit(1.0) - F.aggregate(F.zip_with(F.slice("kit", 1 + 50 * k, 50), F.slice("other", 1 + 50 * k, 50), lambda a, b: F.sqrt(a * b)), F.lit(0.0), lambda s, x: s + x)
+    e = examples.where("size(kit) = 150").select("video", "role", F.col("kit").alias("other"))
+    p = people.select("video", "key", F.when(F.size("kit") == 150, F.col("kit")).alias("kit")).join(e, "video", "left")
+    c = p.withColumn("cost", part(0) * 0.55 + part(1) * 0.3 + part(2) * 0.15)
+    w = Window.partitionBy("video", "key").orderBy(F.col("cost").asc_nulls_last(), "role")
+    best = c.withColumns({"turn": F.row_number().over(w), "next_role": F.lead("role").over(w), "next_cost": F.lead("cost").over(w)}).where("turn = 1")
+    sure = (F.col("cost") < 0.15) & (F.col("next_role").isNull() | (F.col("next_role") == F.col("role")) | (F.col("next_cost") - F.col("cost") > 0.08))
+    return best.select("video", "key", F.when(sure, F.col("role")).alias("role"), "cost")

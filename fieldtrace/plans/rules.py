@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import pitch, planes
 from ..functions import vectors as fv
-from ..operators import cues, edits, matching, pairing, trails
+from ..operators import cues, edits, matching, pairing, standing, trails
 from ..sources.adapter import OBS_SQL, observations, table
 from .matches import _BOXES, _COS, _IOU, _V, _boxes, _vectors
+from .matches import _SCORES as _GALLERY_SCORES
+from .matches import _scores as _gallery_scores
 from .motion import _FRAG
 
 H1 = [0.052, 0.004, 2.0, -0.003, 0.06, 1.0, 0.00001, 0.00002, 1.0]
@@ -70,13 +72,16 @@ def _keepers(s, d):
 
 
 def _sanity(s, d):
-    """What a video's registry should not show: teams over the cap, two keepers, look-alikes never seen together."""
+    """What a video's registry should not show: teams over the cap, two keepers, players of a team who look alike (0.93) and were never seen together, at most three a video."""
     o = _o(s, d)
     ids = o.groupBy("team", "id", "user_id").agg(F.max("role").alias("role"))
     over = ids.groupBy("team").agg(F.count(F.lit(1)).alias("n")).where("n > 12").select(F.lit("over_cap").alias("rule"), F.col("team").alias("key"), F.col("n").alias("value"))
     keepers = ids.where("role = 'GOALKEEPER'").groupBy("team").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("keepers").alias("rule"), F.col("team").alias("key"), F.col("n").alias("value"))
-    pairs = ids.select("team", F.col("user_id").alias("a")).join(ids.select("team", F.col("user_id").alias("b")), "team").where("a < b and (a + b) % 4 = 0")
-    apart = pairs.join(cues.together(o).select("a", "b"), ["a", "b"], "left_anti").groupBy("team").agg(F.count(F.lit(1)).alias("n")).select(F.lit("never_together").alias("rule"), F.col("team").alias("key"), F.col("n").alias("value"))
+    # Galleries are those of the embeddings whose label is the person.
+    who = o.select("user_id", "video", "team", "role").distinct().where("role = 'PLAYER'")
+    scores = _gallery_scores(s, d).join(who.select(F.col("user_id").alias("a"), "video", "team"), "a").join(who.select(F.col("user_id").alias("b"), "team"), ["b", "team"])
+    alike = standing.look_alikes(scores, cues.together(o), "video")
+    apart = alike.select(F.lit("look_alike").alias("rule"), F.concat_ws("-", F.col("a").cast("string"), F.col("b").cast("string")).alias("key"), F.floor(F.col("cos") * 100).alias("value"))
     return over.unionByName(keepers).unionByName(apart)
 
 
@@ -285,7 +290,9 @@ select ord, round(exp(-0.5e0 * (metres / sigma) * (metres / sigma)), 9) as spati
   count(*) filter (kind = 'view') / count(*) as alone, count(*) filter (role = 'GOALKEEPER') / count(*) as det, count(*) filter (clipped) / count(*) as kit, sum(identity_conf) / count(*) / 100 as sure from obs group by 1
 ), r as (select *, case when near >= 0.5 then 'area' when deep >= 0.6 and (alone >= 0.5 or det >= 0.5 or kit >= 0.6) then 'deepest' when det >= 0.75 and kit >= 0.6 and (deep >= 0.3 or near >= 0.2) then 'detector' end as way from g
 ), v as (select *, case when off > 0.2 then 'veto: off the pitch' when touch >= 0.3 then 'veto: touchline' when way is null then 'no place' when records < 15 then 'few records' when sure < 0.5 then 'low confidence' else 'confirmed' end as reason from r) select id, records, reason, case when reason = 'confirmed' then way end as route from v""",
-    "sanity": f"with {OBS_SQL}, ids as (select team, id, user_id, max(role) as role from obs group by 1, 2, 3), seen as (select distinct frame_idx, user_id from obs) select 'over_cap' as rule, team as key, count(*) as value from ids group by team having count(*) > 12 union all select 'keepers', team, count(*) from ids where role = 'GOALKEEPER' group by team having count(*) > 1 union all select 'never_together', a.team, count(*) from ids a join ids b on a.team = b.team and a.user_id < b.user_id and (a.user_id + b.user_id) % 4 = 0 where not exists (select 1 from seen x join seen y using (frame_idx) where x.user_id = a.user_id and y.user_id = b.user_id) group by a.team",
+    "sanity": f"""{_GALLERY_SCORES}, {OBS_SQL}, ids as (select team, id, user_id, max(role) as role from obs group by 1, 2, 3), seen as (select distinct frame_idx, user_id from obs), who as (select distinct user_id, video, team from obs where role = 'PLAYER'
+), alike as (select a.video, s.a, s.b, s.cos from scores s join who a on a.user_id = s.a join who b on b.user_id = s.b and b.team = a.team where s.cos >= 0.93e0 and not exists (select 1 from seen x join seen y using (frame_idx) where x.user_id = s.a and y.user_id = s.b) qualify row_number() over (partition by a.video order by cos desc, s.a desc, s.b desc) <= 3)
+select 'over_cap' as rule, team as key, count(*) as value from ids group by team having count(*) > 12 union all select 'keepers', team, count(*) from ids where role = 'GOALKEEPER' group by team having count(*) > 1 union all select 'look_alike', concat(a, '-', b), floor(cos * 100)::bigint from alike""",
     "invariants": f"with {OBS_SQL} select 'duplicate time' as rule, count(*) as n from (select 1 from obs group by id, t_us having count(*) > 1) union all select 'time goes back', count(*) from (select t_us, lag(t_us) over (partition by id order by ord) as b from obs) where t_us < b union all select 'outside the picture', count(*) from obs where x_m < -50 or x_m > 1050 or y_m < -50 or y_m > 1050 union all select 'confidence without state', count(*) from obs where identity_conf >= 90 and state <> 'confirmed' union all select 'no team', count(*) from obs where team is null",
     "registration_summary": f"with {OBS_SQL}, s as (select *, case when pitch_conf < 10 then 'none' when pitch_conf < 40 then 'carried' else 'anchor' end as source from obs) select video, count(*) as frames, count(*) filter (source <> 'none') as known, round_even(count(*) filter (source <> 'none') / count(*), 3) as share, round_even(count(*) filter (pitch_conf >= 50) / count(*), 3) as confident, round(sum(pitch_conf) / count(*) / 100, 6) as mean_confidence, count(*) filter (source = 'anchor') as anchor, count(*) filter (source = 'carried') as carried from s group by 1",
     "disagreement": f"""with {OBS_SQL}, grid as {_GRID}, p as (select ord, {_P(0, '', '')} as ax, {_P(1, '', '')} as ay, {_P(0, ' + x_m / 200', '')} as bx, {_P(1, '', ' + y_m / 200')} as by_ from obs, grid

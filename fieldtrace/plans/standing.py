@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import matching, standing
-from ..sources.adapter import OBS_SQL, observations
+from ..sources.adapter import OBS_SQL, VIDEO_FRAMES, observations
 from . import matches
 from .matches import _BEST, _COS, _V
 
@@ -86,6 +86,15 @@ def _grid(s, d):
     return standing.sampling_grid(o.groupBy(F.col("track").alias("key")).agg(F.min("t_us").alias("start_us"), F.max("t_us").alias("end_us")), o.where("kind = 'error'").select(F.col("track").alias("key"), "t_us"))
 
 
+def _crossings(s, d):
+    """Pairs of people in every frame of a video, a fifth of a second apart."""
+    b = matches._boxes(s, d)
+    j = matching.frame_pairs(b, b, 0.0).where("a_id < b_id")
+    video = F.floor(F.col("frame_idx") / VIDEO_FRAMES)
+    p = j.select(F.concat_ws("-", "a_id", "b_id").alias("pair"), ((F.col("frame_idx") - video * VIDEO_FRAMES) * 200_000).alias("t_us"), (F.col("a_ord") * 2 + F.col("b_ord")).alias("ord"), F.col("iou").alias("overlap"), (F.col("iou") > 0.3).alias("close"), (F.col("a_ord") % 7 > 0).alias("seen"), (F.col("b_ord") % 3 > 0).alias("clean"), F.lit(True).alias("valid"))
+    return standing.crossings(p)
+
+
 QUERIES = {
     "non_targets": _non_targets,
     "recognised": lambda s, d: standing.recognised(_checks(s, d)).select("vec_id", "person", "hits", "decided"),
@@ -97,6 +106,7 @@ QUERIES = {
     "touchline": _touchline,
     "refinement_crops": _crops,
     "sampling_grid": _grid,
+    "crossings": _crossings,
 }
 
 

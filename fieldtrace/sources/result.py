@@ -124,6 +124,64 @@ def run_documents(spark: SparkSession, folder: str, name: str, schema: str) -> D
     return body.select("run", *(F.col(f"d.{f.name}") for f in wanted.fields))
 
 
+_ANCHOR = "index long, time double, H string, observability double, source string, details string, root long"
+_STEP = "t double, dt double, M string, reliable boolean, cut boolean, quality string"
+REGISTRATION = f"anchors array<{_struct(_ANCHOR)}>, frames array<{_struct(_STEP)}>"
+
+
+def _matrix(text: Column) -> Column:
+    """Nine numbers, row by row, of a 3 x 3 matrix written flat or nested; null if there are not nine."""
+    flat = F.when(text.rlike(r"^\s*\[\s*\["), F.flatten(F.from_json(text, "array<array<double>>"))).otherwise(F.from_json(text, "array<double>"))
+    return F.when((F.size(flat) == 9) & F.forall(flat, lambda x: x.isNotNull()), flat)
+
+
+def registration_anchors(spark: SparkSession, folder: str) -> DataFrame:
+    """Anchors of the registration records of all runs: run, index, time, H, observability, source, details (JSON), root.
+
+    An anchor without a root is its own.
+    """
+    a = run_documents(spark, folder, "registration.json", REGISTRATION).select("run", F.explode("anchors").alias("a"))
+    return a.select("run", "a.index", "a.time", _matrix(F.col("a.H")).alias("H"), "a.observability", "a.source", F.coalesce("a.details", F.lit("{}")).alias("details"), F.coalesce("a.root", "a.index").alias("root"))
+
+
+def registration_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Frame-to-frame motions of those records: run, frame_idx, t, dt, M (null: none), reliable, cut, quality ('none' if unsaid)."""
+    f = run_documents(spark, folder, "registration.json", REGISTRATION).select("run", F.posexplode("frames").alias("frame_idx", "f"))
+    quality = F.when(F.length("f.quality") > 0, F.col("f.quality")).otherwise("none")
+    return f.select("run", F.col("frame_idx").cast("long"), "f.t", "f.dt", _matrix(F.col("f.M")).alias("M"), "f.reliable", "f.cut", quality.alias("quality"))
+
+
+def recorded_motion(spark: SparkSession, folder: str) -> DataFrame:
+    """Motions of results that store one for each frame: run, frame_idx, M, reliable, cut.
+
+    Six numbers are the upper rows of an affine 3 x 3 matrix; a frame with none has no motion
+    and is not reliable.  Results in which a frame lacks the field give no rows, as their
+    motion has to come from elsewhere; a field that is null is there.
+    """
+    f = run_documents(spark, folder, "result.json", "frames array<map<string, string>>").select("run", "frames").where(F.forall("frames", lambda x: F.map_contains_key(x, "motion")))
+    m = F.from_json(F.col("f")["motion"], "array<double>")
+    full = F.when((F.size(m) == 6) & F.forall(m, lambda x: x.isNotNull()), F.concat(m, F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0))))
+    yes = lambda name: F.coalesce(F.col("f")[name] == "true", F.lit(False))
+    r = f.select("run", F.posexplode("frames").alias("frame_idx", "f")).select("run", F.col("frame_idx").cast("long"), full.alias("M"), yes("cameraReliable").alias("reliable"), yes("cut").alias("cut"))
+    return r.withColumn("reliable", F.col("reliable") & F.col("M").isNotNull())
+
+
+def ball_negatives(spark: SparkSession, folder: str, least: float = 0.5, every: int = 3) -> DataFrame:
+    """Rejected candidates and observed balls of every third frame, to train a detector on: run, frame_idx, time, frame, reason, det, box.
+
+    Candidates count from ``least`` on; what a candidate without a reason is called is
+    "candidate", a tracked and observed ball "positives".  Pictures are cut elsewhere.
+    """
+    found = "box: array<double>, det: double, status: string, reason: string, detector: double, visual: double, state: string, observed: boolean"
+    d = run_documents(spark, folder, "result.json", f"frames array<struct<time: double, frame: long, ballCandidates: array<struct<{found}>>, ball: struct<{found}>>>")
+    f = d.select("run", F.posexplode("frames").alias("frame_idx", "f")).where(F.col("frame_idx") % every == 0)
+    rejected = f.select("*", F.explode("f.ballCandidates").alias("c")).where(~F.col("c.status").eqNullSafe("ball") & (F.coalesce("c.det", F.lit(0.0)) >= least))
+    seen = f.where((F.col("f.ball.state") == "TRACKED") & F.col("f.ball.observed") & (F.size("f.ball.box") > 0))
+    base = ["run", F.col("frame_idx").cast("long"), "f.time", "f.frame"]
+    named = F.when(F.length("c.reason") > 0, F.col("c.reason")).otherwise("candidate")
+    return rejected.select(*base, named.alias("reason"), "c.det", "c.box").unionByName(seen.select(*base, F.lit("positives").alias("reason"), F.coalesce("f.ball.detector", "f.ball.visual", F.lit(1.0)).alias("det"), F.col("f.ball.box").alias("box")))
+
+
 def uploads(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """(name, bytes, modified) of the files of a folder, newest first; contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)

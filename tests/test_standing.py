@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
 from fieldtrace.operators import standing as st
+from fieldtrace.sources import result
 from pyspark.sql import functions as F
 
 
@@ -189,6 +191,61 @@ def test_crops_are_dense_apart_and_six_at_most(spark):
         assert [(x, y) for _, x, y, _ in sorted(got.get(f, []))] == want
 
 
+def test_crossings_end_two_clean_ticks_apart(spark):
+    row = lambda pair, k, overlap, close=False, seen=True, clean=True, valid=True: (pair, k * 200_000, k, float(overlap), close, seen, clean, valid)
+    rows = [row("plain", k, o) for k, o in enumerate([0, 0.2, 0.1, 0.0, 0.0, 0.0, 0.3, 0.0])]
+    rows += [row("hidden", k, o, seen=k != 2) for k, o in enumerate([0.16, 0.1, 0.0, 0.0, 0.0])]
+    rows += [row("blurred", k, o, clean=False) for k, o in enumerate([0.5, 0, 0, 0, 0, 0, 0, 0])]
+    rows += [row("long", k, 0.2) for k in range(33)] + [row("long", 33, 0.0), row("long", 34, 0.0)]
+    rows += [row("lost", k, o, valid=k != 1) for k, o in enumerate([0.2, 0.2, 0.0, 0.0])]
+    rows += [row("close", k, 0.0, close=k < 2) for k in range(4)]
+    d = frame(spark, rows, "pair string, t_us long, ord long, overlap double, close boolean, seen boolean, clean boolean, valid boolean")
+    got = sorted((x["pair"], x["start_us"] // 200_000, x["end_us"] // 200_000, x["hard"], x["outcome"]) for x in st.crossings(d).collect())
+    assert got == [
+        ("blurred", 0, 6, True, "separated"), ("close", 0, 3, False, "separated"), ("hidden", 0, 4, True, "separated"), ("long", 0, 31, False, "unjudged"), ("long", 31, 34, False, "separated"), ("plain", 1, 4, False, "separated"),
+    ]
+    cases = [(-0.6, 9.0, False, "swap"), (-0.3, 3.0, False, "swap"), (-0.3, 5.0, False, "doubt"), (None, 1.0, False, "doubt"), (None, 5.0, True, "doubt"), (None, 5.0, False, "keep"), (0.1, -1.0, False, "doubt"), (0.3, -9.0, True, "keep")]
+    v = spark.createDataFrame(cases, "look double, path double, hard boolean, want string").withColumn("got", st.crossing_verdict(F.col("look"), F.col("path"), F.col("hard")))
+    assert all(x["want"] == x["got"] for x in v.collect())
+
+
+def test_look_alikes_were_never_together(spark):
+    scores = spark.createDataFrame([("v", 1, 2, 0.99), ("v", 1, 3, 0.95), ("v", 2, 3, 0.92), ("v", 4, 5, 0.94), ("v", 4, 6, 0.96), ("v", 5, 6, 0.97), ("w", 7, 8, 0.93)], "video string, a long, b long, cos double")
+    got = st.look_alikes(scores, spark.createDataFrame([(1, 2), (1, 2)], "a long, b long"), "video").collect()
+    assert sorted((x["a"], x["b"]) for x in got) == [(1, 3), (4, 6), (5, 6), (7, 8)]
+
+
+def test_special_roles_need_a_lead(spark):
+    def kit(*peaks):
+        return [1.0 if k == p else 0.0 for p in peaks for k in range(50)]
+
+    half = [0.5 if k in (1, 2) else 0.0 for k in range(50)]
+    people = [("v", 1, kit(1, 1, 1)), ("v", 2, kit(1, 1, 2)), ("v", 3, kit(9, 9, 9)), ("v", 4, half + kit(1, 1)), ("v", 5, [0.1]), ("w", 1, kit(1, 1, 1)), ("v", 6, None)]
+    examples = [("v", "REFEREE", kit(1, 1, 1)), ("v", "REFEREE", kit(1, 1, 1)), ("v", "GOALKEEPER_A", kit(2, 1, 2)), ("v", "BROKEN", [1.0])]
+    schema = "video string, {} kit array<double>"
+    got = {(x["video"], x["key"]): (x["role"], x["cost"]) for x in st.special_role(frame(spark, people, schema.format("key long,")), frame(spark, examples, schema.format("role string,"))).collect()}
+    assert got["v", 1] == ("REFEREE", 0.0) and got["v", 2][0] is None and got["v", 2][1] == pytest.approx(0.15) and got["v", 3][0] is None
+    assert got["v", 4][0] is None and got["v", 5] == (None, None) and got["w", 1] == (None, None) and got["v", 6] == (None, None)
+
+
+def test_records_of_registration_motion_and_candidates(spark, tmp_path):
+    flat, nested = [1, 0, 0.5, 0, 1, 0, 0, 0, 1], [[1, 0, 0], [0, 1, 0], [0, 0, 1]]
+    for run, frames in {"a": [{"motion": [1, 2, 3, 4, 5, 6], "cameraReliable": True, "cut": False}, {"motion": None, "cameraReliable": True, "cut": True}], "b": [{"motion": None}, {}]}.items():
+        (tmp_path / run).mkdir()
+        boxes = [{"box": [0.1, 0.1, 0.1, 0.1], "det": 0.6, "status": "ball"}, {"box": [0.2, 0.1, 0.1, 0.1], "det": 0.7, "reason": "SIZE"}, {"box": [0.3, 0.1, 0.1, 0.1], "det": 0.4}, {"box": [0.4, 0.1, 0.1, 0.1], "det": 0.5, "reason": ""}]
+        frames = [{"time": k / 25, "frame": k, "ballCandidates": boxes, "ball": {"state": "TRACKED", "observed": True, "box": [0, 0, 1, 1], "visual": 0.8}, **f} for k, f in enumerate(frames)]
+        (tmp_path / run / "result.json").write_text(json.dumps({"frames": frames}))
+    (tmp_path / "a" / "registration.json").write_text(json.dumps({"anchors": [{"index": 3, "time": 0.1, "H": flat, "observability": 0.9, "source": "user", "details": {"n": 4}}, {"index": 5, "time": 0.2, "H": nested, "observability": 0.5, "source": "auto", "root": 3}], "frames": [{"t": 0.0, "dt": 0.0, "M": None, "reliable": False, "cut": True}, {"t": 0.04, "dt": 0.04, "M": nested, "reliable": True, "cut": False, "quality": "good"}, {"t": 0.08, "dt": 0.04, "M": [1, 2], "reliable": True, "cut": False, "quality": ""}]}))
+    a = sorted(result.registration_anchors(spark, str(tmp_path)).collect(), key=lambda x: x["index"])
+    assert [(x["run"], x["index"], x["root"], x["H"][2], x["details"]) for x in a] == [("a", 3, 3, 0.5, '{"n":4}'), ("a", 5, 3, 0.0, "{}")]
+    log = sorted(result.registration_log(spark, str(tmp_path)).collect(), key=lambda x: x["frame_idx"])
+    assert [(x["M"] is not None, x["reliable"], x["cut"], x["quality"]) for x in log] == [(False, False, True, "none"), (True, True, False, "good"), (False, True, False, "none")]
+    motion = sorted(result.recorded_motion(spark, str(tmp_path)).collect(), key=lambda x: x["frame_idx"])
+    assert [(x["run"], x["M"], x["reliable"], x["cut"]) for x in motion] == [("a", [1, 2, 3, 4, 5, 6, 0, 0, 1], True, False), ("a", None, False, True)]
+    n = result.ball_negatives(spark, str(tmp_path)).where("run = 'a'").collect()
+    assert sorted((x["frame_idx"], x["reason"], x["det"]) for x in n) == [(0, "SIZE", 0.7), (0, "candidate", 0.5), (0, "positives", 0.8)]
+
+
 def test_empty_tables_and_clashing_names(spark):
     d = spark.createDataFrame([], "track long, t_us long, ord long, marks boolean, clear boolean, n long, start long")
     assert st.non_targets(d).count() == 0 and st.non_targets(d).columns[-2:] == ["ignored", "streak"]
