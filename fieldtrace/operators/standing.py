@@ -40,7 +40,7 @@ def with_streak(rows: DataFrame, good: Column, key: str, name: str, fresh: Colum
     anew = F.lit(False) if fresh is None else F.coalesce(fresh, F.lit(False))
     r = rows.withColumns({"_n": F.row_number().over(w), "_good": F.coalesce(good, F.lit(False)), "_fresh": anew})
     start = F.max(F.when(~F.col("_good"), n + 1).when(F.col("_fresh"), n)).over(w)
-    r = r.withColumn("_start", start).withColumn(name, F.when(F.col("_good"), n - F.coalesce("_start", F.lit(1)) + 1).otherwise(0))
+    r = r.withColumn("_start", start).withColumn(name, F.when(F.col("_good"), n - F.coalesce("_start", F.lit(1)) + 1).otherwise(0).cast("long"))
     return r.drop("_n", "_good", "_fresh", "_start")
 
 
