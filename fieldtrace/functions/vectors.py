@@ -9,17 +9,23 @@ from pyspark.sql import functions as F
 def quantized(v: Column) -> Column:
     """Vector scaled to its largest component and rounded to -127..127; integers make sums exact."""
     most = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
-    return F.when(most > 0, F.transform(v, lambda x: F.round(x.cast("double") / most * 127, 0).cast("long")))
+    # Bound once: within the lambda the maximum would be taken anew for every component.
+    scaled = F.transform(F.array(most), lambda m: F.when(m > 0, F.transform(v, lambda x: F.round(x.cast("double") / m * 127, 0).cast("long"))))
+    return F.element_at(scaled, 1)
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Of integer vectors; null if one is zero."""
-    norm = F.sqrt(dot(a, a).cast("double")) * F.sqrt(dot(b, b).cast("double"))
-    return F.when(norm > 0, dot(a, b) / norm)
+def norm(a: Column) -> Column:
+    return F.sqrt(dot(a, a).cast("double"))
+
+
+def cosine(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:
+    """Of integer vectors with their norms, taken once before pairs are made; null if one is zero."""
+    both = norm_a * norm_b
+    return F.when(both > 0, dot(a, b) / both)
 
 
 def similarity(cos: Column) -> Column:

@@ -26,9 +26,10 @@ def best_two(pairs: DataFrame, keys: list[str], score: str) -> DataFrame:
 
 def gallery_pairs(g: DataFrame, block: str) -> DataFrame:
     """Cosines between the galleries of identities of one block; a gallery is of bounded size."""
-    a = g.select(block, F.col("id").alias("a"), F.col("q").alias("qa"))
-    b = g.select(block, F.col("id").alias("b"), F.col("q").alias("qb"))
-    return a.join(b, block).where("a < b").select("a", "b", fv.cosine(F.col("qa"), F.col("qb")).alias("cos"))
+    g = g.withColumn("norm", fv.norm(F.col("q")))
+    a = g.select(block, F.col("id").alias("a"), F.col("q").alias("qa"), F.col("norm").alias("na"))
+    b = g.select(block, F.col("id").alias("b"), F.col("q").alias("qb"), F.col("norm").alias("nb"))
+    return a.join(b, block).where("a < b").select("a", "b", fv.cosine(F.col("qa"), F.col("qb"), F.col("na"), F.col("nb")).alias("cos"))
 
 
 def mutual_best(scores: DataFrame) -> DataFrame:

@@ -72,8 +72,8 @@ def _kits(s, d):
     """Votes of the vectors of an identity by their distances to the nearest examples of two kits: near
     enough, and clearly nearer than the other.  Even and odd identities of a team wear the kits."""
     v = _vectors(s, d)
-    g = matching.gallery(v).select("team", (F.col("id") % 2).alias("kit"), F.col("q").alias("gq"), F.col("vec_id").alias("g_vec"))
-    j = v.join(g, "team").where("vec_id <> g_vec").withColumn("apart", 1 - fv.cosine(F.col("q"), F.col("gq")))
+    g = matching.gallery(v).select("team", (F.col("id") % 2).alias("kit"), F.col("q").alias("gq"), F.col("norm").alias("g_norm"), F.col("vec_id").alias("g_vec"))
+    j = v.join(g, "team").where("vec_id <> g_vec").withColumn("apart", 1 - fv.cosine(F.col("q"), F.col("gq"), F.col("norm"), F.col("g_norm")))
     near = lambda k: F.min(F.when(F.col("kit") == k, F.col("apart")))
     j = j.groupBy("id", "vec_id").agg(near(0).alias("a"), near(1).alias("b"))
     a, b = F.col("a"), F.col("b")

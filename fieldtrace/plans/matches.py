@@ -12,7 +12,7 @@ from ..sources.adapter import OBS_SQL, observations, table
 def _vectors(s, d):
     # Ten identities are a team, so a team's vectors and galleries do not grow with the table's identities.
     v = table(s, d, "embeddings").select("vec_id", F.col("label").alias("id"), F.floor(F.col("label") / 10).alias("team"), fv.quantized(F.col("embedding")).alias("q"))
-    return v.withColumn("quality", (F.col("vec_id") * 7919) % 1000)
+    return v.withColumns({"quality": (F.col("vec_id") * 7919) % 1000, "norm": fv.norm(F.col("q"))})
 
 
 def _scores(s, d):
@@ -21,8 +21,8 @@ def _scores(s, d):
 
 def _probe_scores(s, d):
     v = _vectors(s, d)
-    g = matching.gallery(v).select("team", F.col("id").alias("candidate"), F.col("q").alias("gq"), F.col("vec_id").alias("g_vec"))
-    j = v.join(g, "team").where("vec_id <> g_vec").select("vec_id", "candidate", fv.cosine(F.col("q"), F.col("gq")).alias("cos"))
+    g = matching.gallery(v).select("team", F.col("id").alias("candidate"), F.col("q").alias("gq"), F.col("norm").alias("g_norm"), F.col("vec_id").alias("g_vec"))
+    j = v.join(g, "team").where("vec_id <> g_vec").select("vec_id", "candidate", fv.cosine(F.col("q"), F.col("gq"), F.col("norm"), F.col("g_norm")).alias("cos"))
     return matching.best_two(j, ["vec_id", "candidate"], "cos")
 
 

@@ -35,8 +35,8 @@ def _team_frags(s, d):
 
 def _gallery_pairs(s, d):
     v = _vectors(s, d)
-    g = matching.gallery(v).select("team", F.col("id").alias("candidate"), F.col("q").alias("gq"), F.col("vec_id").alias("g_vec"))
-    return v.join(g, "team").where("vec_id <> g_vec").select("vec_id", "candidate", "g_vec", fv.cosine(F.col("q"), F.col("gq")).alias("cos"))
+    g = matching.gallery(v).select("team", F.col("id").alias("candidate"), F.col("q").alias("gq"), F.col("norm").alias("g_norm"), F.col("vec_id").alias("g_vec"))
+    return v.join(g, "team").where("vec_id <> g_vec").select("vec_id", "candidate", "g_vec", fv.cosine(F.col("q"), F.col("gq"), F.col("norm"), F.col("g_norm")).alias("cos"))
 
 
 def _reid(s, d):
