@@ -324,3 +324,28 @@ def test_sections_are_cut_where_no_link_can_cross(spark):
     path, _ = bt.trajectory(found, FPS)
     assert sorted((r["section"], r["sightings"]) for r in bt.runs_of(path).collect()) == [(0, 26), (1, 10)]
     assert bt.trajectory(found.where("false"), FPS)[0].count() == 0
+
+
+#: Events of five frames of larger tables, in which a thing lies on the edge of a body.
+ON_AN_EDGE = [
+    (56382, "2024-01-17 21:31:21.844657", 222, "signup"), (56398, "2024-01-17 21:36:57.590659", 212, "purchase"), (56424, "2024-01-17 21:53:47.776541", 204, "view"), (56440, "2024-01-17 21:59:51.657713", 220, "purchase"),
+    (15222, "2024-01-05 14:25:20.446431", 466, "view"), (15253, "2024-01-05 14:35:44.418848", 469, "signup"), (15255, "2024-01-05 14:35:53.774103", 469, "error"),
+    (18957, "2024-01-06 17:16:19.186136", 756, "signup"), (18976, "2024-01-06 17:22:16.548983", 761, "purchase"), (18995, "2024-01-06 17:28:29.837658", 750, "purchase"), (19044, "2024-01-06 17:52:20.482201", 773, "error"),
+]
+
+
+def as_sql(spark, tmp_path, events, name):
+    """Rows of a query over ``events`` (event_id, ts, user_id, event_type) and of its SQL."""
+    import duckdb
+    from fieldtrace.queries import ORACLE_SQL, QUERIES
+
+    e = pd.DataFrame(events, columns=["event_id", "ts", "user_id", "event_type"]).assign(value=1.0, props="{}")
+    with duckdb.connect() as db:
+        db.sql(f"copy (select event_id, ts::timestamp as ts, user_id, event_type, value, props from e) to '{tmp_path}/events.parquet' (format parquet)")
+        db.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
+        return [f[sorted(f.columns)].sort_values(sorted(f.columns)).reset_index(drop=True) for f in (QUERIES[name](spark, str(tmp_path)).toPandas(), db.sql(ORACLE_SQL[name]).df())]
+
+
+def test_a_thing_on_the_edge_of_a_body_is_held_as_by_the_sql(spark, tmp_path):
+    got, want = as_sql(spark, tmp_path, ON_AN_EDGE, "ball_likeness")
+    pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-12)
