@@ -349,3 +349,12 @@ def as_sql(spark, tmp_path, events, name):
 def test_a_thing_on_the_edge_of_a_body_is_held_as_by_the_sql(spark, tmp_path):
     got, want = as_sql(spark, tmp_path, ON_AN_EDGE, "ball_likeness")
     pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-12)
+
+
+def test_the_ball_on_the_edge_of_a_body_is_no_switch(spark, tmp_path):
+    events = [
+        (2724522, "2024-01-08 09:14:32.946907", 40955, "signup"), (2724648, "2024-01-08 10:21:06.898861", 40964, "click"), (2724682, "2024-01-08 10:35:51.469270", 40960, "purchase"), (2724685, "2024-01-08 10:36:18.018587", 40969, "view"), (2724838, "2024-01-08 11:40:32.144819", 40969, "click"), (2724864, "2024-01-08 11:48:34.154445", 40972, "view"), (2724876, "2024-01-08 11:51:28.876866", 40974, "view"),
+        (3571757, "2024-01-22 13:14:28.128176", 53455, "view"), (3571927, "2024-01-22 14:27:08.607920", 53469, "view"), (3571960, "2024-01-22 14:41:47.090431", 53450, "click"), (3572096, "2024-01-22 15:36:17.061300", 53471, "view"), (3572124, "2024-01-22 15:49:40.719793", 53458, "view"),
+    ]
+    got, want = as_sql(spark, tmp_path, events, "ball_jumps")
+    pd.testing.assert_frame_equal(got, want, check_dtype=False)
