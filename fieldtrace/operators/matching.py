@@ -72,22 +72,17 @@ def greedy(pairs: DataFrame, group: str, schema: str) -> DataFrame:
 
 
 def suppressed(boxes: DataFrame, most: float = 0.45) -> DataFrame:
-    """Non-maximum suppression in each frame: best score first, none that overlaps a kept one more."""
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "ord"], ascending=[False, True])
-        b = rows[["bx", "by", "bw", "bh"]].to_numpy(float)
-        keep: list[int] = []
-        for k in range(len(b)):
-            o = b[keep]
-            w = np.maximum(0, np.minimum(o[:, 0] + o[:, 2], b[k, 0] + b[k, 2]) - np.maximum(o[:, 0], b[k, 0]))
-            h = np.maximum(0, np.minimum(o[:, 1] + o[:, 3], b[k, 1] + b[k, 3]) - np.maximum(o[:, 1], b[k, 1]))
-            shared = w * h
-            if not (shared / (o[:, 2] * o[:, 3] + b[k, 2] * b[k, 3] - shared) > most).any():
-                keep.append(k)
-        return rows.iloc[keep][["frame_idx", "ord", "score"]]
-
-    return boxes.groupBy("frame_idx").applyInPandas(pick, "frame_idx long, ord long, score long")
+    """Non-maximum suppression in each frame: best score first, none that overlaps a kept one more.
+
+    The boxes of a frame are one sorted array, walked with those kept so far; most frames have few, so that a
+    Python group for each would cost more than the boxes do.
+    """
+    order = (F.col("score").isNull().alias("unknown"), (-F.col("score")).alias("turn"), F.col("ord").isNull().alias("nameless"))
+    found = boxes.groupBy("frame_idx").agg(F.sort_array(F.collect_list(F.struct(*order, "ord", "score", "bx", "by", "bw", "bh"))).alias("found"))
+    kept = F.slice("found", 1, 1)
+    rest = F.slice("found", F.lit(2), F.greatest(F.size("found") - 1, F.lit(0)))
+    kept = F.aggregate(rest, kept, lambda own, p: F.when(F.exists(own, lambda k: fv.iou(k, p) > most), own).otherwise(F.concat(own, F.array(p))))
+    return found.select("frame_idx", F.inline(kept)).select("frame_idx", "ord", "score")
 
 
 def assignment(cost: np.ndarray) -> np.ndarray:

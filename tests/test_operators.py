@@ -182,3 +182,28 @@ def test_streams_equal_batches(spark, data, tmp_path):
         last[start, kind] = max(n, last.get((start, kind), 0))
     want = spark.read.parquet(src).groupBy(F.window(F.col("ts").cast("timestamp"), "5 days").alias("w"), F.col("event_type").alias("kind")).count().select("w.start", "kind", "count").collect()
     assert last == {(r[0], r[1]): r[2] for r in want}
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_suppression_needs_no_python_group_for_a_frame(spark):
+    import random
+
+    from fieldtrace.operators import matching
+
+    rnd = random.Random(3)
+    rows = [(f, 1000 * f + k, rnd.randrange(40), rnd.randrange(900), rnd.randrange(900), 200 + rnd.randrange(90), 300 + rnd.randrange(110)) for f in range(40) for k in range(rnd.choice((1, 2, 3, 60)))]
+    df = spark.createDataFrame(rows, "frame_idx long, ord long, score long, bx long, by long, bw long, bh long")
+    want = set()
+    for f in range(40):
+        kept = []
+        for _, o, s, x, y, w, h in sorted((r for r in rows if r[0] == f), key=lambda r: (-r[2], r[1])):
+            shared = [max(0, min(x + w, a + c) - max(x, a)) * max(0, min(y + h, b + d) - max(y, b)) for a, b, c, d in kept]
+            if not any(i / (w * h + k[2] * k[3] - i) > 0.3 for i, k in zip(shared, kept, strict=True)):
+                kept.append((x, y, w, h))
+                want.add((f, o, s))
+    out = matching.suppressed(df, 0.3)
+    assert "InPandas" not in planned(out)
+    assert {tuple(r) for r in out.collect()} == want
