@@ -33,37 +33,38 @@ def _stream(rows: DataFrame, forward: bool, width: float, height: float, held: b
     """Anchors carried one way; rows are frames with their anchor, if any, in anchor_h.  ``held`` gives, for the
     frames that have one, what would be known there without it."""
 
+    names = ["run", "frame_idx", "t_us", "dt", "m", "cut", "quality", "anchor_h", "observability", "source"]
+
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run, h, temporal, still, anchor, step = None, None, 0.0, 0, None, None
+        share = lambda o: 0.25 + 0.75 * min(max(o, 0.0), 1.0)  # noqa: E731  of ``certainty``
         for b in batches:
             out = []
-            for r in b.itertuples(index=False):
-                if r.run != run:
-                    run, h, anchor, step = r.run, None, None, None
-                own = r if forward else step  # the motion between this frame and the one before in the stream
+            for own_run, frame, t_us, dt, m, cut, quality, anchor_h, observability, source in zip(*(b[c].tolist() for c in names), strict=True):
+                if own_run != run:
+                    run, h, anchor, step = own_run, None, None, None
+                here = dt, m, cut, quality
                 if h is not None:
-                    if own.cut:
+                    dt, m, cut, quality = here if forward else step  # the motion between this frame and the one before in the stream
+                    if cut:
                         h = None
-                    elif own.m is None or own.quality == "none":
-                        still, temporal = still + 1, temporal - FADE_LOOSE * own.dt
+                    elif m is None or quality == "none":
+                        still, temporal = still + 1, temporal - FADE_LOOSE * dt
                         h = None if still > STILL_FRAMES else h
                     else:
-                        m = np.asarray(own.m, float).reshape(3, 3)
-                        m = m if forward else planes.inverses(m[None])[0]
-                        h = planes.oriented((m @ h)[None], width, height)[0]
-                        still, temporal = 0, temporal - (FADE_COARSE if own.quality == "coarse" else FADE) * own.dt
-                        h = None if np.isnan(h).any() else h
-                told = r.frame_idx, h, temporal, anchor
-                if r.anchor_h is not None and (h is None or certainty(1.0, r.observability) >= certainty(temporal, anchor.observability)):
-                    h, temporal, still, anchor = np.asarray(r.anchor_h, float).reshape(3, 3), 1.0, 0, r
-                if h is not None and certainty(temporal, anchor.observability) < LEAST:
+                        m = m.tolist() if forward else planes.undone(m.tolist())
+                        h = None if m is None else planes.faced(planes.product(m, h), width, height)
+                        still, temporal = 0, temporal - (FADE_COARSE if quality == "coarse" else FADE) * dt
+                told = h, temporal, anchor
+                if anchor_h is not None and (h is None or share(observability) >= max(0.0, temporal) * share(anchor[2])):
+                    h, temporal, still, anchor = anchor_h.tolist(), 1.0, 0, (frame, t_us, observability, source)
+                if h is not None and max(0.0, temporal) * share(anchor[2]) < LEAST:
                     h = None
                 if not held:
-                    told = r.frame_idx, h, temporal, anchor
-                if told[1] is not None and (r.anchor_h is not None or not held) and certainty(told[2], told[3].observability) >= LEAST:
-                    a = told[3]
-                    out.append((r.run, r.frame_idx, told[1].ravel().tolist(), told[2], a.frame_idx, a.t_us, a.observability, a.source))
-                step = r
+                    told = h, temporal, anchor
+                if told[0] is not None and (anchor_h is not None or not held) and max(0.0, told[1]) * share(told[2][2]) >= LEAST:
+                    out.append((run, frame, told[0], told[1], *told[2]))
+                step = here
             yield pd.DataFrame(out, columns=[c.split()[0] for c in CARRIED.split(", ")])
 
     order = F.col("frame_idx") if forward else F.desc("frame_idx")
@@ -100,8 +101,8 @@ def held_out(log: DataFrame, anchors: DataFrame, width: float, height: float) ->
     frame.  metres is the median over the pitch in view, null where no other anchor reaches the frame.
     """
     rows = _with_anchors(log, anchors)
-    own = rows.where("anchor_h is not null").select("run", "frame_idx", "anchor_h")
-    j = own.join(_blended(log, rows, width, height, True), ["run", "frame_idx"])
+    own = rows.where("anchor_h is not null")
+    j = own.select("run", "frame_idx", "anchor_h").join(_blended(own, rows, width, height, True), ["run", "frame_idx"])
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -114,10 +115,10 @@ def held_out(log: DataFrame, anchors: DataFrame, width: float, height: float) ->
     return j.mapInPandas(compare, "run long, frame_idx long, confidence double, direction string, metres double")
 
 
-def _blended(log: DataFrame, rows: DataFrame, width: float, height: float, held: bool) -> DataFrame:
-    """Both directions brought together (columns of TIMELINE)."""
+def _blended(frames: DataFrame, rows: DataFrame, width: float, height: float, held: bool) -> DataFrame:
+    """Both directions over ``rows`` brought together at ``frames`` (columns of TIMELINE)."""
     ways = [_stream(rows, way, width, height, held).select("run", "frame_idx", F.struct("h", "temporal", "anchor", "anchor_us", "observability", "source").alias(name)) for way, name in ((True, "f"), (False, "b"))]
-    both = log.select("run", "frame_idx", "t_us").join(ways[0], ["run", "frame_idx"], "left").join(ways[1], ["run", "frame_idx"], "left")
+    both = frames.select("run", "frame_idx", "t_us").join(ways[0], ["run", "frame_idx"], "left").join(ways[1], ["run", "frame_idx"], "left")
     # An anchor that reaches a frame from both sides is its own frame's: one estimate.
     both = both.withColumn("b", F.when(F.col("f.anchor").isNull() | (F.col("f.anchor") != F.col("b.anchor")), F.col("b")))
     flat = both.select("run", "frame_idx", "t_us", *(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "fb" for c in ("h", "temporal", "anchor", "anchor_us", "observability", "source")))

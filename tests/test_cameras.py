@@ -284,3 +284,31 @@ def test_observability_needs_both_axes(spark):
     schema = "k int, marks array<struct<x: double, y: double, lx: double, ly: double>>, lines array<string>, circle array<struct<x: double, y: double>>, back array<double>, rms_m double, rms_px double, condition double"
     s = [r["score"] for r in calibration.observability(spark.createDataFrame(rows, schema), W, H).orderBy("k").collect()]
     assert s[0] > 0.7 and s[1] < 0.15 and s[2] <= 0.1 and s[3] > 0.7 and s[5] > s[4] + 0.3 and s[3] > s[6] + 0.5 and s[7] == 0
+
+
+def test_frames_are_not_broadcast(spark, data):
+    """Spark takes frames for as few as the videos; sent through the driver they would fill its memory."""
+    from fieldtrace.operators import balltrack
+    from fieldtrace.plans import balls
+
+    f = balls.frames(spark, data)
+    some = f.select("run", "frame_idx").where("frame_idx % 7 = 1")
+    for df in (some.join(f, ["run", "frame_idx"]), some.join(balltrack.camera(f), ["run", "frame_idx"])):
+        assert len(df.collect())
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_single_matrices_as_arrays_of_one():
+    r = np.random.default_rng(4)
+    for _ in range(300):
+        a, b = r.normal(size=(2, 9))
+        if r.random() < 0.1:
+            a[6:] = a[3:6]
+        m = a.reshape(1, 3, 3)
+        back, seen = planes.inverses(m)[0], planes.oriented(m, 1280.0, 720.0)[0]
+        if abs(np.linalg.det(m[0])) > 1e-12:
+            assert np.allclose(planes.undone(a.tolist()), back.ravel()) and planes.faced(a.tolist(), 1280.0, 720.0) == seen.ravel().tolist()
+        else:
+            assert planes.faced(a.tolist(), 1280.0, 720.0) is None and np.isnan(seen).all()
+        assert np.allclose(planes.product(a.tolist(), b.tolist()), (m[0] @ b.reshape(3, 3)).ravel())
+    assert planes.undone([0.0] * 9) is None and planes.undone([float("nan")] * 9) is None and planes.faced([float("nan")] * 9, 1.0, 1.0) is None
