@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import pitch, planes, polygons
-from ..operators import calibration, timeline
+from ..operators import calibration, timeline, viewing
 from ..sources.adapter import OBS_SQL, VIDEO_FRAMES, observations
 from .balls import FRAME_US, HEIGHT, WIDTH, frames
 
@@ -77,16 +77,10 @@ def _views(s, d):
 def _visibility(s, d):
     """Identities that a frame does not show: concealed, off the screen or unknown, from where they were last, by the frame's view."""
     f = F.col("frame_idx") - F.col("video") * VIDEO_FRAMES
-    o = observations(s, d).where("state = 'confirmed'").select(F.col("video").alias("run"), f.alias("frame_idx"), "id", F.struct(f.alias("frame"), (F.col("x_m") / 1000).alias("x"), (F.col("y_m") / 1000).alias("y"), "ord").alias("at"))
-    o = o.groupBy("run", "frame_idx", "id").agg(F.max("at").alias("at"))
-    every = o.select("run", "id").distinct().join(frames(s, d).select("run", "frame_idx"), "run")
-    w = Window.partitionBy("run", "id").orderBy("frame_idx")
-    e = every.join(o, ["run", "id", "frame_idx"], "left").withColumn("last", F.last("at", ignorenulls=True).over(w))
-    age = (F.col("frame_idx") - F.col("last.frame")) * (FRAME_US / 1e6)
-    e = e.where("at is null").join(_views(s, d).select("run", "frame_idx", "view"), ["run", "frame_idx"], "left")
-    ground = F.transform("view", lambda p: polygons.point(p["x"] * 105, p["y"] * 68))
-    away = F.when(age <= 10, polygons.distance(ground, polygons.point(F.col("last.x") * 105, F.col("last.y") * 68)))
-    return e.groupBy("run", "id", geo.view_class(away, 2 + 1.5 * age).alias("class")).agg(F.count(F.lit(1)).alias("frames"))
+    x, y = F.col("x_m") / 1000 * 105, F.col("y_m") / 1000 * 68
+    o = observations(s, d).where("state = 'confirmed'").groupBy(F.col("video").alias("run"), f.alias("frame_idx"), "id").agg(F.max(F.struct(x.alias("x"), y.alias("y"))).alias("at"))
+    v = _views(s, d).select("run", "frame_idx", F.transform("view", lambda p: p["x"] * 105).alias("vx"), F.transform("view", lambda p: p["y"] * 68).alias("vy"))
+    return viewing.unseen(frames(s, d), o.select("run", "frame_idx", "id", "at.x", "at.y"), v, FRAME_US / 1e6)
 
 
 def _hulls(s, d):

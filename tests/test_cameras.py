@@ -312,3 +312,58 @@ def test_single_matrices_as_arrays_of_one():
             assert planes.faced(a.tolist(), 1280.0, 720.0) is None and np.isnan(seen).all()
         assert np.allclose(planes.product(a.tolist(), b.tolist()), (m[0] @ b.reshape(3, 3)).ravel())
     assert planes.undone([0.0] * 9) is None and planes.undone([float("nan")] * 9) is None and planes.faced([float("nan")] * 9, 1.0, 1.0) is None
+
+
+def test_distances_as_the_column_expression(spark):
+    from fieldtrace.operators import viewing
+
+    r = random.Random(7)
+    shapes = [[(r.uniform(0, 30) + 40 * math.cos(t), r.uniform(0, 30) + 40 * math.sin(t)) for t in sorted(r.uniform(0, 6.28) for _ in range(n))] for n in (3, 4, 7, 3, 12)]
+    points = [[(r.uniform(-60, 90), r.uniform(-60, 90)) for _ in range(40)] for _ in shapes]
+    got = viewing.distances([np.array([p[0] for p in s]) for s in shapes] + [np.empty(0)], [np.array([p[1] for p in s]) for s in shapes] + [np.empty(0)], *(np.array([[p[k] for p in q] for q in [*points, points[0]]]) for k in (0, 1)))
+    df = spark.createDataFrame([(i, j, s, p) for i, (s, q) in enumerate(zip(shapes, points, strict=True)) for j, p in enumerate(q)], "i long, j long, s array<struct<x: double, y: double>>, p struct<x: double, y: double>")
+    want = {(x.i, x.j): x.d for x in df.select("i", "j", polygons.distance(F.col("s"), F.col("p")).alias("d")).collect()}
+    assert all(math.isclose(got[k], d, rel_tol=1e-12, abs_tol=1e-12) for k, d in want.items()) and np.isnan(got[-1]).all()
+
+
+def test_unseen_people_stream_by(spark):
+    """Against a loop over all people of a frame; a person is unknown from the run's first frame on, over small batches too."""
+    from fieldtrace.operators import viewing
+
+    r = random.Random(9)
+    frames = [(run, f) for run in range(3) for f in range(run, 60)]
+    seen = {(run, f, f"p{k}"): (r.uniform(0, 105), r.uniform(0, 68)) for run, f in frames for k in range(4) if r.random() < (0.08 if f > 10 * k else 0) and (run, k) != (2, 3)}
+    views = {at: [(a, 0.0), (a + 40.0, 0.0), (a + 40.0, 68.0), (a, 68.0)] for at in frames if r.random() < 0.8 for a in [r.uniform(-20, 70)]}
+    want: dict = {}
+    for run, i in sorted({(k[0], k[2]) for k in seen}):
+        last = None
+        for f in (f for own, f in frames if own == run):
+            if (run, f, i) in seen:
+                last = (f, *seen[run, f, i])
+                continue
+            c = "U"
+            if last and (run, f) in views and (f - last[0]) * 0.5 <= 10:
+                (a, _), (b, _) = views[run, f][:2]
+                inside = a <= last[1] <= b
+                edge = min(abs(last[1] - a), abs(last[1] - b), last[2], 68 - last[2]) if inside else min(abs(last[1] - a), abs(last[1] - b))
+                sigma = max(1.0, 2 + 1.5 * (f - last[0]) * 0.5)
+                c = "C" if inside and edge >= sigma else "S" if not inside and edge >= sigma else "U"
+            want[run, i, c] = want.get((run, i, c), 0) + 1
+    f = spark.createDataFrame(frames, "run long, frame_idx long")
+    s = spark.createDataFrame([(*k, *v) for k, v in seen.items()], "run long, frame_idx long, id string, x double, y double")
+    v = spark.createDataFrame([(*k, [p[0] for p in q], [p[1] for p in q]) for k, q in views.items()], "run long, frame_idx long, vx array<double>, vy array<double>")
+    for rows in (10_000, 7):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            out = viewing.unseen(f, s, v, 0.5).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert {(x["run"], x["id"], x["class"]): x["frames"] for x in out} == want
+    assert {k[2] for k in want} == {"C", "S", "U"}
+
+
+def test_view_classes_make_no_row_for_a_person_and_a_frame(spark, data):
+    from fieldtrace.queries import QUERIES
+
+    plan = QUERIES["view_classes_by_frame"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join Inner, (run" in x and "AND" not in x]
