@@ -358,3 +358,16 @@ def test_the_ball_on_the_edge_of_a_body_is_no_switch(spark, tmp_path):
     ]
     got, want = as_sql(spark, tmp_path, events, "ball_jumps")
     pd.testing.assert_frame_equal(got, want, check_dtype=False)
+
+
+def test_the_told_ball_is_not_joined_through_the_driver(spark, data):
+    """Spark takes the frames of a video for one row; joined by frame they must not be broadcast."""
+    import re
+
+    from fieldtrace.plans import balls
+
+    told = balls._told(spark, data)
+    assert len(told.collect()) == balls.frames(spark, data).count()
+    plan = told._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    joins = re.findall(r"(\w+Join) \[run#\w+, frame_idx#\w+\]", plan)
+    assert len(joins) >= 2 and set(joins) == {"SortMergeJoin"}
